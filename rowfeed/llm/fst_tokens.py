@@ -32,7 +32,7 @@ from rowfeed.llm.common import map_batches
 
 SPACE = "▁"
 #: Kept segments, states and pairs are forgotten beyond these numbers; they are found again when needed.
-MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 400_000, 20_000, 400_000
+MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 500_000, 300_000, 400_000
 CHUNK_CHARS = 1 << 16
 T = TypeVar("T")
 

@@ -17,12 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
-#: Common words of English, Spanish, French and German (fixed values).
+#: Common words of English, Spanish, French and German (fixed values); a capital may begin them.
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
     "al como con de del el en es la las lo los no para por que se su un una y "
@@ -47,7 +44,7 @@ THRESHOLDS = (
     Rule("long_words", "mean_word_chars", high=20.0),
     Rule("symbols", "symbols_per_word", high=0.3),
     Rule("capitals", "upper_ratio", high=0.5),
-    Rule("same_lines", "dup_line_ratio", high=0.3),
+    Rule("same_lines", "dup_line_ratio", high=0.5),
     Rule("stop_words", "stop_word_ratio", low=0.03),
 )
 
@@ -61,8 +58,8 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \t-\r]+"), "")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -85,29 +82,34 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _dup_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, SPACE)) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \t-\r]"))
     return _let(lines, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"), F.size(a).cast("long").alias("n")))
 
 
 def measures(text: Column) -> dict[str, Column]:
     """Measures of one text, in two layers: counts, then ratios by the counts' names."""
     full = F.coalesce(text, F.lit(""))
-    bare = _without(full, SPACE)
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
 
     def of_words(words: Column) -> Column:
-        stops = F.size(F.filter(words, lambda w: F.array_contains(stop, F.translate(w, UPPER + ".,;:!?", LOWER))))
-        return F.struct(F.size(words).cast("long").alias("n_words"), _repeat_words(words).alias("n_repeat_words"), stops.cast("long").alias("n_stop_words"))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            _repeat_words(words).alias("n_repeat_words"),
+            F.size(F.filter(words, lambda w: w.isin(_stop_forms()))).cast("long").alias("n_stop_words"),
+        )
 
     return {
         "_words": _let(_words(full), of_words),
         "_lines": _dup_lines(full),
-        "word_chars": F.length(bare).cast("long"),
-        "n_symbols": (F.length(full) - F.length(_without(full, SYMBOLS))).cast("long"),
-        "n_upper": (F.length(full) - F.length(_without(full, UPPER))).cast("long"),
+        "n_symbols": _count(full, SYMBOLS),
+        "n_upper": _count(full, "[A-Z]"),
     }
 
 
+def _stop_forms() -> list[str]:
+    return sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
+
+
 def _ratio(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
@@ -146,7 +148,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text_col: str =
     flat = laid.select(
         *others,
         F.col("_words.n_words").alias("n_words"),
-        "word_chars",
+        F.col("_words.word_chars").alias("word_chars"),
         "n_symbols",
         F.col("_lines.dup").alias("n_dup_lines"),
         F.col("_words.n_repeat_words").alias("n_repeat_words"),
@@ -164,15 +166,14 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
 def quality_sql() -> str:
     """DuckDB SQL for `score_quality` over `documents`."""
-    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    stop = ", ".join(f"'{w}'" for w in _stop_forms())
     ratio = {k: f"CASE WHEN {w} > 0 THEN {p}::DOUBLE / {w} ELSE 0 END" for k, (p, w) in RATIOS.items()}
     kept = " AND ".join([f"{ratio[r.measure]} >= {r.low}" for r in THRESHOLDS if r.low is not None] + [f"{ratio[r.measure]} <= {r.high}" for r in THRESHOLDS if r.high is not None])
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> length(translate(x, {space}, '')) > 0) AS lines
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents),
 win AS (
   SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
@@ -180,11 +181,11 @@ win AS (
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS n FROM win) WHERE n > 1),
 cov AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
 m AS (
-  SELECT doc_id, len(words)::BIGINT AS n_words, length(translate(text, {space}, ''))::BIGINT AS word_chars,
-    (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(words, w -> translate(w, '{UPPER}.,;:!?', '{LOWER}') IN ({stop}))) AS n_stop_words, len(lines) AS n_lines,
-    length(text) - length(translate(text, '{UPPER}', '')) AS n_upper
+    len(list_filter(words, lambda w: w IN ({stop}))) AS n_stop_words, len(lines) AS n_lines,
+    len(regexp_extract_all(text, '[A-Z]')) AS n_upper
   FROM d LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept FROM b"""
