@@ -25,7 +25,7 @@ from typing import NamedTuple, TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowfeed.llm.common import map_batches
@@ -212,16 +212,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row: id, n_bytes, n_tokens, over_limit (n_tokens > limit). One pass, no shuffle."""
+def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each row: id, n_bytes, n_tokens, over_limit (n_tokens > limit), and what `carry` says. One pass, no shuffle."""
+    more = [c.alias(name) for name, c in (carry or {}).items()]
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path(model))
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
         tokens = pa.array((c.count(t.as_py() or "") for t in batch.column(1)), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens], ["doc_id", "n_bytes", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), sizes, tokens, *batch.columns[2:]], ["doc_id", "n_bytes", "n_tokens", *batch.schema.names[2:]])
 
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = read.schema["doc_id"].dataType.simpleString()
-    out = map_batches(read, count, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return out.select("*", (F.col("n_tokens") > limit).alias("over_limit"))
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema)
+    out = map_batches(read, count, kinds.replace("`text` string", "n_bytes bigint, n_tokens bigint", 1))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), *(carry or {}))

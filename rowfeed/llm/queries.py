@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowfeed.llm import fm_index, fst_tokens, license_digest, quality_rules
+from rowfeed.llm import best_fit, fm_index, fst_tokens, license_digest, pfor_ids, quality_rules, simhash_anchor
 from rowfeed.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,16 +24,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(documents(spark, sf_dir))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(documents(spark, sf_dir))
+
+
+def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor_ids.write_and_read(documents(spark, sf_dir))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan_licenses(documents(spark, sf_dir))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchor.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_token_id_files": op7_token_id_files,
         "op9_license_scan": op9_license_scan,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
