@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowfeed.llm import best_fit, fm_index, fst_tokens, license_digest, pfor_ids, quality_rules, simhash_anchor
+from rowfeed.llm import best_fit, chaining, fm_index, fst_tokens, license_digest, pfor_ids, quality_rules, simhash_anchor
 from rowfeed.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(documents(spark, sf_dir))
+
+
 def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_ids.write_and_read(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_token_id_files": op7_token_id_files,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
