@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowfeed.llm import best_fit, chaining, fm_index, fst_tokens, license_digest, pfor_ids, quality_rules, simhash_anchor
+from rowfeed.llm import best_fit, chaining, fm_index, fst_tokens, html_crf, license_digest, pfor_ids, quality_rules, simhash_anchor, toxicity_cnn
 from rowfeed.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(documents(spark, sf_dir))
 
@@ -36,6 +40,10 @@ def op7_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_ids.write_and_read(documents(spark, sf_dir))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_text(documents(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan_licenses(documents(spark, sf_dir))
 
@@ -49,9 +57,11 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
+        "op4_toxicity": op4_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_token_id_files": op7_token_id_files,
+        "op8_html_text": op8_html_text,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
