@@ -302,7 +302,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = found.where(~is_contaminated(n_hit, F.col("n_words"))).drop("n_words", "items")
 
     def cut(texts, spans):  # noqa: ANN001, ANN202
-        return texts.combine(spans, lambda t, s: cut_words(t, [(x["start"], x["end"]) for x in s]))
+        return texts.combine(spans, lambda t, s: cut_words(t, [(x["start"], x["end"]) for x in ([] if s is None else s)]))
 
     cut_udf = F.pandas_udf(cut, "string")
     text = F.when(F.size("spans") > 0, cut_udf("text", "spans")).otherwise(F.col("text"))
