@@ -32,7 +32,7 @@ from rowfeed.llm.common import map_batches
 
 SPACE = "▁"
 #: Kept segments, states and pairs are forgotten beyond these numbers; they are found again when needed.
-MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 500_000, 300_000, 400_000
+MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 1_000_000, 300_000, 400_000
 CHUNK_CHARS = 1 << 16
 T = TypeVar("T")
 
@@ -79,14 +79,19 @@ class TokenCounter:
         self.valid = Kept(lambda ab: self.merge(ab[0] + ab[1]) == [x for x in ab if x], MAX_PAIRS)
         self._reset_states()
         self.counts = Kept(self.run, MAX_SEGMENTS)
-        # Where the vocabulary allows: a reset before each run of spaces, and on both sides of a newline.
-        spaced = all(SPACE not in p.lstrip(SPACE) for p in self.score)
-        lines = all("\n" not in p for p in self.score if len(p) > 1)
-        if spaced:
-            self.find = re.compile(f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n" if lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-            self.reset = re.compile(f"(?<=[^{SPACE}])(?={SPACE})" + ("|(?<=\\n)|(?=\\n)" if lines else "")).search
-        else:
-            self.find, self.reset = lambda s: [s] if s else [], lambda _s, _at=0: None
+        self._find_resets()
+
+    def _find_resets(self) -> None:
+        """Where the vocabulary allows: resets before each run of spaces, around a newline, and between letters and other characters."""
+        letters = {c for c in self.chars if c.isalpha()}
+        across = [p for p in self.pairs_in if SPACE not in p and (p[0] in letters) != (p[1] in letters)]
+        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+            self.find, self.reset = lambda s: [s] if s else [], lambda _s: None
+            return
+        line = "\\n" if all("\n" not in p for p in self.pairs_in) else ""
+        kinds = [f"[{re.escape(''.join(sorted(letters)))}]+", f"[^{re.escape(''.join(sorted(letters)))}{SPACE}{line}]+"] if letters and not across else [f"[^{SPACE}{line}]+"]
+        self.find = re.compile("|".join([*(f"{SPACE}*{k}" for k in kinds), f"{SPACE}+", *([line] if line else [])])).findall
+        self.reset = re.compile(f"(?<=[^{SPACE}])(?={SPACE})" + (f"|(?<={line})|(?={line})" if line else "")).search
 
     def _reset_states(self) -> None:
         self.items: list[tuple[tuple[int, str, int], ...]] = []
