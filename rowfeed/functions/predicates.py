@@ -183,7 +183,7 @@ class Split(Predicate):
         return {self.field}
 
     def column(self, negated: bool = False) -> Column:
-        low, high = (F.lit(b).cast("decimal(20,0)") for b in self.bounds)
+        low, high = (F.lit(str(b)).cast("decimal(20,0)") for b in self.bounds)
         b = bucket(_col(self.field))
         return (b < low) | (b >= high) if negated else (b >= low) & (b < high)
 
