@@ -137,7 +137,7 @@ def _series_udf(run: Callable[..., pd.Series], n: int) -> Callable[..., Column]:
 
     call.__signature__ = inspect.Signature(parameters, return_annotation=pd.Series)
     call.__annotations__ = {p.name: pd.Series for p in parameters} | {"return": pd.Series}
-    return F.pandas_udf(call, "boolean", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(call, "boolean")
 
 
 class Negate(Predicate):

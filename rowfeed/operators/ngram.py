@@ -40,15 +40,18 @@ class NGram:
 
     def resolve(self, names: Sequence[str]) -> NGram:
         """With patterns replaced by the names they match."""
-        ts = match_names([self.ts], names)
+        def find(pattern: str) -> list[str]:
+            return [pattern] if pattern in names else match_names([pattern], names)
+
+        ts = find(self.ts)
         if len(ts) != 1:
             raise ValueError(f"{self.ts} must match one field, not {ts}")
         fields = {}
         for step, patterns in self.fields.items():
-            found = match_names(patterns, names) if patterns else []
-            if missing := [p for p in patterns if not match_names([p], names)]:
+            if missing := [p for p in patterns if not find(p)]:
                 raise ValueError(f"no field matches {missing}")
-            fields[step] = found
+            found = {n for p in patterns for n in find(p)}
+            fields[step] = [n for n in names if n in found]
         return NGram(fields, self.threshold, ts[0], self.overlap)
 
     def windows(self, df: DataFrame, by: str | Sequence[str] = RG, tie: Sequence[str] = ()) -> DataFrame:

@@ -233,9 +233,9 @@ def shard_0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scan(f"{sf_dir}/orders.parquet", ["o_orderkey"], key="o_orderkey", group_size=500, shard_index=0, shard_count=5).frame(spark)
 
 
-@query("SELECT (o_orderkey // 500) % 5 AS shard, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT (o_orderkey // 100) % 5 AS shard, count(*) AS n FROM orders GROUP BY 1")
 def shard_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scan = Scan(f"{sf_dir}/orders.parquet", ["o_orderkey"], key="o_orderkey", group_size=500)
+    scan = Scan(f"{sf_dir}/orders.parquet", ["o_orderkey"], key="o_orderkey", group_size=100)
     parts = [scan.where(shard_index=i, shard_count=5).frame(spark).agg(F.count("*").alias("n")).select(F.lit(i).cast("bigint").alias("shard"), "n") for i in range(5)]
     out = parts[0]
     for p in parts[1:]:

@@ -128,10 +128,8 @@ def forget(made: Converter, spark: SparkSession | None = None) -> None:
 @atexit.register
 def _forget_all() -> None:
     for _, df, made in list(_KEPT):
-        try:
+        if _ON_DELETE or df.sparkSession.sparkContext._jsc is not None:  # a stopped session deletes nothing
             forget(made, df.sparkSession)
-        except Exception as e:  # the session may be gone by now
-            warnings.warn(f"{made.path} is left: {e}", stacklevel=1)
 
 
 def check_ranks(shard_index: int | None, shard_count: int | None, env: Mapping[str, str] | None = None) -> bool:

@@ -64,11 +64,11 @@ def manifest(spark: SparkSession, *paths: str) -> DataFrame:
 
 def physical(spark: SparkSession, *paths: str) -> DataFrame:
     """The rows of Parquet files with `rg`."""
-    groups = manifest(spark, *paths).select(RG, F.regexp_replace("path", "^[a-z]+:/+", "/").alias("_path"), "low", "high")
+    groups = manifest(spark, *paths).select(RG, F.regexp_replace("path", "^[a-z]+:/+", "/").alias("_path"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     rows = spark.read.parquet(*paths)
     names = rows.columns
     rows = rows.select("*", F.regexp_replace("_metadata.file_path", "^[a-z]+:/+", "/").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    inside = (F.col("_row") >= F.col("low")) & (F.col("_row") < F.col("high"))
+    inside = (F.col("_row") >= F.col("_low")) & (F.col("_row") < F.col("_high"))
     return rows.join(groups, (rows["_path"] == groups["_path"]) & inside).select(RG, *[f"`{n}`" for n in names])
 
 
