@@ -33,6 +33,8 @@ SKIPPED = {"script", "style", "template", "noscript", "svg", "canvas", "iframe",
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+#: What doesn't end a block: inline elements, and those that aren't shown where they stand in one.
+WITHIN = INLINE | SKIPPED - {"head", "title"}
 #: A start tag of the key ends an open tag of these, up to a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("html body div section article main aside header footer nav form table ul ol dl td th blockquote figure details fieldset dialog".split())
@@ -85,8 +87,8 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
         nonlocal links, skipped, now
         for t, _ in stack[i:]:
             links -= t == "a"
-            skipped -= t in SKIPPED or t == "!hidden"
-            if t not in INLINE:
+            skipped -= t in SKIPPED or t.startswith("!hidden")
+            if t not in WITHIN:
                 now = None
         del stack[i:]
 
@@ -107,7 +109,7 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
                     break
                 if stack[i][0] in CONTAINERS and tag in INLINE:
                     break
-            if tag not in INLINE:
+            if tag not in WITHIN:
                 now = None
             continue
         if tag in VOID:
@@ -119,7 +121,7 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = stop.start() if stop else end
-        if tag not in INLINE:
+        if tag not in WITHIN:
             now = None
             ends = ENDS.get(tag)
             for i in range(len(stack) - 1, -1, -1):
@@ -203,7 +205,7 @@ class Crf:
         get = self.index.get
         return np.array([self.w[[i for f in fs if (i := get(f)) is not None]].sum(0) for fs in page])
 
-    def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 30, rate: float = 0.5, decay: float = 1e-3) -> Crf:
+    def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> Crf:
         self.index = {f: i for i, f in enumerate(sorted({f for p, _ in pages for fs in p for f in fs}))}
         self.w = np.zeros((len(self.index), 2))
         ids = [[[self.index[f] for f in fs] for fs in p] for p, _ in pages]
@@ -250,7 +252,7 @@ class Crf:
         return out[::-1]
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Pages built from schemes, with the label of each leaf block. Text is of random letters: only form can be learned."""
     r = random.Random(seed)
 
@@ -270,9 +272,9 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
         text = f"<p>{sentence()}</p>"
         name = r.choice(KINDS[kind].split())
         tag = {"menu": "nav", "side": "aside", "foot": "footer", "head": "header", "form": "form"}.get(kind, "div")
-        if r.random() < 0.4:
-            tag = "div"
-        attr = "" if tag != "div" and r.random() < 0.5 else f' {r.choice(["class", "id"])}="{name}"'
+        if tag == "div" or r.random() < 0.4:
+            tag = r.choice(["div", "div", "section"])
+        attr = "" if tag not in ("div", "section") and r.random() < 0.5 else f' {r.choice(["class", "id"])}="{name}"'
         if kind == "menu":
             inner, y = links(r.choice(["ul", "div"]), r.randint(2, 8))
         elif kind == "side":
@@ -310,13 +312,13 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
                 y += [1] * (len(items) - 1)
             elif kind < 0.86:
                 parts.append(f"<blockquote>{sentence()}</blockquote>")
-            elif kind < 0.91:
+            elif kind < 0.88:
                 parts.append(f"<pre>{words(2, 20)}</pre>")
-            elif kind < 0.96:
+            elif kind < 0.9:
                 parts.append(f"<table><tr><td>{words(1, 6)}</td><td>{words(1, 6)}</td></tr></table>")
                 y.append(1)
             else:
-                a, z = junk(r.choice(["advert", "share", "side", "notice"]))
+                a, z = junk(r.choice(["advert", "share", "side", "notice", "comment", "form"]))
                 parts.append(a)
                 y += z
                 continue
@@ -327,10 +329,14 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
     for _ in range(n):
         body, y = article()
         form = r.random()
-        if form < 0.6:
+        if form < 0.45:
             body = f"<article>{body}</article>"
-        elif form < 0.8:
+        elif form < 0.6:
+            body = f"<main><article>{body}</article></main>"
+        elif form < 0.7:
             body = f"<main>{body}</main>"
+        elif form > 0.88:
+            pass  # nothing around the article's blocks
         else:
             body = f'<div class="{r.choice(KINDS["main"].split())}">{body}</div>'
         before = [junk(k) for k in ("menu", "head", "notice", "advert", "form", "side") if r.random() < 0.45]
