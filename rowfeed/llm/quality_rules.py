@@ -86,32 +86,29 @@ def _dup_lines(text: Column) -> Column:
     return _let(lines, lambda a: F.struct((F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"), F.size(a).cast("long").alias("n")))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Measures of one text, in two layers: counts, then ratios by the counts' names."""
-    full = F.coalesce(text, F.lit(""))
+def measures(text: Column) -> Column:
+    """The counts of one text, as a struct."""
 
-    def of_words(words: Column) -> Column:
-        return F.struct(
+    def of_words(words: Column) -> list[Column]:
+        return [
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             _repeat_words(words).alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: w.isin(_stop_forms()))).cast("long").alias("n_stop_words"),
-        )
+        ]
 
-    return {
-        "_words": _let(_words(full), of_words),
-        "_lines": _dup_lines(full),
-        "n_symbols": _count(full, SYMBOLS),
-        "n_upper": _count(full, "[A-Z]"),
-    }
+    full = F.coalesce(text, F.lit(""))
+    symbols, upper, lines = _count(full, SYMBOLS), _count(full, "[A-Z]"), _dup_lines(full)
+    line_counts = _let(lines, lambda a: F.struct(symbols.alias("n_symbols"), upper.alias("n_upper"), a["dup"].alias("n_dup_lines"), a["n"].alias("n_lines")))
+    return _let(line_counts, lambda m: _let(_words(full), lambda w: F.struct(*of_words(w), *[m[n].alias(n) for n in ("n_symbols", "n_upper", "n_dup_lines", "n_lines")])))
 
 
 def _stop_forms() -> list[str]:
     return sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+def _ratio(m: Column, part: str, whole: str) -> Column:
+    return F.when(m[whole] > 0, m[part] / m[whole]).otherwise(F.lit(0.0))
 
 
 RATIOS = {
@@ -123,11 +120,11 @@ RATIOS = {
 }
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> Column:
-    """The table as one boolean: no rule is broken."""
+def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
+    """The table as one boolean of the counts: no rule is broken."""
     kept = F.lit(True)
     for rule in rules:
-        value = _ratio(*RATIOS[rule.measure])
+        value = _ratio(m, *RATIOS[rule.measure])
         if rule.low is not None:
             kept = kept & (value >= F.lit(rule.low))
         if rule.high is not None:
@@ -136,28 +133,31 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Names of one operator's own columns beside whatever the input has.
+OWN = "__rowfeed_quality"
+
+
+def verdict(text: Column, rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
+    """The counts, base_failed and kept of a text, as one expression."""
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (F.lit(100) * m["n_repeat_words"] > F.lit(50) * m["n_words"])
+        return F.struct(*[m[n].alias(n) for n in COUNTS], failed.alias("base_failed"), (~failed & compile_rules(rules, m)).alias("kept"))
+
+    return _let(measures(text), judged)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text_col: str = "text") -> DataFrame:
-    """`docs` with the counts, `base_failed` and `kept`."""
+    """`docs` with the counts, `base_failed` and `kept`, which replace columns of those names."""
     names = [*COUNTS, "base_failed", "kept"]
     others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    m = measures(F.col(text_col))
-    # Materialised once: the structs are each referred to several times above, and Catalyst doesn't copy such costly expressions.
-    laid = docs.select(*others, *[v.alias(k) for k, v in m.items()])
-    flat = laid.select(
-        *others,
-        F.col("_words.n_words").alias("n_words"),
-        F.col("_words.word_chars").alias("word_chars"),
-        "n_symbols",
-        F.col("_lines.dup").alias("n_dup_lines"),
-        F.col("_words.n_repeat_words").alias("n_repeat_words"),
-        F.col("_words.n_stop_words").alias("n_stop_words"),
-        F.col("_lines.n").alias("n_lines"),
-        "n_upper",
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    return flat.select(*others, *COUNTS, failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept"))
+    laid = docs.select(*others, verdict(F.col(f"`{text_col}`"), rules).alias(OWN))
+    return laid.select(*others, *[F.col(f"{OWN}.{n}").alias(n) for n in names])
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of `docs` that are kept, with their columns as they are."""
+    return docs.where(verdict(F.col("text"), rules)["kept"])
 
 
 def score_quality(docs: DataFrame) -> DataFrame:
