@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
+import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import AbstractContextManager, contextmanager, suppress
+from functools import wraps
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from rowfeed.session import share_code
+
 #: Bytes that separate words when only ASCII letters, digits and non-ASCII characters count, as spaces; A-Z lower-cased.
 ALNUM_LOWER = bytes(
     b if b in range(0x30, 0x3A) or b in range(0x61, 0x7B) or b >= 0x80 else b + 32 if b in range(0x41, 0x5B) else 0x20
@@ -29,17 +35,76 @@ def space_words(text: str | None) -> list[bytes]:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where they share the driver's files; elsewhere pass it by --py-files."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    share_code(spark)
+
+
+class Caches:
+    """What a worker keeps from task to task (token states, hashes, vectors), dropped when it has had no task for a while.
+
+    Spark keeps idle workers for a minute; their memory is better used by whatever runs meanwhile.
+    """
+
+    IDLE_SECONDS = 2.0
+
+    def __init__(self) -> None:
+        self.drops: list[Callable[[], object]] = []
+        self.lock, self.users, self.timer = threading.Lock(), 0, None
+
+    def register(self, drop: Callable[[], object]) -> None:
+        self.drops.append(drop)
+
+    @contextmanager
+    def in_use(self) -> Iterator[None]:
+        with self.lock:
+            self.users += 1
+            if self.timer is not None:
+                self.timer.cancel()
+                self.timer = None
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.users -= 1
+                if not self.users and TaskContext.get() is not None:  # on the driver nothing is dropped
+                    self.timer = threading.Timer(self.IDLE_SECONDS, self.drop)
+                    self.timer.daemon = True
+                    self.timer.start()
+
+    def drop(self) -> None:
+        """Forget all; a task that runs has its own references."""
+        with self.lock:
+            if self.users:
+                return
+            for f in self.drops:
+                f()
+            gc.collect()
+            with suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+
+CACHES = Caches()
+
+
+def in_use() -> AbstractContextManager[None]:
+    """The worker's own caches in use; a function sent to a worker refers to this by name."""
+    return CACHES.in_use()
+
+
+def kept_warm(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for `mapInArrow` during which caches stay."""
+
+    @wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with in_use():
+            yield from fn(batches)
+
+    return run
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` with a function of one batch."""
 
+    @kept_warm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

@@ -28,8 +28,8 @@ from rowfeed.llm.common import ALNUM_LOWER, alnum_words, prepare
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
-#: Symbols indexed at once, and the distance of sampled suffix positions.
-SHARD_SYMBOLS, SAMPLE = 2_000_000, 16
+#: Documents of a shard at most; symbols indexed at once, and the distance of sampled suffix positions.
+SHARD_ROWS, SHARD_SYMBOLS, SAMPLE = 4000, 2_000_000, 16
 
 
 class RankedBits:
@@ -232,31 +232,37 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> It
         yield block
 
 
-HITS = "n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+HITS = ("bigint", "array<struct<start:int,end:int>>", "array<string>")
 HIT_TYPES = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` with n_words, spans (merged, of words) and items (ids, sorted as strings) in columns of those names."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS, names: tuple[str, str, str] = ("n_words", "spans", "items"), cut: bool = False) -> DataFrame:
+    """`docs` with the number of words, hit spans (merged, of words) and item ids (sorted as strings), in columns of the `names`.
+
+    With `cut` the last pass gives each text without the words of its spans.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    names = ["n_words", "spans", "items"]
     out = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in names])
     keep = out.columns
     text_at = keep.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", " + HITS
-    for k, block in enumerate(list(benchmark_blocks(benchmark, block_words)) or [[]]):
-        sent = spark.sparkContext.broadcast(Phrases(block))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, more=k > 0) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                sizes, spans, items = scan_batch(batch.column(text_at).to_pylist(), sent.value)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + "".join(f", `{n}` {t}" for n, t in zip(names, HITS, strict=True))
+    blocks = [spark.sparkContext.broadcast(Phrases(b)) for b in benchmark_blocks(benchmark, block_words)] or [spark.sparkContext.broadcast(Phrases([]))]
+    for k, sent in enumerate(blocks):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, more=k > 0, last=sent is blocks[-1]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in (b.slice(i, SHARD_ROWS) for b in batches for i in range(0, b.num_rows, SHARD_ROWS)):
+                texts = batch.column(text_at).to_pylist()
+                sizes, spans, items = scan_batch(texts, sent.value)
                 if more:
                     before_spans, before_items = batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist()
                     spans = [merged(np.array([*[(x["start"], x["end"]) for x in a], *b], np.int64).reshape(-1, 2)) for a, b in zip(before_spans, spans, strict=True)]
                     items = [sorted({*a, *b}) for a, b in zip(before_items, items, strict=True)]
                 columns = [sizes, [[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], items]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(columns, HIT_TYPES, strict=True))], [*keep, *names])
+                before = batch.columns[: len(keep)]
+                if cut and last:
+                    before[text_at] = pa.array([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*before, *(pa.array(c, t) for c, t in zip(columns, HIT_TYPES, strict=True))], [*keep, *names])
 
         out = out.mapInArrow(run, schema)
     return out
@@ -276,9 +282,9 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+def cut_words(text: str | None, spans: np.ndarray) -> str | None:
     """The text without the words of the spans; what stood between two words of a span goes with them."""
-    if not text or not spans:
+    if not text or not len(spans):
         return text
     raw = text.encode()
     plain = raw.translate(ALNUM_LOWER)
@@ -297,16 +303,11 @@ def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, source, n_chars) without contaminated documents; from others the hit words are removed."""
-    found = find_leaks(docs, benchmark)
-    n_hit = hit_words()
-    kept = found.where(~is_contaminated(n_hit, F.col("n_words"))).drop("n_words", "items")
-
-    def cut(texts, spans):  # noqa: ANN001, ANN202
-        return texts.combine(spans, lambda t, s: cut_words(t, [(x["start"], x["end"]) for x in ([] if s is None else s)]))
-
-    cut_udf = F.pandas_udf(cut, "string")
-    text = F.when(F.size("spans") > 0, cut_udf("text", "spans")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    size, spans, _ = own = ("__n_words", "__spans", "__items")
+    found = find_leaks(docs, benchmark, names=own, cut=True)
+    kept = found.where(~is_contaminated(hit_words(spans), F.col(size)))
+    chars = F.when(F.size(spans) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def leak_sql() -> str:

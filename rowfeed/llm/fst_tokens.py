@@ -19,6 +19,7 @@ counted whole; an empty table gives an empty result; columns other than the id a
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple, TypeVar
@@ -28,11 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import map_batches
+from rowfeed.llm.common import CACHES, map_batches
 
-SPACE = "▁"
+#: The vocabulary's own character for a space, and the one used here, with which texts stay in one byte a character where they can.
+MARK, SPACE = "▁", " "
 #: Kept segments, states and pairs are forgotten beyond these numbers; they are found again when needed.
-MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 1_000_000, 300_000, 400_000
+MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 600_000, 250_000, 250_000
+#: A state's entries are packed into integers: trie node, number of the last piece, count difference.
+NODE_BITS, PIECE_BITS, BIAS = 20, 20, 128
 CHUNK_CHARS = 1 << 16
 T = TypeVar("T")
 
@@ -64,7 +68,7 @@ class TokenCounter:
     """pieces: (piece, score) of the vocabulary; the text's spaces become the piece character for them, one more goes before."""
 
     def __init__(self, pieces: Iterable[tuple[str, float]]) -> None:
-        self.score = dict(pieces)
+        self.score = {p.replace(MARK, SPACE): s for p, s in pieces}
         self.trie: list[dict[str, int]] = [{}]
         self.piece_at: dict[int, str] = {}
         for piece in self.score:
@@ -76,7 +80,9 @@ class TokenCounter:
             self.piece_at[node] = piece
         self.chars = {p for p in self.score if len(p) == 1}
         self.pairs_in = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.valid = Kept(lambda ab: self.merge(ab[0] + ab[1]) == [x for x in ab if x], MAX_PAIRS)
+        self.names = ["", *self.score]
+        self.number = {p: i for i, p in enumerate(self.names)}
+        self.valid = Kept(self._pair, MAX_PAIRS)
         self._reset_states()
         self.counts = Kept(self.run, MAX_SEGMENTS)
         self._find_resets()
@@ -94,18 +100,24 @@ class TokenCounter:
         self.reset = re.compile(f"(?<=[^{SPACE}])(?={SPACE})" + (f"|(?<={line})|(?={line})" if line else "")).search
 
     def _reset_states(self) -> None:
-        self.items: list[tuple[tuple[int, str, int], ...]] = []
-        self.ids: dict[tuple, int] = {}
-        self.moves: list[dict[str, tuple[int, int]]] = []
-        self.state(((0, "", 0),))
+        self.items: list[bytes] = []
+        self.ids: dict[bytes, int] = {}
+        self.moves: list[dict[str, int]] = []
+        self.state((BIAS << NODE_BITS + PIECE_BITS,))  # at the root, after nothing
 
-    def state(self, items: tuple) -> int:
+    def state(self, entries: tuple[int, ...]) -> int:
+        items = struct.pack(f"<{len(entries)}Q", *entries)
         if items not in self.ids:
             self.ids[items] = len(self.items)
             self.items.append(items)
             self.moves.append({})
         return self.ids[items]
 
+    def _pair(self, pair: int) -> bool:
+        """Whether two pieces (the first may be none) are the result for their text."""
+        parts = [self.names[pair >> PIECE_BITS], self.names[pair & (1 << PIECE_BITS) - 1]]
+        return self.merge("".join(parts)) == [x for x in parts if x]
+
     def merge(self, text: str) -> list[str]:
         """The defining procedure, for the short texts of two pieces."""
         parts = list(text)
@@ -116,22 +128,24 @@ class TokenCounter:
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def move(self, at: int, ch: str) -> tuple[int, int]:
-        """The next state and the change of the count."""
+    def move(self, at: int, ch: str) -> int:
+        """The next state and the change of the count, packed."""
         if ch not in self.chars:
-            return 0, len(ch.encode())  # bytes, and nothing merges with them: a reset
+            return len(ch.encode()) + BIAS  # bytes, and nothing merges with them: to the reset state
         on, won = [], None
-        for node, last, rel in self.items[at]:
+        for item in struct.unpack(f"<{len(self.items[at]) // 8}Q", self.items[at]):
+            node, last, rel = item & (1 << NODE_BITS) - 1, item >> NODE_BITS & (1 << PIECE_BITS) - 1, (item >> NODE_BITS + PIECE_BITS) - BIAS
             nxt = self.trie[node].get(ch)
             if nxt is None:
                 continue
             piece = self.piece_at.get(nxt)
-            if won is None and piece is not None and self.valid[last, piece]:
-                won = piece, rel + 1
+            if won is None and piece is not None and self.valid[last << PIECE_BITS | self.number[piece]]:
+                won = self.number[piece], rel + 1
             if self.trie[nxt]:
                 on.append((nxt, last, rel))
         piece, change = won
-        return self.state((*((n, p, r - change) for n, p, r in on), (0, piece, 0))), change
+        packed = (*(n | p << NODE_BITS | (r - change + BIAS) << NODE_BITS + PIECE_BITS for n, p, r in on), piece << NODE_BITS | BIAS << NODE_BITS + PIECE_BITS)
+        return self.state(packed) << 8 | (change + BIAS)
 
     def run(self, text: str) -> int:
         """The count of a segment read from the reset state."""
@@ -142,8 +156,8 @@ class TokenCounter:
             step = self.moves[at].get(ch)
             if step is None:
                 step = self.moves[at][ch] = self.move(at, ch)
-            at, change = step
-            total += change
+            at = step >> 8
+            total += (step & 255) - BIAS
         return total
 
     def segments(self, text: str) -> int:
@@ -175,7 +189,7 @@ class TokenCounter:
     def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
-        text = SPACE + text.replace(" ", SPACE)
+        text = SPACE + text.replace(MARK, SPACE)
         if len(text) <= chunk_chars:
             return self.segments(text)
         maps = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
@@ -210,6 +224,9 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(load_pieces(path))
 
 
+CACHES.register(counter.cache_clear)
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file's place on this machine; workers look it up themselves."""
     import public_tokenizers

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import map_batches
+from rowfeed.llm.common import CACHES, map_batches
 
 MAX_ROWS, MIN_DOCS = 3000, 5
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
@@ -268,6 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Cnn:
 
 
 _SCORERS: dict[str, Scorer] = {}
+CACHES.register(_SCORERS.clear)
 
 
 def scorer_of(sent: Broadcast[Cnn]) -> Scorer:
