@@ -7,6 +7,9 @@ anchor within 1 + 1 bits of its left half (17 anchors) and within 1 + 2 of its r
 thus meet at the home of either. At each anchor the fingerprints at home are compared with all there over all 64 bits.
 The 189 copies a distinct fingerprint don't grow with the input, and an anchor gets about N * 172 / 2^27 of N spread ones.
 
+An anchor that is home to more than HOT_HOMES fingerprints is split: its rows are dealt out by each of five blocks of the other
+half, one of which two linked fingerprints have in common.
+
 Only distinct fingerprints are dealt out (hot groups of copies shrink to one row before any shuffle). At an anchor with
 many, a search over links drops each one reached from the list, so a dense cluster costs about its size, not its square.
 Components come from alternating large and small stars over the links, each round a table in the shared folder.
@@ -34,6 +37,9 @@ TASK_ROWS = 2_000_000
 #: Anchors with fewer fingerprints are compared by shifting the sorted rows; larger ones by a search.
 SMALL_ANCHOR = 24
 HASH_CHUNK = 1 << 15
+#: An anchor that is home to more fingerprints than this is split by the other half's blocks (first bit, bits).
+HOT_HOMES = 100_000
+BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))  # more blocks than THRESHOLD: of two linked halves, one block is equal
 
 
 def fingerprint(text: str | None) -> int:
@@ -114,12 +120,30 @@ def deal(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(who)
 
 
+def home_keys(fps: np.ndarray) -> np.ndarray:
+    """The two anchors that are home to each fingerprint."""
+    return np.concatenate([homes(half).astype(np.int64) | side << 32 for side, half in enumerate(halves(fps))])
+
+
+def split_hot(keys: np.ndarray, fps: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of hot anchors (sorted) once for each block of the half that isn't the anchor's, with the block's bits in the key."""
+    if not len(hot):
+        return keys, fps
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    is_hot = hot[at] == keys
+    k, f = keys[is_hot], fps[is_hot]
+    left, right = halves(f)
+    other = np.where(k >> 32 == 0, right, left).astype(np.int64)
+    parts = [k | (1 + (j << 7) + (other >> first & (1 << bits) - 1)) << 33 for j, (first, bits) in enumerate(BLOCKS)]
+    return np.concatenate([keys[~is_hot], *parts]), np.concatenate([fps[~is_hot], *[f] * len(BLOCKS)])
+
+
 def links_at_anchors(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all that are within the threshold of one at home, at each anchor."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     left, right = halves(fps)
-    at_home = np.where(keys >> 32 == 0, homes(left), homes(right)) == (keys & 0xFFFFFFFF)
+    at_home = np.where(keys >> 32 & 1 == 0, homes(left), homes(right)) == (keys & 0xFFFFFFFF)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
     small = np.repeat(sizes < SMALL_ANCHOR, sizes)
@@ -184,10 +208,17 @@ def links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     prepare(spark)
 
+    def at_home(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(home_keys(batch.column(0).to_numpy().view(np.uint64)))], ["anchor"])
+
+    # At most two in HOT_HOMES of the fingerprints, 8 bytes each, come to the driver and go to the tasks.
+    crowded = map_batches(distinct.select("fp"), at_home, "anchor bigint").groupBy("anchor").count().where(F.col("count") > HOT_HOMES)
+    hot = np.sort(np.array([r.anchor for r in crowded.collect()], np.int64))
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fps = batch.column(0).to_numpy().view(np.uint64)
         for i in range(0, len(fps), 4096):
-            keys, who = deal(fps[i : i + 4096])
+            keys, who = split_hot(*deal(fps[i : i + 4096]), hot)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(who.view(np.int64))], ["anchor", "fp"])
 
     dealt = map_batches(distinct.select("fp"), run, "anchor bigint, fp bigint")

@@ -236,6 +236,20 @@ def test_links_meet_at_an_anchor():
     assert [len(simhash_anchor.deal(fps[:1])[0])] <= [189]
 
 
+@pytest.mark.parametrize("spread", [64, 6])
+def test_hot_anchors_are_split(spread):
+    r = np.random.default_rng(9)
+    centre = r.integers(0, 2**64, 1, dtype=np.uint64)
+    fps = np.unique(np.concatenate([centre ^ np.uint64(sum(1 << int(b) for b in r.choice(spread, 6, replace=False))) for _ in range(150)]))
+    keys, who = simhash_anchor.deal(fps)
+    hot = np.unique(simhash_anchor.home_keys(fps))
+    split, whose = simhash_anchor.split_hot(keys, who, hot)
+    u, v = simhash_anchor.forest(*simhash_anchor.links_at_anchors(split, whose))
+    label = dict(zip(u.tolist(), v.tolist(), strict=True))
+    assert [label.get(int(f), int(f)) for f in fps] == [int(fps[i]) for i in components_model(fps)]
+    assert len(split) == len(keys) + 4 * np.isin(keys, hot).sum()
+
+
 def test_dense_clusters(monkeypatch):
     monkeypatch.setattr(simhash_anchor, "SMALL_ANCHOR", 3)
     r = np.random.default_rng(5)
