@@ -44,7 +44,7 @@ class Caches:
     Spark keeps idle workers for a minute; their memory is better used by whatever runs meanwhile.
     """
 
-    IDLE_SECONDS = 2.0
+    IDLE_SECONDS = 8.0
 
     def __init__(self) -> None:
         self.drops: list[Callable[[], object]] = []

@@ -34,7 +34,7 @@ from rowfeed.llm.common import CACHES, map_batches
 #: The vocabulary's own character for a space, and the one used here, with which texts stay in one byte a character where they can.
 MARK, SPACE = "▁", " "
 #: Kept segments, states and pairs are forgotten beyond these numbers; they are found again when needed.
-MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 600_000, 250_000, 250_000
+MAX_SEGMENTS, MAX_STATES, MAX_PAIRS = 900_000, 250_000, 250_000
 #: A state's entries are packed into integers: trie node, number of the last piece, count difference.
 NODE_BITS, PIECE_BITS, BIAS = 20, 20, 128
 CHUNK_CHARS = 1 << 16
