@@ -34,29 +34,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import Workspace, prepare
+from rowfeed.llm.common import CACHES, Workspace, kept_warm, prepare
 from rowfeed.llm.fst_tokens import tokenizer_path
 
 MAGIC = b"RFPFOR1\n"
 BLOCK, PERCENTILE = 1024, 0.95
 HEAD = struct.Struct("<IBHH")
 END_ID = 2
-MAX_KEPT = 400_000
+#: Words whose ids are kept, and words given to the library as one text.
+MAX_KEPT, JOINED = 2_000_000, 500
 READ_BLOCKS = 1024
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values to rows of bytes, `width` bits each."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(bool).reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of values to rows of bytes: value i at bit i * width. 64 values fill `width` words; all rows go at once."""
+    k, n = values.shape
+    size = -(-n // 64) * 64
+    columns = np.zeros((64, k * size // 64), np.uint64)  # value i of each 64
+    padded = values if size == n else np.pad(values, ((0, 0), (0, size - n)))
+    columns[:] = padded.reshape(-1, 64).T
+    columns &= np.uint64((1 << width) - 1)
+    words = np.zeros((width, columns.shape[1]), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        words[word] |= columns[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= columns[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8", copy=False).view(np.uint8).reshape(k, -1)[:, : (width * n + 7) // 8]
 
 
 def _unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1, count=n * width, bitorder="little").reshape(len(packed), n, width)
-    out = np.zeros((len(packed), n), np.uint32)
-    for i in range(width):
-        out |= bits[:, :, i].astype(np.uint32) << np.uint32(i)
-    return out
+    k, size = len(packed), -(-n // 64) * 64
+    if packed.shape[1] < size * width // 8:
+        packed = np.pad(packed, ((0, 0), (0, size * width // 8 - packed.shape[1])))
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").reshape(-1, width).T)
+    columns = np.empty((64, words.shape[1]), np.uint32)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        columns[i] = value & np.uint64((1 << width) - 1)
+    return np.ascontiguousarray(columns.T).reshape(k, size)[:, :n]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -98,7 +117,7 @@ def decode_blocks(raw: bytes, starts: list[int]) -> np.ndarray:
     for (width, n), which in kinds.items():
         size = (width * n + 7) // 8
         packed = np.stack([np.frombuffer(raw, np.uint8, size, starts[i] + HEAD.size) for i in which])
-        values = _unpack(packed, width, n)
+        values = _unpack(packed, width, n) if width else np.zeros((len(which), n), np.uint32)
         for k, i in enumerate(which):
             count, at = heads[i][2], starts[i] + HEAD.size + size
             if count:
@@ -177,9 +196,10 @@ def read_documents(file: pa.NativeFile) -> Iterator[tuple[int | None, np.ndarray
 class TextEncoder:
     """The tokenizers library over segments: words with the space before them. Ids of segments are kept.
 
-    A byte-level BPE splits a text before matching any merge, and always before a space that follows a character which
-    is not white space. So the ids of a text are those of its segments. A text with an added token's string is given to
-    the library whole.
+    A byte-level BPE splits a text by a pattern before matching any merge, and always before a space that follows a
+    character which is not white space. So the ids of a text are those of its segments. A new segment of plain letters,
+    digits and marks is split by that pattern, and its pieces are kept too; pieces with a space go to the library
+    together, which starts a token at each one's space. A text with an added token's string is given to it whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -189,33 +209,109 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        #: Where engines for regular expressions agree on classes.
+        self.plain = re.compile("[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+").fullmatch
+        self.split_plain = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u017f]+| ?[0-9]+| ?[^\\sA-Za-z0-9\u00c0-\u017f]+|\\s+(?!\\S)|\\s+").findall
+        self.kept = Missing()  # by word, the ids of a space and the word
+        self.pieces: dict[str, bytes] = {}
         # Some characters count as white space for one regular expression engine and not for another.
-        self.run_of_space = re.compile("[\\s\\u180e\\u200b\\ufeff] ").search
-        self.split = re.compile("(?<=[^\\s\\u180e\\u200b\\ufeff])(?= )").split
+        self.split = re.compile("(?<=[^\\s\\u180e\\u200b\\ufeff]) ").split
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def open(word: str) -> bool:
+        """Whether a space after the word would belong to a run of white space."""
+        return not word or word[-1].isspace() or word[-1] in "\u180e\u200b\ufeff"
+
+    def learn(self, words: set[str]) -> None:
+        """Put ids of the words in `kept`."""
+        kept, pieces = self.kept, self.pieces
+        if len(kept) + len(words) > MAX_KEPT:
+            kept.clear()
+        if len(pieces) > MAX_KEPT // 4:
+            pieces.clear()
+        letters, held, new, hard = [], {}, {}, []
+        for w in words:
+            if w.isalpha():
+                letters.append(w)
+            elif self.plain(w):
+                held[w] = parts = self.split_plain(" " + w)
+                for p in parts:
+                    if p not in pieces:
+                        new[p] = None
+            else:
+                hard.append(" " + w)
+        self.together(letters, kept)
+        # A word that marks follow: its letters may be known, or be worth knowing.
+        self.together([p[1:] for p in new if p[0] == " " and len(p) > 1 and p[1:] not in kept], kept)
+        others = [p for p in new if p[0] != " " or len(p) == 1]
+        pieces.update(zip(others, self.ids(others), strict=True))
+        for w, parts in held.items():
+            kept[w] = b"".join([kept[p[1:]] if p[0] == " " and len(p) > 1 else pieces[p] for p in parts])
+        for w, ids in zip(hard, self.ids(hard), strict=True):
+            kept[w[1:]] = ids
+
+    def together(self, words: list[str], to: dict[str, bytes]) -> None:
+        """Ids of words with a space before each, of many words in one text: a token begins at each space."""
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):
+                raise AssertionError("the library joined words that a space parts")
+            raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            to.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text: its ids as little-endian u32."""
-        kept, cut = self.kept, []
-        for text in texts:
-            if any(a in text for a in self.added):
-                cut.append(None)
-            elif self.run_of_space(text):
-                cut.append(self.split(text))
-            else:
-                first, *rest = text.split(" ")
-                cut.append([first, *[" " + w for w in rest]])
-        new = list({s for parts in cut if parts for s in parts} - kept.keys())
-        if len(kept) + len(new) > MAX_KEPT:
-            kept.clear()
-            new = list({s for parts in cut if parts for s in parts})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            kept.update(zip(part, self.ids(part), strict=True))
-        return [self.ids([text])[0] if parts is None else b"".join(map(kept.__getitem__, parts)) for text, parts in zip(texts, cut, strict=True)]
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        kept, missed = self.kept, self.kept.missed
+        missed.clear()
+        get, cut, found, holes = kept.__getitem__, [], [], []
+        for k, text in enumerate(texts):
+            words, before = text.split(" "), len(missed)
+            cut.append(words)
+            found.append(list(map(get, words)))
+            if len(missed) > before:
+                holes.append(k)
+        if missed:
+            # A word that is empty or ends in white space is never kept, so it shows here: its text has a run of white space.
+            ends = {w for w in missed if self.open(w)}
+            for k in holes if ends else ():
+                if any(x is None and w in ends for w, x in zip(cut[k], found[k], strict=True)):
+                    cut[k] = self.split(texts[k])
+                    found[k] = list(map(get, cut[k]))
+            self.learn({w for w in missed if not self.open(w)})
+            for k in holes:
+                words, ids, i = cut[k], found[k], -1
+                while True:
+                    try:
+                        i = ids.index(None, i + 1)
+                    except ValueError:
+                        break
+                    w = words[i]
+                    ids[i] = kept[w] if w in kept else self.ids([" " + w])[0]
+        for first, ids in zip(self.ids([words[0] for words in cut]), found, strict=True):
+            ids[0] = first  # no space before it
+        out = [b"".join(ids) for ids in found]
+        for i in whole:
+            out[i] = self.ids([texts[i]])[0]
+        return out
+
+
+class Missing(dict):
+    """A dict that notes what it hasn't."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, key: str) -> None:
+        self.missed.append(key)
 
 
 @lru_cache(2)
@@ -223,6 +319,9 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+CACHES.register(encoder.cache_clear)
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
@@ -233,6 +332,7 @@ def write_ids(docs: DataFrame, folder: str, model: str = "byte_bpe_50k.json", en
     prepare(spark)
     end = np.array([end_id], "<u4").tobytes()
 
+    @kept_warm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
