@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowfeed.llm import best_fit, chaining, fst_tokens, pfor_ids, queries, quality_rules, simhash_anchor
@@ -146,6 +147,20 @@ def test_planted_passages(spark, parts):
     assert all(left[k] == texts[k] for k in (1, 2, 4, 7, 8)) and len(left[3].split()) <= 8
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_each_copy_in_a_document_is_found(spark, parts):
+    r = random.Random(8)
+    shared, fill = prose(r, 60), [" ".join(f"u{r.random()}" for _ in range(40)) for _ in range(3)]
+    texts = {1: f"{fill[0]} {shared}", 2: f"{shared} {fill[1]} {shared} {fill[2]} {shared}"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string").repartition(parts, "doc_id")
+    assert docs.where("doc_id = 1").select(F.spark_partition_id()).first() != docs.where("doc_id = 2").select(F.spark_partition_id()).first() or parts == 1
+    found = set()
+    for p in chaining.repeated_passages(docs).collect():
+        assert (p.doc_id, p.partner_ids) == (2, [1])
+        found.update(range(p.start_word, p.start_word + p.n_words))
+    assert len(found ^ {*range(60), *range(100, 160), *range(200, 260)}) <= 6
+
+
 def test_exact_repeats_of_all_documents(spark, sf):
     docs = {r.doc_id: chaining.space_words(r.text) for r in queries.documents(spark, sf).collect()}
     found, first, need = {}, {}, {}
