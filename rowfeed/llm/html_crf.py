@@ -10,8 +10,8 @@ Scripts, styles, templates, comments and form controls never become blocks; char
 in a block becomes one space; blocks are joined by one newline; nothing else is dropped or capped.
 
 Defined results: null or empty html, or a page with no main block, gives an empty text of no characters; unclosed and
-stray tags are read as browsers do in outline (a block start ends an open paragraph); repeated pages each get their row;
-a null id or url stays null; an empty table gives an empty result.
+stray tags are read as browsers do in outline (a block start ends an open paragraph, what can't stand in a head ends it);
+repeated pages each get their row; a null id or url stays null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from rowfeed.llm.common import map_batches
 
 SKIPPED = {"script", "style", "template", "noscript", "svg", "canvas", "iframe", "object", "select", "textarea", "button", "head", "math", "video", "audio", "title"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: Start tags that leave an open head open; any other one, and text, ends it.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head", "html"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: What doesn't end a block: inline elements, and those that aren't shown where they stand in one.
@@ -68,8 +70,18 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
     links = skipped = 0
     at, end = 0, len(page)
 
+    def end_head() -> None:
+        """Closes a head that nothing but noscript is open in."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == "head":
+                return close(i)
+            if stack[i][0] != "noscript":
+                return
+
     def text(s: str) -> None:
         nonlocal now
+        if skipped and s.strip():
+            end_head()
         if skipped or not s:
             return
         if now is None:
@@ -112,6 +124,10 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
             if tag not in WITHIN:
                 now = None
             continue
+        if skipped and tag not in IN_HEAD:
+            end_head()
+        if tag == "head" and any(t != "html" for t, _ in stack):
+            continue
         if tag in VOID:
             if tag in ("br", "wbr"):
                 text(" " if tag == "br" and now else "")
@@ -138,7 +154,7 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
             names |= {f".{w}" for value in ATTRIBUTE.findall(attributes) for w in NAME.findall(value.lower())}
             if attributes.rstrip().endswith("/") and tag not in CONTAINERS and tag not in ("p", "a", "b"):
                 continue
-            if HIDDEN.search(attributes):
+            if tag != "head" and HIDDEN.search(attributes):
                 tag = f"!hidden {tag}"
         stack.append((tag, frozenset(names)))
         links += tag == "a"

@@ -167,6 +167,14 @@ def test_blocks():
     assert html_crf.blocks("a < b <p>c") and html_crf.blocks("<p title='>'>c</p>")[0][0] == "c"
 
 
+def test_head_without_end_tag():
+    for start in ("<body>", "", "<!-- c --><div>", "<body><head>", "<head><body>"):
+        page = f"<html><head><meta charset=u><title>t</title><style>p {{}}</style>{start}<article><p>one<p>two</article></html>"
+        assert [b[0] for b in html_crf.blocks(page)] == ["one", "two"], start
+    assert [b[0] for b in html_crf.blocks("<head>\n<title>t</title> text <p>one")] == ["text", "one"]
+    assert [b[0] for b in html_crf.blocks("<head><noscript><link></noscript><template><p>no</template><script>no</script></head><p>one")] == ["one"]
+
+
 def test_field_on_pages_it_has_not_seen():
     field = html_crf.model()
     right = total = 0
