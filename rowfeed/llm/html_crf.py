@@ -6,8 +6,11 @@ labels, main text and boilerplate. Weights are trained by forward-backward gradi
 builds from page schemes (own invention, seeded), in numpy, at first use; decoding is by Viterbi. Features name no
 language and no site. Parsing and decoding see one page at a time, so memory is that of the longest page.
 
-Scripts, styles, templates, comments and form controls never become blocks; character references are decoded; white space
-in a block becomes one space; blocks are joined by one newline; nothing else is dropped or capped.
+Scripts, styles, templates, comments, form controls, page heads and titles, what browsers show only if they can't show media (in
+canvas, iframe, video, audio), unseen parts of formulas and drawings (annotation, desc, defs, metadata, symbol), and elements
+with the attribute hidden, aria-hidden=true or style display:none never become blocks; formulas, drawings' text and the
+contents of noscript and object do. Character references are decoded; white space in a block becomes one space; blocks are
+joined by one newline; nothing else is dropped or capped.
 
 Defined results: null or empty html, or a page with no main block, gives an empty text of no characters; unclosed and
 stray tags are read as browsers do in outline (a block start ends an open paragraph, what can't stand in a head ends it);
@@ -29,24 +32,48 @@ from pyspark.sql import functions as F
 
 from rowfeed.llm.common import map_batches
 
-SKIPPED = {"script", "style", "template", "noscript", "svg", "canvas", "iframe", "object", "select", "textarea", "button", "head", "math", "video", "audio", "title"}
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+#: `annotation` to `symbol` are parts of formulas and drawings that aren't shown.
+SKIPPED = set("script style template canvas iframe select textarea button head video audio title annotation annotation-xml desc defs metadata symbol".split())
+RAW = {"script", "style", "textarea", "title", "iframe"}
+#: Formulas, drawings, and what stands for scripts and objects: part of the text around them.
+FOREIGN = set(
+    "noscript object math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "svg g text tspan textpath path line rect circle ellipse polygon polyline use image switch".split()
+)
 #: Start tags that leave an open head open; any other one, and text, ends it.
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head", "html"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 #: What doesn't end a block: inline elements, and those that aren't shown where they stand in one.
-WITHIN = INLINE | SKIPPED - {"head", "title"}
+WITHIN = INLINE | FOREIGN | SKIPPED - {"head"}
 #: A start tag of the key ends an open tag of these, up to a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CONTAINERS = set("html body div section article main aside header footer nav form table ul ol dl td th blockquote figure details fieldset dialog".split())
+CONTAINERS = set("html body div section article main aside header footer nav form table ul ol dl td th blockquote figure details fieldset dialog object".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+NAME_VALUE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?|\"[^\"]*\"|'[^']*'")
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([^;]*)", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
 
+def is_hidden(attributes: str) -> bool:
+    """Has an attribute hidden, aria-hidden=true, or a style whose display is none. Of attributes of one name the first counts."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in NAME_VALUE.finditer(attributes):
+        if m[1]:
+            found.setdefault(m[1].lower(), html_lib.unescape((m[2] or "").strip("\"'")))
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    shown = ["".join(v.lower().split()) for v in DISPLAY.findall(CSS_COMMENT.sub("", found.get("style", "")))]
+    shown = [v for v in shown if v.endswith("!important")] or shown
+    return bool(shown) and shown[-1].removesuffix("!important") == "none"
+
+
 class Block:
     __slots__ = ("parts", "link", "path", "tag")
 
@@ -87,7 +114,7 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
         if now is None:
             if not s.strip():
                 return
-            tag = next((t for t, _ in reversed(stack) if t not in INLINE), "body")
+            tag = next((t for t, _ in reversed(stack) if t not in WITHIN), "body")
             now = Block(tuple(n for _, n in stack), tag)
             out.append(now)
         s = html_lib.unescape(s) if "&" in s else s
@@ -154,8 +181,10 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
             names |= {f".{w}" for value in ATTRIBUTE.findall(attributes) for w in NAME.findall(value.lower())}
             if attributes.rstrip().endswith("/") and tag not in CONTAINERS and tag not in ("p", "a", "b"):
                 continue
-            if tag != "head" and HIDDEN.search(attributes):
+            if tag != "head" and is_hidden(attributes):
                 tag = f"!hidden {tag}"
+        if tag == "text":
+            text(" " if now else "")
         stack.append((tag, frozenset(names)))
         links += tag == "a"
         skipped += tag in SKIPPED or tag.startswith("!hidden")

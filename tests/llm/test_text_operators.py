@@ -175,6 +175,19 @@ def test_head_without_end_tag():
     assert [b[0] for b in html_crf.blocks("<head><noscript><link></noscript><template><p>no</template><script>no</script></head><p>one")] == ["one"]
 
 
+def test_only_hidden_parts_are_hidden():
+    for attributes in ('class="intro hidden md:block"', 'title="The hidden cost of"', "aria-label='a hidden valley'", "class=hidden", 'data-x="display:none"', 'title="aria-hidden=true"', 'aria-hidden="false"', "data-hidden", 'style="--display:none; display: none; display:block"'):
+        assert [b[0] for b in html_crf.blocks(f"<article {attributes}>a</article>b")] == ["a", "b"], attributes
+    for attributes in ("hidden", 'class="a"hidden', 'HIDDEN=""', "hidden=hidden class=b", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red;display : none"', "style='display:none !important;display:block'"):
+        assert [b[0] for b in html_crf.blocks(f"<p {attributes}>a</p><p>b")] == ["b"], attributes
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<p>let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> be <svg><title>no</title><text>drawn</text><path/></svg> now<p>a <object data=u><b>b</b></object> <noscript>c</noscript> <video>no</video>d<canvas>no</canvas>"
+    assert [b[0] for b in html_crf.blocks(page)] == ["let x=2 be drawn now", "a b c d"]
+    assert [b[0] for b in html_crf.blocks("<p>a <object><p>b</object>c")] == ["a", "b", "c"]
+
+
 def test_field_on_pages_it_has_not_seen():
     field = html_crf.model()
     right = total = 0
