@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowfeed.llm.license_texts import LICENSES
+from rowfeed.llm.license_texts import FULL_TEXTS, LICENSES
 
 #: A digest table of at most this many rows (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -88,12 +88,12 @@ def digest(text: Column) -> Column:
 
 
 def known_digests() -> list[tuple[str, str]]:
-    """(digest, licence id) of the texts that come with this module."""
+    """(digest, licence id) of the texts that come with this module; of FULL_TEXTS there are digests only."""
     return sorted((hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, t in LICENSES.items())
 
 
 def known_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(known_digests(), "digest string, license_id string")
+    return spark.createDataFrame(known_digests() + sorted(FULL_TEXTS.items()), "digest string, license_id string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

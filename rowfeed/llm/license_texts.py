@@ -59,3 +59,54 @@ LICENSES |= {
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "MIT (notice)": "Released under the MIT License.",
 }
+
+
+#: Digests of full texts that are too long to be kept here: of the files of Debian's common-licenses with their lines as published or joined to one,
+#: with and without what follows "END OF TERMS AND CONDITIONS" (fixed values).
+FULL_TEXTS = {
+    "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2": "Apache-2.0",
+    "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184": "Apache-2.0",
+    "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0": "Apache-2.0",
+    "37599287c15c2f2ec060c3c3b55bdf69e3bc7a8aeeb9cd57e18800088789538a": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71": "GFDL-1.2",
+    "61501da4fb94cceda16cd9affa2c77a91451ac2041c3baac644d4090c86855de": "GFDL-1.2",
+    "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6": "GFDL-1.3",
+    "cdf3d9ad52a468f1e3a38b3cd70b6b38978b4acbb41cceee134bf4e2e6168fe4": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "d408d9dad6e4560274412e743ec3ba01007197655029f60544c308bc54f80499": "GPL-1.0",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "90b42d1cf0f9ef747c945cda0a54d5bd16341c8491956c54b3f4f283efa0176a": "GPL-1.0",
+    "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70": "GPL-1.0",
+    "24bc5345819daf657c4709aebe2be24875e021dde1ced86cd813b9ae9ae62a60": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "0bfb659bf7eeb9921df1446a6a93beba70e0dc947eec10a42d26bb310dccd498": "GPL-2.0",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
+    "8607b1cff63e9a9dc468bf76327bdd0bb2d2abe09d6e8076427fd49236f46f29": "GPL-2.0",
+    "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808": "GPL-2.0",
+    "e1bcfaf28e42eba7ac6b0aa31f0165c8241a74641090fe675acc693f1a3e5df1": "GPL-2.0",
+    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0",
+    "7d478223d8fcde6480339b8bbaadacf6b93d7007d04a13fbd30f71a80fd981a0": "GPL-3.0",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0",
+    "d9de3adc6f88fd297c319c8e5efae6a00c1606770b4d22bd8fdc95a7071b5251": "GPL-3.0",
+    "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191": "GPL-3.0",
+    "c5dfddbc99d5359297177162fc4dba244c813c2b1d105bae18b52b8c9eca813e": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "9ccbf81e2fd78db81966e466a22ed39318d0a4b4550cd69d1144dcf09722ff10": "LGPL-2.0",
+    "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260": "LGPL-2.0",
+    "9e78fa98415a9a8c863589ab742457328d22cd2319bbf585de04b27baf33a2be": "LGPL-2.0",
+    "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2": "LGPL-2.0",
+    "a1d17eaee69b0acf82494ed25367a5de1fc23474406d17ff81a7b1ee484363e2": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "a9cc8dda4023821e198a2e1bee36afc3e68fce90828780c7bac37ffe33565e15": "LGPL-2.1",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
+    "f13ce8aa4b0cc0de7c3b73a95e705f217972ef8710e7c0a463342682e2e523de": "LGPL-2.1",
+    "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df": "LGPL-2.1",
+    "e8ebe2513d0bd90d40bb6e894699a044e69aa9b44afada1fb47e767c3fed7f15": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "3ce770135de37fc153de7af30789ebf6cf1e9ad54eb9b487647ea8aa9ccae9c2": "LGPL-3.0",
+    "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -139,6 +140,19 @@ def test_licences(spark):
     assert "Python" not in license_digest.scan_licenses(docs)._jdf.queryExecution().toString()
 
 
+def test_full_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = [(want, (folder / f).read_text()) for f, want in names.items() if (folder / f).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    # A text in one line that starts with its copyright is a copyright line.
+    texts += [(want, " ".join(t.split())) for want, t in texts if not t.startswith("Copyright")] + [(want, t[: t.index("END OF TERMS")]) for want, t in texts if "END OF TERMS" in t] + [(None, t[:-200]) for _, t in texts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: r.license_id for r in license_digest.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [want for want, _ in texts]
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     out = queries.op4_toxicity(spark, d).join(queries.documents(spark, d, "labels"), "doc_id")
