@@ -5,7 +5,8 @@ unified; all other ASCII than letters and digits, and typographic quotes and das
 
 Defined results: a null text counts as empty; the empty canonical text (no letters or digits) matches no licence; equal
 texts match alike, so repeated rows each get their row; an empty table gives an empty result. Where one digest has several
-licence ids, the smallest id is reported, so that a document never yields two rows. Other columns of the input are not read.
+licence ids, the smallest id is reported, so that a document never yields two rows. A text that matches none is tried
+again without lines of "copyright" and a plain name; the digest reported is that of the canonical form. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from rowfeed.llm.license_texts import FULL_TEXTS, LICENSES
 BROADCAST_ROWS = 20_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only states who holds the copyright: it starts, after marks, with "copyright" or "(c)" and a year, a name or a mark.
+#: A line that only states who holds the copyright: it starts, after marks, with "copyright" or "(c)" and a year or a mark.
 COPYRIGHT_LINE = r"(^|\n)[ \t/*#;>-]*((copyright|©)[ \t]*(\(c\)|©|[0-9<\[{,-]|by )|\(c\)[ \t]*(copyright|[0-9]))[^\n]*"
+#: The same with a plain name: "copyright" and a word that running licence text doesn't have there.
+NAMED_LINE = r"(^|\n)[ \t/*#;>-]*copyright[ \t]+(?!(notices?|(co)?holders?|owners?|laws?|licen[cs]e[sd]?|statements?|interests?|rights?|and|or|in|on|of|to|is|as|for|under|treat(y|ies)|claims?|disclaimers?|permissions?|protection|infringements?|doctrines?)([^a-z0-9]|$))[^ \t\n][^\n]*"
 RESERVED_LINE = r"(^|\n)[ \t/*#;>-]*all rights reserved[.]?[ \t]*"
 #: Equivalent spellings, after the licence list matching guidelines (fixed values).
 SPELLINGS = {
@@ -104,10 +107,18 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     """
     known = known_table(docs.sparkSession) if known is None else known
     known = known.where(F.col("digest") != hashlib.sha256(b"").hexdigest()).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
         known = F.broadcast(known)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
-    return keyed.join(known, "digest", "left").select("doc_id", "digest", "license_id", F.col("license_id").isNotNull().alias("is_license"))
+    text = F.col(text_col)
+    lower = F.translate(text, UPPER, LOWER)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), F.when(lower.rlike(NAMED_LINE), digest(F.regexp_replace(lower, NAMED_LINE, "\n"))).alias("named"))
+    # The second digest is never null, so that a join by shuffle has no null key in which all texts without one meet.
+    keyed = keyed.select("doc_id", "digest", F.coalesce("named", "digest").alias("named"))
+    other = known.select(F.col("digest").alias("named"), F.col("license_id").alias("other_id"))
+    other = F.broadcast(other) if few else other
+    found = keyed.join(known, "digest", "left").join(other, "named", "left").select("doc_id", "digest", F.coalesce("license_id", "other_id").alias("license_id"))
+    return found.withColumn("is_license", F.col("license_id").isNotNull())
 
 
 def scan_sql() -> str:

@@ -140,6 +140,15 @@ def test_licences(spark):
     assert "Python" not in license_digest.scan_licenses(docs)._jdf.queryExecution().toString()
 
 
+def test_copyright_lines_with_a_plain_name(spark):
+    mit = LICENSES["MIT"]
+    lines = ["Copyright Joyent, Inc. and other Node contributors.", " * COPYRIGHT The X Authors", "Copyright Ändern e.V.", "Copyright notice of mine", "copyright holders", "Copyright law applies"]
+    docs = spark.createDataFrame([(i, f"{x}\n\n{mit}") for i, x in enumerate(lines)], "doc_id int, text string")
+    got = {r.doc_id: r for r in license_digest.scan_licenses(docs).collect()}
+    assert [got[i].license_id for i in range(len(lines))] == ["MIT"] * 3 + [None] * 3
+    assert all(got[i].digest == hashlib.sha256(license_digest.canonical_text(f"{x}\n\n{mit}").encode()).hexdigest() for i, x in enumerate(lines))
+
+
 def test_full_texts(spark):
     folder = Path("/usr/share/common-licenses")
     names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
