@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
+import atexit
+import re
 import tempfile
-import threading
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import AbstractContextManager, contextmanager, suppress
-from functools import wraps
+from collections.abc import Callable, Collection, Iterator
+from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowfeed.session import share_code
 
@@ -38,97 +38,107 @@ def prepare(spark: SparkSession) -> None:
     share_code(spark)
 
 
-class Caches:
-    """What a worker keeps from task to task (token states, hashes, vectors), dropped when it has had no task for a while.
+#: What a worker keeps from task to task (token states, hashes, vectors): owner -> how to forget it.
+_KEPT: dict[str, Callable[[], object]] = {}
 
-    Spark keeps idle workers for a minute; their memory is better used by whatever runs meanwhile.
-    """
 
-    IDLE_SECONDS = 8.0
+def keep(owner: str, forget: Callable[[], object]) -> None:
+    """Register a cache of the worker. Each is bounded in bytes by its owner."""
+    _KEPT[owner] = forget
 
-    def __init__(self) -> None:
-        self.drops: list[Callable[[], object]] = []
-        self.lock, self.users, self.timer = threading.Lock(), 0, None
 
-    def register(self, drop: Callable[[], object]) -> None:
-        self.drops.append(drop)
+def keep_only(owner: str) -> None:
+    """A worker has the caches of one operator at a time: those of others are forgotten."""
+    for name, forget in _KEPT.items():
+        if name != owner:
+            forget()
 
-    @contextmanager
-    def in_use(self) -> Iterator[None]:
-        with self.lock:
-            self.users += 1
-            if self.timer is not None:
-                self.timer.cancel()
-                self.timer = None
-        try:
-            yield
-        finally:
-            with self.lock:
-                self.users -= 1
-                if not self.users and TaskContext.get() is not None:  # on the driver nothing is dropped
-                    self.timer = threading.Timer(self.IDLE_SECONDS, self.drop)
-                    self.timer.daemon = True
-                    self.timer.start()
 
-    def drop(self) -> None:
-        """Forget all; a task that runs has its own references."""
-        with self.lock:
-            if self.users:
-                return
-            for f in self.drops:
-                f()
-            gc.collect()
-            with suppress(OSError, AttributeError):  # glibc only
-                ctypes.CDLL(None).malloc_trim(0)
+class Kept(dict):
+    """A dict that computes what is missing, and starts anew when it is full. Keys longer than LONGEST are not kept, so entries bound bytes."""
 
+    LONGEST = 64
 
-CACHES = Caches()
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
 
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self.make(key)
+        if isinstance(key, (str, bytes)) and len(key) > self.LONGEST:
+            return value
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
 
-def in_use() -> AbstractContextManager[None]:
-    """The worker's own caches in use; a function sent to a worker refers to this by name."""
-    return CACHES.in_use()
 
-
-def kept_warm(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for `mapInArrow` during which caches stay."""
-
-    @wraps(fn)
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with in_use():
-            yield from fn(batches)
-
-    return run
+def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` with this package in the workers' path."""
+    prepare(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """`mapInArrow` with a function of one batch."""
 
-    @kept_warm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
 
-    prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
+
+
+def size_slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose strings (or binaries) of the column have at most so many bytes together; a longer one is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The key of a row by its id and text, a hash of 64 bits: the same wherever it is computed, spread for repeated and null ids."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def fresh(columns: Collection[str], *names: str) -> list[str]:
+    """The names, with a mark where the columns have them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; without it, a temporary one if all run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rowfeed-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 class Workspace:
-    """Tables of one job in the shared folder. They cut lineage and outlive any executor."""
+    """Tables of one job in the shared folder. They cut lineage and outlive any executor; the driver deletes them when it ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/rowfeed-{uuid.uuid4().hex}"
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        with suppress(Exception):  # the session may be gone
+            self.drop("")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` as Parquet and read it back."""
@@ -139,7 +149,7 @@ class Workspace:
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

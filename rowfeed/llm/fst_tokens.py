@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import CACHES, map_batches
+from rowfeed.llm.common import Kept, keep, keep_only, map_batches
 
 #: The vocabulary's own character for a space, and the one used here, with which texts stay in one byte a character where they can.
 MARK, SPACE = "▁", " "
@@ -49,21 +49,6 @@ class ChunkMap(NamedTuple):
     tail: str | None
 
 
-class Kept(dict):
-    """A dict that computes what is missing, and starts anew when it is full."""
-
-    def __init__(self, make: Callable, most: int) -> None:
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):  # noqa: ANN001, ANN204
-        value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class TokenCounter:
     """pieces: (piece, score) of the vocabulary; the text's spaces become the piece character for them, one more goes before."""
 
@@ -224,7 +209,7 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(load_pieces(path))
 
 
-CACHES.register(counter.cache_clear)
+keep("tokens", counter.cache_clear)
 
 
 def tokenizer_path(name: str) -> str:
@@ -239,6 +224,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     more = [c.alias(name) for name, c in (carry or {}).items()]
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep_only("tokens")
         c = counter(tokenizer_path(model))
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
         tokens = pa.array((c.count(t.as_py() or "") for t in batch.column(1)), pa.int64())

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import CACHES, Workspace, kept_warm, prepare
+from rowfeed.llm.common import Workspace, keep, keep_only, prepare
 from rowfeed.llm.fst_tokens import tokenizer_path
 
 MAGIC = b"RFPFOR1\n"
@@ -319,7 +319,7 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-CACHES.register(encoder.cache_clear)
+keep("ids", encoder.cache_clear)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -332,11 +332,11 @@ def write_ids(docs: DataFrame, folder: str, model: str = "byte_bpe_50k.json", en
     prepare(spark)
     end = np.array([end_id], "<u4").tobytes()
 
-    @kept_warm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        keep_only("ids")
         number, enc, out = TaskContext.get().partitionId(), encoder(tokenizer_path(model)), None
         for batch in batches:
             for i in range(0, batch.num_rows, 500):

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import CACHES, map_batches
+from rowfeed.llm.common import keep, keep_only, map_batches
 
 MAX_ROWS, MIN_DOCS = 3000, 5
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
@@ -268,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Cnn:
 
 
 _SCORERS: dict[str, Scorer] = {}
-CACHES.register(_SCORERS.clear)
+keep("toxicity", _SCORERS.clear)
 
 
 def scorer_of(sent: Broadcast[Cnn]) -> Scorer:
@@ -285,6 +285,7 @@ def score(docs: DataFrame, net: Cnn) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         scorer = scorer_of(sent)
         values, lang = [], []
         for i in range(0, batch.num_rows, 250):
