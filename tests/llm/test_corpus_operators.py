@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowfeed.llm import best_fit, chaining, fst_tokens, pfor_ids, queries, quality_rules, simhash_anchor
+from rowfeed.llm.common import space_words
 from tests.llm.conftest import prose
 
 
@@ -72,21 +73,31 @@ def test_packing_query(spark, sf):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=25, unique=True))
 def test_chains_are_best(anchors):
+    """By the score of runs of anchors on one diagonal that follow each other closely, chained by trying all."""
+    anchors = sorted(anchors)
     b, a = (np.array([x[i] for x in anchors], int) for i in (0, 1))
-    got = chaining.chains(b, a) if anchors else []
-    seen = [i for c in got for i in c.tolist()]
+    found = chaining.chains(np.zeros(len(anchors), int), b, a)
+    seen = [i for c in found for i in c.tolist()]
     assert len(seen) == len(set(seen))
-    for c in got:
+    for c in found:
         assert (np.diff(b[c]) > 0).all() and (np.diff(a[c]) > 0).all()
 
     def score(c):
         return len(c) - chaining.GAP_COST / 2 * sum(b[j] - b[i] + a[j] - a[i] for i, j in zip(c, c[1:], strict=False))
 
+    parts = []
+    for i in range(len(anchors)):
+        if parts and a[i] - b[i] == a[i - 1] - b[i - 1] and b[i] - b[i - 1] <= chaining.WINDOW:
+            parts[-1].append(i)
+        else:
+            parts.append([i])
     best = {}
-    for i in sorted(range(len(anchors)), key=lambda i: (b[i], a[i])):
-        best[i] = max([1.0, *(1 + best[j] - chaining.GAP_COST / 2 * (b[i] - b[j] + a[i] - a[j]) for j in best if b[j] < b[i] and a[j] < a[i])])
-    if got:
-        assert score(got[0].tolist()) == pytest.approx(max(best.values()))
+    for k, part in enumerate(parts):
+        before = [j for j in best if b[parts[j][-1]] < b[part[0]] and a[parts[j][-1]] < a[part[0]]]
+        gap = lambda j: chaining.GAP_COST / 2 * (b[part[0]] - b[parts[j][-1]] + a[part[0]] - a[parts[j][-1]])  # noqa: E731, B023
+        best[k] = score(part) + max([0.0, *(best[j] - gap(j) for j in before)])
+    if found:
+        assert score(found[0].tolist()) == pytest.approx(max(best.values()))
 
 
 @settings(max_examples=80, deadline=None)
@@ -110,7 +121,8 @@ def test_every_window_has_a_seed():
     r = np.random.default_rng(0)
     texts = [r.integers(1, 2**16, n).astype(np.uint16) for n in (0, 3, 5, 11, 12, 1000, 1969)]
     texts.append(texts[5][100:180])
-    seed, doc, pos, context = chaining.seeds(texts)
+    (seed, doc, pos, context), repeats = chaining.seeds(texts)
+    assert not len(repeats[0])
     for d, t in enumerate(texts):
         at = pos[doc == d]
         if len(t) >= chaining.KMER:
@@ -121,8 +133,16 @@ def test_every_window_has_a_seed():
     whole = {int(s): (p, c) for s, d, p, c in zip(seed, doc, pos, context, strict=True) if d == 5}
     for s, p, c in [(int(s), p, c) for s, d, p, c in zip(seed, doc, pos, context, strict=True) if d == 7 and 7 <= p <= 68]:
         assert whole[s][0] == p + 100
-        right = min(chaining.BLOCKS, (80 - p - chaining.KMER) // chaining.BLOCK)
-        assert chaining.alike(np.array([c]), np.array([whole[s][1]]))[0] >= right
+        assert chaining.alike(np.array([c]), np.array([whole[s][1]]))[0] >= 2 * min(chaining.NEAR, 80 - p - chaining.KMER)
+
+
+def test_stretches_that_repeat_a_unit():
+    r = np.random.default_rng(1)
+    text = lambda n: r.integers(1, 2**16, n).astype(np.uint16)
+    one, unit = np.full(60, 7, np.uint16), text(11)
+    _, (hashes, doc, start, size) = chaining.seeds([np.concatenate([text(30), one, text(5)]), np.concatenate([np.tile(unit, 6)[3:], text(40)]), np.tile(unit, 5)[:49], np.concatenate([text(9), np.tile(unit, 7)])])
+    assert [(int(d), int(s), int(n)) for d, s, n in zip(doc, start, size, strict=True)] == [(0, 30, 60), (1, 0, 63), (3, 9, 77)]
+    assert hashes[1] == hashes[2] != hashes[0]
 
 
 @settings(max_examples=100, deadline=None)
@@ -252,7 +272,7 @@ def test_recall_of_fuzzy_passages(spark):
 
 
 def test_exact_repeats_of_all_documents(spark, sf):
-    docs = {r.doc_id: chaining.space_words(r.text) for r in queries.documents(spark, sf).collect()}
+    docs = {r.doc_id: space_words(r.text) for r in queries.documents(spark, sf).collect()}
     first, need = {}, {}
     found = covered(queries.op6_substring_dedup(spark, sf))
     for k in sorted(docs):
