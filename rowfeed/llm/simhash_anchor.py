@@ -10,12 +10,17 @@ The 189 copies a distinct fingerprint don't grow with the input, and an anchor g
 An anchor that is home to more than HOT_HOMES fingerprints is split: its rows are dealt out by each of five blocks of the other
 half, one of which two linked fingerprints have in common.
 
+An anchor sees about N * 172 / 2^27 of N spread fingerprints and compares each with those at home: beyond some 10^8 distinct ones the
+comparisons grow with the square of N.
+
 Only distinct fingerprints are dealt out (hot groups of copies shrink to one row before any shuffle). At an anchor with
 many, a search over links drops each one reached from the list, so a dense cluster costs about its size, not its square.
 Components come from alternating large and small stars over the links, each round a table in the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows that share a doc_id keep their own
 fingerprints; a null doc_id is never the smallest; repeated rows each get their row; an empty table gives an empty result.
+`keep_first` works on rows, not ids: of each component the row with the smallest doc_id stays (a null one last; of equal ids the
+one with the smaller key by id and text), and one of rows that are equal in both; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,15 +30,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import Workspace, map_batches, prepare, space_words
+from rowfeed.llm.common import Workspace, fresh, map_batches, map_stream, prepare, row_key, space_words
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 LEFT_BITS, RIGHT_BITS = 1, 2  # (LEFT_BITS + 1) + (RIGHT_BITS + 1) > THRESHOLD
-#: Dealt rows of one task, about; 16 bytes each.
-TASK_ROWS = 2_000_000
+#: Dealt rows of one task, about, 16 bytes each, and of one comparison; tasks at most, which then compare anchor after anchor.
+TASK_ROWS, MOST_TASKS = 2_000_000, 20_000
 #: Anchors with fewer fingerprints are compared by shifting the sorted rows; larger ones by a search.
 SMALL_ANCHOR = 24
 HASH_CHUNK = 1 << 15
@@ -62,15 +67,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, name: str, column: Column, text_col: str = "text") -> DataFrame:
+    """(name, fp) of each row: the column, and the fingerprint's 64 bits as a signed long."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(0)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fps.view(np.int64))], [name, "fp"])
 
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(read, run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    read = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), column.alias(name))
+    return map_batches(read, run, f"{name} {read.schema[name].dataType.simpleString()}, fp bigint")
 
 
 def syndrome(x: np.ndarray) -> np.ndarray:
@@ -138,7 +143,7 @@ def split_hot(keys: np.ndarray, fps: np.ndarray, hot: np.ndarray) -> tuple[np.nd
     return np.concatenate([keys[~is_hot], *parts]), np.concatenate([fps[~is_hot], *[f] * len(BLOCKS)])
 
 
-def links_at_anchors(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links_at_anchors(keys: np.ndarray, fps: np.ndarray, small_anchor: int = SMALL_ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all that are within the threshold of one at home, at each anchor."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
@@ -146,16 +151,16 @@ def links_at_anchors(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.
     at_home = np.where(keys >> 32 & 1 == 0, homes(left), homes(right)) == (keys & 0xFFFFFFFF)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
-    small = np.repeat(sizes < SMALL_ANCHOR, sizes)
+    small = np.repeat(sizes < small_anchor, sizes)
     a, b = [], []
-    for shift in range(1, SMALL_ANCHOR - 1):
+    for shift in range(1, small_anchor - 1):
         i = np.flatnonzero((keys[shift:] == keys[:-shift]) & small[shift:] & (at_home[shift:] | at_home[:-shift]))
         if not len(i):
             break
         i = i[np.bitwise_count(fps[i] ^ fps[i + shift]) <= THRESHOLD]
         a.append(fps[i])
         b.append(fps[i + shift])
-    for start, size in zip(starts[sizes >= SMALL_ANCHOR], sizes[sizes >= SMALL_ANCHOR], strict=True):
+    for start, size in zip(starts[sizes >= small_anchor], sizes[sizes >= small_anchor], strict=True):
         here, home = fps[start : start + size], at_home[start : start + size]
         rest = np.arange(size)
         for h in np.flatnonzero(home):
@@ -194,16 +199,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if parts:
-        keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = links_at_anchors(keys, fps.view(np.uint64))
-        u, v = forest(a.view(np.int64), b.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-
-def links(distinct: DataFrame) -> DataFrame:
+def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(anchors, fingerprints) of about TASK_ROWS rows, cut between anchors; rows come sorted by anchor."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if n >= TASK_ROWS and (cut := int(np.searchsorted(keys, held[-1][0][-1], side="right"))) < len(keys):
+            held.append((keys[:cut], fps[:cut]))
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n, keys, fps = [], 0, keys[cut:], fps[cut:]
+        if len(keys):
+            held.append((keys, fps))
+            n += len(keys)
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def links(distinct: DataFrame, hot_homes: int = HOT_HOMES, small_anchor: int = SMALL_ANCHOR) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that leave the same components as all links."""
     spark = distinct.sparkSession
     prepare(spark)
@@ -211,8 +224,8 @@ def links(distinct: DataFrame) -> DataFrame:
     def at_home(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(home_keys(batch.column(0).to_numpy().view(np.uint64)))], ["anchor"])
 
-    # At most two in HOT_HOMES of the fingerprints, 8 bytes each, come to the driver and go to the tasks.
-    crowded = map_batches(distinct.select("fp"), at_home, "anchor bigint").groupBy("anchor").count().where(F.col("count") > HOT_HOMES)
+    # At most two in `hot_homes` of the fingerprints, 8 bytes each, come to the driver and go to the tasks.
+    crowded = map_batches(distinct.select("fp"), at_home, "anchor bigint").groupBy("anchor").count().where(F.col("count") > hot_homes)
     hot = np.sort(np.array([r.anchor for r in crowded.collect()], np.int64))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -221,9 +234,15 @@ def links(distinct: DataFrame) -> DataFrame:
             keys, who = split_hot(*deal(fps[i : i + 4096]), hot)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(who.view(np.int64))], ["anchor", "fp"])
 
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, fps in by_anchor(batches):
+            a, b = links_at_anchors(keys, fps.view(np.uint64), small_anchor)
+            u, v = forest(a.view(np.int64), b.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
     dealt = map_batches(distinct.select("fp"), run, "anchor bigint, fp bigint")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + distinct.count() * 189 // TASK_ROWS)
-    return dealt.repartition(tasks, "anchor").mapInArrow(_linked, "u bigint, v bigint").distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, 1 + distinct.count() * 189 // TASK_ROWS))
+    return map_stream(dealt.repartition(tasks, "anchor").sortWithinPartitions("anchor"), linked, "u bigint, v bigint").distinct()
 
 
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
@@ -232,7 +251,8 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    least = lambda e: e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+    # The aggregate is dealt again by u, so that both sides of the join are plain shuffles, of which the planner can split a node with very many links.
+    least = lambda e: e.join(e.groupBy("u").agg(F.min("v").alias("m")).repartition("u"), "u")
     now, turn = work.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars-0"), 0
     seen = mark(now)
     while True:
@@ -248,21 +268,36 @@ def components(work: Workspace, edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(work: Workspace, prints: DataFrame, first: Column, hot_homes: int = HOT_HOMES, small_anchor: int = SMALL_ANCHOR) -> DataFrame:
+    """(fp, first): of each distinct fingerprint, the least `first` (of prints' columns) among all that links reach."""
+    distinct = work.save(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    stars = components(work, links(distinct, hot_homes, small_anchor))
+    rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return work.save(rooted.drop("first").join(firsts, "root").select("fp", "first"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_homes: int = HOT_HOMES, small_anchor: int = SMALL_ANCHOR) -> DataFrame:
     """One row for each row of `docs`: doc_id, fingerprint, component_id (the smallest doc_id reachable by links)."""
     work = Workspace(docs.sparkSession)
-    prints = work.save(fingerprints(docs, id_col, text_col), "prints")
-    distinct = work.save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    stars = components(work, links(distinct))
-    rooted = distinct.join(stars, distinct.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = work.save(rooted.join(firsts, "root").select("fp", "component_id"), "classes")
+    prints = work.save(fingerprints(docs, "doc_id", F.col(f"`{id_col}`"), text_col), "prints")
+    found = classes(work, prints, F.col("doc_id"), hot_homes, small_anchor)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(found, "fp").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, the one with the smallest doc_id; rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    extra = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` with one row of each component."""
+    work, key = Workspace(docs.sparkSession), fresh(docs.columns, "row_key")[0]
+    named = F.struct(row_key().alias("row"), F.col("doc_id"))
+    prints = work.save(fingerprints(docs, "named", named).select("named.row", "named.doc_id", "fp"), "prints")
+    found = classes(work, prints, F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row"))
+    extra = prints.join(found, "fp").where(F.col("row") != F.col("first.row")).select("row")
+    # Rows equal in id and text: one of them stays, or none.
+    repeated = work.save(prints.groupBy("row").count().where("count > 1").select("row"), "repeated")
+    keyed = docs.withColumn(key, row_key())
+    once = keyed.join(extra.union(repeated).distinct().select(F.col("row").alias(key)), key, "left_anti")
+    if not repeated.isEmpty():
+        firsts = repeated.join(extra.distinct(), "row", "left_anti").select(F.col("row").alias(key))
+        once = once.unionByName(keyed.join(firsts, key, "left_semi").dropDuplicates([key]))
+    return once.select(*[f"`{c}`" for c in docs.columns])
