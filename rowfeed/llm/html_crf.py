@@ -20,6 +20,7 @@ repeated pages each get their row; a null id or url stays null; an empty table g
 from __future__ import annotations
 
 import html as html_lib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -49,7 +50,10 @@ WITHIN = INLINE | FOREIGN | SKIPPED - {"head"}
 #: A start tag of the key ends an open tag of these, up to a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("html body div section article main aside header footer nav form table ul ol dl td th blockquote figure details fieldset dialog object".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(?:[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: A quote that begins a value, or the end of a tag.
+QUOTE_OR_END = re.compile(r"(=\s*)([\"'])|>")
+RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 MAY_HIDE = re.compile(r"hidden|style", re.I)
 NAME_VALUE = re.compile(r"([^\s\"'=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?|\"[^\"]*\"|'[^']*'")
@@ -74,10 +78,27 @@ def is_hidden(attributes: str) -> bool:
     return bool(shown) and shown[-1].removesuffix("!important") == "none"
 
 
+#: Words in class, id or role that stand for kinds of page parts (fixed values).
+KINDS = {
+    "advert": "ad ads adv advert advertisement advertising banner sponsor sponsored promo promoted promotion adsense dfp outbrain taboola",
+    "comment": "comment comments commentlist disqus respond reply replies discussion reactions feedback review reviews",
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar tabs pagination pager skip topbar",
+    "side": "sidebar side aside rail widget widgets related recommended recommendation popular trending more",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog newsletter subscribe subscription paywall signup login disclaimer toast",
+    "share": "share sharing social follow tweet facebook buttons meta byline tags taglist",
+    "foot": "footer foot copyright colophon legal contentinfo bottom",
+    "head": "header masthead head top logo branding",
+    "form": "form search searchbox input field login",
+    "main": "article post entry content main story body text maincontent articlebody postbody prose markdown",
+}
+KIND_OF = {f".{w}": kind for kind, words in KINDS.items() for w in words.split()}
+TAGS = set("article main section aside nav header footer form ul ol li dl table td th h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption div details summary dialog fieldset label address a menu center".split())
+
+
 class Block:
     __slots__ = ("parts", "link", "path", "tag")
 
-    def __init__(self, path: tuple, tag: str) -> None:
+    def __init__(self, path: frozenset[str], tag: str) -> None:
         self.parts: list[str] = []
         self.link = 0
         self.path = path
@@ -87,73 +108,147 @@ class Block:
         return SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
-    """(text, share of link text, ancestor names, block tag) of each leaf block, in page order."""
+class Tokens:
+    """Tags of a page from left to right. Each character is looked at a bounded number of times, whatever is left open."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" or "", name, attributes) of the next tag, with an empty name for comments and declarations."""
+        page = self.page
+        while at <= self.last["<"]:
+            start = page.find("<", at)
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, (len(page) if end < 0 else end + 3), "", "", ""
+            m = TAG.match(page, start)
+            if m is None:
+                at = start + 1
+                continue
+            end = self.end(m.end())
+            if end >= 0:
+                return start, end + 1, m[1], m[2] or "", page[m.end() : end] if m[2] else ""
+            return None
+        return None
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag: not one in a quoted value. -1 if there is none."""
+        page = self.page
+        while at <= self.last[">"]:
+            m = QUOTE_OR_END.search(page, at)
+            if m[2] is None:
+                return m.end() - 1
+            # A quote that nothing closes is a character like others.
+            at = page.find(m[2], m.end()) + 1 if m.end() <= self.last[m[2]] else m.end()
+        return -1
+
+
+class Open:
+    """The open elements, with what is asked about them kept by name, so that no question walks through them."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.hidden: list[bool] = []
+        self.paths: list[frozenset[str]] = []  # features of an element and all around it; equal sets are shared
+        self.at: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+        self.not_cells: list[int] = []
+        self.blocks: list[int] = []
+        self.skipped = self.links = 0
+
+    def push(self, tag: str, names: set[str], hidden: bool) -> None:
+        i, path = len(self.tags), self.paths[-1] if self.paths else frozenset()
+        own = {f"in={n}" if n in TAGS else f"kind={KIND_OF[n]}" for n in names if n in TAGS or n in KIND_OF}
+        self.paths.append(path if own <= path else path | own)
+        self.tags.append(tag)
+        self.hidden.append(hidden)
+        self.at.setdefault(tag, []).append(i)
+        if tag in CONTAINERS:
+            self.containers.append(i)
+            if tag not in ("td", "th"):
+                self.not_cells.append(i)
+        if tag not in WITHIN:
+            self.blocks.append(i)
+        self.skipped += tag in SKIPPED or hidden
+        self.links += tag == "a"
+
+    def last(self, *tags: str) -> int:
+        """The innermost element of the names, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, i: int) -> bool:
+        """Closes element i and all in it; whether a block is among them."""
+        block = False
+        while len(self.tags) > i:
+            tag, hidden = self.tags.pop(), self.hidden.pop()
+            self.paths.pop()
+            self.at[tag].pop()
+            for kept in (self.containers, self.not_cells, self.blocks):
+                if kept and kept[-1] == len(self.tags):
+                    kept.pop()
+            self.skipped -= tag in SKIPPED or hidden
+            self.links -= tag == "a"
+            block |= tag not in WITHIN
+        return block
+
+
+def blocks(page: str | None) -> list[tuple[str, float, frozenset[str], str]]:
+    """(text, share of link text, features of the ancestors, block tag) of each leaf block, in page order. Linear in the page."""
     if not page:
         return []
-    stack: list[tuple[str, frozenset]] = []
-    out: list[Block] = []
+    stack, tokens, out = Open(), Tokens(page), []
     now: Block | None = None
-    links = skipped = 0
-    at, end = 0, len(page)
+
+    def close(i: int) -> None:
+        nonlocal now
+        if stack.close(i):
+            now = None
 
     def end_head() -> None:
         """Closes a head that nothing but noscript is open in."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == "head":
-                return close(i)
-            if stack[i][0] != "noscript":
-                return
+        i = stack.last("head")
+        if i >= 0 and all(t == "noscript" for t in itertools.islice(stack.tags, i + 1, None)):
+            close(i)
 
     def text(s: str) -> None:
         nonlocal now
-        if skipped and s.strip():
+        if stack.skipped and s.strip():
             end_head()
-        if skipped or not s:
+        if stack.skipped or not s:
             return
         if now is None:
             if not s.strip():
                 return
-            tag = next((t for t, _ in reversed(stack) if t not in WITHIN), "body")
-            now = Block(tuple(n for _, n in stack), tag)
+            now = Block(stack.paths[-1] if stack.paths else frozenset(), stack.tags[stack.blocks[-1]] if stack.blocks else "body")
             out.append(now)
         s = html_lib.unescape(s) if "&" in s else s
         now.parts.append(s)
-        if links:
+        if stack.links:
             now.link += len(s.strip())
 
-    def close(i: int) -> None:
-        nonlocal links, skipped, now
-        for t, _ in stack[i:]:
-            links -= t == "a"
-            skipped -= t in SKIPPED or t.startswith("!hidden")
-            if t not in WITHIN:
-                now = None
-        del stack[i:]
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
+    at = 0
+    while at < len(page):
+        token = tokens.next(at)
+        if token is None:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        start, end, slash, tag, attributes = token
+        text(page[at:start])
+        at, tag = end, tag.lower()
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0].removeprefix("!hidden ") == tag:
-                    close(i)
-                    break
-                if stack[i][0] in CONTAINERS and tag in INLINE:
-                    break
+        if slash:
+            i = stack.last(tag)
+            if i >= 0 and not (tag in INLINE and stack.containers and stack.containers[-1] > i):
+                close(i)
             if tag not in WITHIN:
                 now = None
             continue
-        if skipped and tag not in IN_HEAD:
+        if stack.skipped and tag not in IN_HEAD:
             end_head()
-        if tag == "head" and any(t != "html" for t, _ in stack):
+        if tag == "head" and len(stack.tags) > len(stack.at.get("html", ())):
             continue
         if tag in VOID:
             if tag in ("br", "wbr"):
@@ -162,32 +257,26 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
                 now = None
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = stop.start() if stop else end
+            stop = RAW_END[tag].search(page, at)
+            at = stop.start() if stop else len(page)
         if tag not in WITHIN:
             now = None
-            ends = ENDS.get(tag)
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
-                if t == "p" or (ends and t in ends):
-                    close(i)
-                    if not ends or t != "p":
-                        break
-                elif t in CONTAINERS and not (ends and t in ("td", "th")):
-                    break
-        attributes = m[3]
-        names = {tag}
+            # A block start ends an open paragraph, some end an open one of their kind, up to a container.
+            ends = ENDS.get(tag, ())
+            barrier = (stack.not_cells if ends else stack.containers)[-1:]
+            i = stack.last(*ends)
+            i = i if i > (barrier or [-1])[0] else stack.last("p")
+            if i > (barrier or [-1])[0]:
+                close(i)
+        names, hidden = {tag}, False
         if attributes:
             names |= {f".{w}" for value in ATTRIBUTE.findall(attributes) for w in NAME.findall(value.lower())}
             if attributes.rstrip().endswith("/") and tag not in CONTAINERS and tag not in ("p", "a", "b"):
                 continue
-            if tag != "head" and is_hidden(attributes):
-                tag = f"!hidden {tag}"
-        if tag == "text":
+            hidden = tag != "head" and is_hidden(attributes)
+        if tag == "text" and not hidden:
             text(" " if now else "")
-        stack.append((tag, frozenset(names)))
-        links += tag == "a"
-        skipped += tag in SKIPPED or tag.startswith("!hidden")
+        stack.push(tag, names, hidden)
     found = []
     for b in out:
         if t := b.text():
@@ -195,38 +284,15 @@ def blocks(page: str | None) -> list[tuple[str, float, tuple, str]]:
     return found
 
 
-#: Words in class, id or role that stand for kinds of page parts (fixed values).
-KINDS = {
-    "advert": "ad ads adv advert advertisement advertising banner sponsor sponsored promo promoted promotion adsense dfp outbrain taboola",
-    "comment": "comment comments commentlist disqus respond reply replies discussion reactions feedback review reviews",
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar tabs pagination pager skip topbar",
-    "side": "sidebar side aside rail widget widgets related recommended recommendation popular trending more",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog newsletter subscribe subscription paywall signup login disclaimer toast",
-    "share": "share sharing social follow tweet facebook buttons meta byline tags taglist",
-    "foot": "footer foot copyright colophon legal contentinfo bottom",
-    "head": "header masthead head top logo branding",
-    "form": "form search searchbox input field login",
-    "main": "article post entry content main story body text maincontent articlebody postbody prose markdown",
-}
-KIND_OF = {f".{w}": kind for kind, words in KINDS.items() for w in words.split()}
-TAGS = set("article main section aside nav header footer form ul ol li dl table td th h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption div details summary dialog fieldset label address a menu center".split())
-
-
-@lru_cache(65536)
-def _path_features(path: tuple, tag: str) -> tuple[str, ...]:
-    out = {f"block={tag if tag in TAGS else 'other'}"}
-    for names in path:
-        for n in names:
-            if n in TAGS:
-                out.add(f"in={n}")
-            elif n in KIND_OF:
-                out.add(f"kind={KIND_OF[n]}")
-    if "in=article" not in out and "in=main" not in out and "kind=main" not in out:
+@lru_cache(4096)
+def _path_features(path: frozenset[str], tag: str) -> tuple[str, ...]:
+    out = {f"block={tag if tag in TAGS else 'other'}", *path}
+    if not out & {"in=article", "in=main", "kind=main"}:
         out.add("outside")
     return tuple(sorted(out))
 
 
-def features(text: str, link: float, path: tuple, tag: str) -> list[str]:
+def features(text: str, link: float, path: frozenset[str], tag: str) -> list[str]:
     size = len(text)
     out = [*_path_features(path, tag), "size=" + ("0" if size < 15 else "1" if size < 40 else "2" if size < 100 else "3" if size < 300 else "4")]
     out.append("link=" + ("0" if link < 0.1 else "1" if link < 0.5 else "2"))
