@@ -6,12 +6,14 @@ occurrence, become a separator too. Over the symbols' suffix array the Burrows-W
 matrix (one ranked bit vector for each bit of the symbol number). Phrases are searched backwards, all at once, by two
 ranks a step; occurrences are located by walking to the next sampled suffix position; their spans are merged by document.
 
-The phrases are broadcast in blocks of at most BLOCK_WORDS words, so what is sent at once is bounded. Each further block
-is a further pass of the same rows through the same stage, which carries the spans found so far; nothing is shuffled.
+The phrases are broadcast in blocks of about BLOCK_WORDS words, one block at a time: rows with the spans found so far are
+written to the shared folder before the next block is built and sent. So what is sent, and a worker's memory, is bounded for
+a benchmark of any size. Nothing is shuffled. Batches are cut by bytes of text.
 
 Defined results: a null or empty text has no words and is not contaminated; an item without words has no phrase; an item
 with a null id takes part in hits and counts as one item with the empty id; equal items count by id, once each; repeated
-documents each get their row; empty tables give an empty result or no hits. Other columns pass through `find_leaks`.
+documents each get their row; empty tables give an empty result or no hits; a text of any length is looked at whole. Other
+columns pass through `find_leaks`.
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import ALNUM_LOWER, alnum_words, prepare
+from rowfeed.llm.common import ALNUM_LOWER, Workspace, alnum_words, fresh, prepare, size_slices
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
-#: Documents of a shard at most; symbols indexed at once, and the distance of sampled suffix positions.
-SHARD_ROWS, SHARD_SYMBOLS, SAMPLE = 4000, 2_000_000, 16
+BLOCK_WORDS = 1_000_000
+#: Bytes of a shard's texts (a longer text is alone); symbols indexed at once, and the distance of sampled suffix positions.
+SHARD_BYTES, SHARD_SYMBOLS, SAMPLE = 12 << 20, 2_000_000, 16
 
 
 class RankedBits:
@@ -112,7 +115,7 @@ class FmIndex:
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         for back in range(1, phrases.shape[1] + 1):
             on = np.flatnonzero((lengths >= back) & (low < high))
-            c = phrases[on, -back]
+            c = phrases[on, -back].astype(np.int64)
             low[on], high[on] = self.first[c] + self.tree.rank(c, low[on]), self.first[c] + self.tree.rank(c, high[on])
         return low, high
 
@@ -130,25 +133,37 @@ class FmIndex:
 
 
 class Phrases:
-    """Distinct windows of benchmark items, with the items of each."""
+    """Distinct windows of benchmark items, with the items of each, as arrays: 4 bytes a word of a window."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
-        found: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = alnum_words(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.names = sorted({x for s in found.values() for x in s})
+        self.names = sorted({name for name, _ in items})
         number = {x: i for i, x in enumerate(self.names)}
         #: Symbol 0 ends a text, 1 separates.
-        self.vocabulary = {w: i + 2 for i, w in enumerate(dict.fromkeys(w for p in found for w in p))}
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            self.rows[i, window - len(p) :] = [self.vocabulary[w] for w in p]
-        self.items = [np.array(sorted(number[x] for x in s), np.int64) for s in found.values()]
+        self.vocabulary: dict[bytes, int] = {}
+        rows, lengths, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for name, text in items:
+            words = alnum_words(text)
+            if not words:
+                continue
+            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], np.int32)
+            size = min(len(codes), window)
+            mine = np.zeros((len(codes) - size + 1, window), np.int32)  # right-aligned
+            mine[:, window - size :] = np.lib.stride_tricks.sliding_window_view(codes, size)
+            rows.append(mine)
+            lengths.append(np.full(len(mine), size, np.int32))
+            owners.append(np.full(len(mine), number[name], np.int32))
+        self.rows, first, of = np.unique(np.concatenate(rows), axis=0, return_index=True, return_inverse=True)
+        self.lengths = np.concatenate(lengths)[first].astype(np.int64)
+        pairs = np.unique(np.stack([of.ravel().astype(np.int64), np.concatenate(owners)], 1), axis=0)
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.owners = pairs[:, 1].astype(np.int32)
         self.shortest = int(self.lengths.min(initial=window))
 
+    def items(self, phrases: np.ndarray) -> list[str]:
+        """Names of the items with any of the phrases, sorted."""
+        found = [self.owners[self.starts[p] : self.starts[p + 1]] for p in phrases]
+        return [self.names[i] for i in np.unique(np.concatenate(found))]
+
     def project(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without what can't be in an occurrence, and each one's place in `symbols`."""
         edge = np.flatnonzero(np.diff(np.concatenate([[0], symbols > 1, [0]])))
@@ -215,7 +230,7 @@ def scan_batch(texts: list[str | None], phrases: Phrases) -> tuple[list[int], li
         d = int(doc[rows[0]])
         begin = at[rows] - starts[d]
         spans[d] = merged(np.stack([begin, begin + phrases.lengths[which[rows]]], 1))
-        items[d] = [phrases.names[i] for i in np.unique(np.concatenate([phrases.items[w] for w in np.unique(which[rows])]))]
+        items[d] = phrases.items(np.unique(which[rows]))
     return sizes, spans, items
 
 
@@ -247,13 +262,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bl
     keep = out.columns
     text_at = keep.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + "".join(f", `{n}` {t}" for n, t in zip(names, HITS, strict=True))
-    blocks = [spark.sparkContext.broadcast(Phrases(b)) for b in benchmark_blocks(benchmark, block_words)] or [spark.sparkContext.broadcast(Phrases([]))]
-    for k, sent in enumerate(blocks):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, more=k > 0, last=sent is blocks[-1]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in (b.slice(i, SHARD_ROWS) for b in batches for i in range(0, b.num_rows, SHARD_ROWS)):
+    def searched(df: DataFrame, phrases: Broadcast, more: bool, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (part for b in batches if b.num_rows for part in size_slices(b, text_at, SHARD_BYTES)):
                 texts = batch.column(text_at).to_pylist()
-                sizes, spans, items = scan_batch(texts, sent.value)
+                sizes, spans, items = scan_batch(texts, phrases.value)
                 if more:
                     before_spans, before_items = batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist()
                     spans = [merged(np.array([*[(x["start"], x["end"]) for x in a], *b], np.int64).reshape(-1, 2)) for a, b in zip(before_spans, spans, strict=True)]
@@ -264,8 +278,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bl
                     before[text_at] = pa.array([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*before, *(pa.array(c, t) for c, t in zip(columns, HIT_TYPES, strict=True))], [*keep, *names])
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return df.mapInArrow(run, schema)
+
+    blocks, work, k = benchmark_blocks(benchmark, block_words), None, 0
+    block = next(blocks, [])
+    while True:
+        following = next(blocks, None)
+        sent = spark.sparkContext.broadcast(Phrases(block))
+        out = searched(out, sent, k > 0, following is None)
+        if following is None:
+            return out
+        work = work or Workspace(spark)
+        out = work.save(out, f"searched-{k}")
+        sent.destroy()
+        if k:
+            work.drop(f"searched-{k - 1}")
+        block, k = following, k + 1
 
 
 def hit_words(spans: str = "spans") -> Column:
@@ -303,11 +331,11 @@ def cut_words(text: str | None, spans: np.ndarray) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, lang, source, n_chars) without contaminated documents; from others the hit words are removed."""
-    size, spans, _ = own = ("__n_words", "__spans", "__items")
+    size, spans, _ = own = tuple(fresh(docs.columns, "n_words", "spans", "items"))
     found = find_leaks(docs, benchmark, names=own, cut=True)
     kept = found.where(~is_contaminated(hit_words(spans), F.col(size)))
     chars = F.when(F.size(spans) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", chars).select(*docs.columns)
+    return kept.withColumn("n_chars", chars).select(*[f"`{c}`" for c in docs.columns])
 
 
 def leak_sql() -> str:
