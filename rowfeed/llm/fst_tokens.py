@@ -8,9 +8,9 @@ difference) are the transducer's state; reading a character moves to the next st
 States and transitions are compiled when first needed and kept. A pair of characters that no piece contains resets the
 state, so a text falls into segments whose counts add up; their counts are kept as well, as compound transitions.
 
-Long texts are cut into chunks at any character. The map of a chunk takes the text read since the last reset to that
-after the chunk, with a count: (head up to the first reset, count between resets, tail). Maps compose associatively, so
-the counts of all prefixes of chunks come from a scan of logarithmic depth.
+Long texts are cut into chunks at any character. The map of a chunk takes each state in which the text before can leave the
+transducer to the state after the chunk and the count in between. A chunk with a reset has one state after it, whatever the
+state before, so maps are small. They compose associatively: the counts at the ends of all chunks come from a prefix scan.
 
 Defined results: null counts as the empty text, which has no tokens; repeated rows are counted alike; any length is
 counted whole; an empty table gives an empty result; columns other than the id and the text are not read.
@@ -22,7 +22,7 @@ import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from typing import NamedTuple, TypeVar
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,12 +41,8 @@ CHUNK_CHARS = 1 << 16
 T = TypeVar("T")
 
 
-class ChunkMap(NamedTuple):
-    """head: text before the first reset; count, tail: since then. tail is None if the chunk has no reset: the head is all of it."""
-
-    head: str
-    count: int
-    tail: str | None
+#: State before -> (state after, count in between).
+ChunkMap = dict[bytes, tuple[bytes, int]]
 
 
 class TokenCounter:
@@ -148,37 +144,49 @@ class TokenCounter:
     def segments(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.find(text)))
 
-    def chunk_map(self, text: str) -> ChunkMap:
+    def walk(self, state: bytes, text: str) -> tuple[bytes, int]:
+        """The state after the text, read from a state, and the change of the count. States are named by what they hold, as numbers are given anew."""
+        if len(self.items) > MAX_STATES:
+            self._reset_states()
+        at, total = self.state(struct.unpack(f"<{len(state) // 8}Q", state)), 0
+        for ch in text:
+            step = self.moves[at].get(ch)
+            if step is None:
+                step = self.moves[at][ch] = self.move(at, ch)
+            at = step >> 8
+            total += (step & 255) - BIAS
+        return self.items[at], total
+
+    def chunk_map(self, text: str, entries: Iterable[bytes]) -> ChunkMap:
         first = self.reset(text)
         if first is None:
-            return ChunkMap(text, 0, None)
-        # What follows the last reset stays open: the next chunk may go on with it.
+            return {q: self.walk(q, text) for q in entries}
         parts = self.find(text[first.start() :])
-        return ChunkMap(text[: first.start()], sum(map(self.counts.__getitem__, parts[:-1])), parts[-1] if parts else "")
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.tail is None:
-            left = self.chunk_map(a.head + b.head)
-            if left.tail is None:
-                return ChunkMap(left.head, b.count, b.tail)
-            return left if b.tail is None else ChunkMap(left.head, left.count + self.segments(left.tail) + b.count, b.tail)
-        if b.tail is None:
-            parts = self.find(a.tail + b.head)
-            return ChunkMap(a.head, a.count + sum(map(self.counts.__getitem__, parts[:-1])), parts[-1] if parts else "")
-        return ChunkMap(a.head, a.count + self.segments(a.tail + b.head) + b.count, b.tail)
-
-    def finish(self, m: ChunkMap) -> int:
-        """The count when the map is applied to the reset state and the text ends."""
-        return self.segments(m.head) + m.count + self.segments(m.tail or "")
+        after, count = self.walk(self.items[0], parts[-1])
+        count += sum(map(self.counts.__getitem__, parts[:-1]))
+        return {q: (after, self.walk(q, text[: first.start()])[1] + count) for q in entries}
+
+    def prefix_counts(self, text: str, chunk_chars: int = CHUNK_CHARS) -> list[int]:
+        """The counts of the text's prefixes that end with its chunks."""
+        text = SPACE + text.replace(MARK, SPACE)
+        start, maps = self.items[0], []
+        entries = {start}
+        for i in range(0, len(text), chunk_chars):
+            maps.append(self.chunk_map(text[i : i + chunk_chars], entries))
+            entries = {after for after, _ in maps[-1].values()}
+        return [m[start][1] for m in prefix_scan(maps, compose)]
 
     def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
-        text = SPACE + text.replace(MARK, SPACE)
-        if len(text) <= chunk_chars:
-            return self.segments(text)
-        maps = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
-        return self.finish(prefix_scan(maps, self.compose)[-1])
+        if len(text) < chunk_chars:
+            return self.segments(SPACE + text.replace(MARK, SPACE))
+        return self.prefix_counts(text, chunk_chars)[-1]
+
+
+def compose(f: ChunkMap, g: ChunkMap) -> ChunkMap:
+    """First f, then g."""
+    return {q: (g[state][0], n + g[state][1]) for q, (state, n) in f.items()}
 
 
 def prefix_scan(items: list[T], compose: Callable[[T, T], T]) -> list[T]:
