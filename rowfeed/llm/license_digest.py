@@ -67,23 +67,20 @@ SPACERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©«»‘’“”–—]+"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form as one expression. Words are padded by one space on each side while spellings are replaced."""
+    """The canonical form as one expression. While spellings are replaced each word has two spaces before and after it, one of its own, so that neighbours are both replaced."""
     lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     bare = F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, "\n"), RESERVED_LINE, "\n")
-    out = F.concat(F.lit(" "), F.regexp_replace(bare, SPACERS, " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(bare, SPACERS, "  "), F.lit(" "))
     for old, new in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def canonical_text(text: str | None) -> str:
     """The same on the driver, for the few licence texts and for tests."""
     lower = (text or "").translate(str.maketrans(UPPER, LOWER))
     bare = re.sub(RESERVED_LINE, "\n", re.sub(COPYRIGHT_LINE, "\n", lower))
-    out = f" {re.sub(SPACERS, ' ', bare)} "
-    for old, new in SPELLINGS.items():
-        out = out.replace(f" {old} ", f" {new} ")
-    return out.strip(" ")
+    return " ".join(SPELLINGS.get(w, w) for w in re.sub(SPACERS, " ", bare).split(" ") if w)
 
 
 def digest(text: Column) -> Column:
@@ -127,12 +124,12 @@ def scan_sql() -> str:
     def text(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    out = f"' ' || regexp_replace(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {text(COPYRIGHT_LINE)}, chr(10), 'g'), {text(RESERVED_LINE)}, chr(10), 'g'), {text(SPACERS)}, ' ', 'g') || ' '"
-    for old, new in SPELLINGS.items():
-        out = f"replace({out}, ' {old} ', ' {new} ')"
+    bare = f"regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {text(COPYRIGHT_LINE)}, chr(10), 'g'), {text(RESERVED_LINE)}, chr(10), 'g')"
+    spelt = "CASE w " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS.items()) + " ELSE w END"
+    out = f"array_to_string(list_transform(list_filter(string_split(regexp_replace({bare}, {text(SPACERS)}, ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {spelt}), ' ')"
     values = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
     return f"""
 WITH known(digest, license_id) AS (VALUES {values}),
-keyed AS (SELECT doc_id, sha256(trim({out}, ' ')) AS digest FROM documents)
+keyed AS (SELECT doc_id, sha256({out}) AS digest FROM documents)
 SELECT doc_id, digest, license_id, license_id IS NOT NULL AS is_license
 FROM keyed LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest) USING (digest)"""

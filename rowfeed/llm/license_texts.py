@@ -52,14 +52,6 @@ The copyright notices in the Software and this entire statement, including the a
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
 
-#: The wordings by which documents state a licence in one line; a text that is nothing else is matched too (fixed values).
-LICENSES |= {
-    "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT (notice)": "Released under the MIT License.",
-}
-
 
 #: Digests of full texts that are too long to be kept here: of the files of Debian's common-licenses with their lines as published or joined to one,
 #: with and without what follows "END OF TERMS AND CONDITIONS" (fixed values).
