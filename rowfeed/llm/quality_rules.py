@@ -11,6 +11,7 @@ repeated rows are judged alike; an empty table gives an empty result; other colu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,23 +20,33 @@ from pyspark.sql import functions as F
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
-#: Common words of English, Spanish, French and German (fixed values); a capital may begin them.
+#: Common words of languages in Latin script, a line each (fixed values); a capital may begin them. Texts in other scripts don't come
+#: under the rule on them, and those of other languages in Latin script may fail it.
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
     "al como con de del el en es la las lo los no para por que se su un una y "
     "au aux ce dans des du est et il le les ne pas pour qui sur une "
-    "auf aus das dem den der die ein eine er ist mit nicht sich sie und von zu für im"
+    "auf aus das dem den der die ein eine er ist mit nicht sich sie und von zu für im "
+    "che della dei di gli nel non sono "
+    "ao com da das do dos em mais não os ou uma "
+    "aan dat een het met niet op te van voor "
+    "att av det för inte och på som till ikke af "
+    "jest na nie od się że "
+    "bir bu ile için ve "
+    "dan yang ini itu untuk dengan "
+    "și în cu pe că"
 ).split()
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A row fails if the measure lies outside [low, high]."""
+    """A row fails if the measure lies outside [low, high]; rows whose `spare` measure is above its bound can't fail."""
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
+    spare: tuple[str, float] | None = None
 
 
 #: Ratios are of words, of lines or of characters in words, as their names say.
@@ -45,7 +56,7 @@ THRESHOLDS = (
     Rule("symbols", "symbols_per_word", high=0.3),
     Rule("capitals", "upper_ratio", high=0.5),
     Rule("same_lines", "dup_line_ratio", high=0.5),
-    Rule("stop_words", "stop_word_ratio", low=0.03),
+    Rule("stop_words", "stop_word_ratio", low=0.03, spare=("foreign_ratio", 0.3)),
 )
 
 
@@ -98,9 +109,9 @@ def measures(text: Column) -> Column:
         ]
 
     full = F.coalesce(text, F.lit(""))
-    symbols, upper, lines = _count(full, SYMBOLS), _count(full, "[A-Z]"), _dup_lines(full)
-    line_counts = _let(lines, lambda a: F.struct(symbols.alias("n_symbols"), upper.alias("n_upper"), a["dup"].alias("n_dup_lines"), a["n"].alias("n_lines")))
-    return _let(line_counts, lambda m: _let(_words(full), lambda w: F.struct(*of_words(w), *[m[n].alias(n) for n in ("n_symbols", "n_upper", "n_dup_lines", "n_lines")])))
+    symbols, upper, foreign, lines = _count(full, SYMBOLS), _count(full, "[A-Z]"), _count(full, r"[^\x00-\x7F]"), _dup_lines(full)
+    line_counts = _let(lines, lambda a: F.struct(symbols.alias("n_symbols"), upper.alias("n_upper"), foreign.alias("n_foreign"), a["dup"].alias("n_dup_lines"), a["n"].alias("n_lines")))
+    return _let(line_counts, lambda m: _let(_words(full), lambda w: F.struct(*of_words(w), *[m[n].alias(n) for n in ("n_symbols", "n_upper", "n_foreign", "n_dup_lines", "n_lines")])))
 
 
 def _stop_forms() -> list[str]:
@@ -115,21 +126,25 @@ RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
     "symbols_per_word": ("n_symbols", "n_words"),
     "upper_ratio": ("n_upper", "word_chars"),
+    "foreign_ratio": ("n_foreign", "word_chars"),
     "dup_line_ratio": ("n_dup_lines", "n_lines"),
     "stop_word_ratio": ("n_stop_words", "n_words"),
 }
 
 
+def holds(rule: Rule, m: Column) -> Column:
+    """One rule as a boolean of the counts."""
+    value, kept = _ratio(m, *RATIOS[rule.measure]), F.lit(True)
+    if rule.low is not None:
+        kept = kept & (value >= F.lit(rule.low))
+    if rule.high is not None:
+        kept = kept & (value <= F.lit(rule.high))
+    return kept | (_ratio(m, *RATIOS[rule.spare[0]]) > F.lit(rule.spare[1])) if rule.spare else kept
+
+
 def compile_rules(rules: tuple[Rule, ...], m: Column) -> Column:
     """The table as one boolean of the counts: no rule is broken."""
-    kept = F.lit(True)
-    for rule in rules:
-        value = _ratio(m, *RATIOS[rule.measure])
-        if rule.low is not None:
-            kept = kept & (value >= F.lit(rule.low))
-        if rule.high is not None:
-            kept = kept & (value <= F.lit(rule.high))
-    return kept
+    return functools.reduce(Column.__and__, [holds(r, m) for r in rules], F.lit(True))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -164,11 +179,24 @@ def score_quality(docs: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text")).drop("text")
 
 
+def losses(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS) -> DataFrame:
+    """How many rows fail the base rule, and of the others each rule: rule, n_failed."""
+    m = measures(F.col("text"))
+    failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    flags = [F.when(failed, F.lit("base")), *(F.when(~failed & ~holds(r, F.col("m")), F.lit(r.name)) for r in rules)]
+    return docs.select(m.alias("m")).select(F.explode(F.array_compact(F.array(*flags))).alias("rule")).groupBy("rule").agg(F.count("*").alias("n_failed"))
+
+
 def quality_sql() -> str:
     """DuckDB SQL for `score_quality` over `documents`."""
     stop = ", ".join(f"'{w}'" for w in _stop_forms())
     ratio = {k: f"CASE WHEN {w} > 0 THEN {p}::DOUBLE / {w} ELSE 0 END" for k, (p, w) in RATIOS.items()}
-    kept = " AND ".join([f"{ratio[r.measure]} >= {r.low}" for r in THRESHOLDS if r.low is not None] + [f"{ratio[r.measure]} <= {r.high}" for r in THRESHOLDS if r.high is not None])
+
+    def holds(r: Rule) -> str:
+        parts = [f"{ratio[r.measure]} {sign} {bound}" for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+        return f"({' AND '.join(parts)}" + (f" OR {ratio[r.spare[0]]} > {r.spare[1]})" if r.spare else ")")
+
+    kept = " AND ".join(map(holds, THRESHOLDS))
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -185,7 +213,7 @@ m AS (
     len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
     len(list_filter(words, lambda w: w IN ({stop}))) AS n_stop_words, len(lines) AS n_lines,
-    len(regexp_extract_all(text, '[A-Z]')) AS n_upper
+    len(regexp_extract_all(text, '[A-Z]')) AS n_upper, len(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS n_foreign
   FROM d LEFT JOIN cov USING (rid)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept FROM b"""
