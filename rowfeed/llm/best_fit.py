@@ -1,7 +1,8 @@
 """Best-fit packing under conflicts: a bin takes at most one document of a source and one of a duplicate cluster.
 
-Documents are dealt by a hash of their id to shards of about SHARD_ROWS rows, each packed alone, so a task's memory is
-bounded at any size of the corpus and a hot source or cluster is spread over all shards. In a shard, pieces go from
+Documents are dealt to shards of about SHARD_ROWS rows by a hash of their id, cluster and place in the table of sizes, which is
+written once; each shard is packed alone, so a task's memory is bounded at any size of the corpus, and a hot source or
+cluster, repeated ids and repeated rows are spread over all shards. In a shard, pieces go from
 long to short. Open bins lie ordered by residual; each carries a bitmap of its sources and one of its clusters. The
 search for a piece starts at the successor of its length among the residuals in use and goes on upwards until a bin
 without a common bit is found, so the bin chosen is the tightest compatible one; among equals the one filled longest ago.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from rowfeed.llm.common import Workspace, prepare
 from rowfeed.llm.fst_tokens import count_tokens
 
-CAPACITY, SHARD_ROWS = 4096, 20_000
+CAPACITY, SHARD_ROWS, MOST_TASKS = 4096, 20_000, 20_000
 #: Sources and clusters with a larger share of a shard than this, up to so many, group the bins.
 HOT_SHARE, HOT_KEYS = 1 / 64, 6
 
@@ -130,7 +131,7 @@ def pack_shard(rows: Iterable[tuple], capacity: int = CAPACITY) -> list[tuple]:
 
 
 def pack(sized: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """sized: doc_id, n_tokens, source, cluster -> doc_id, piece, start_token, n_tokens, bin_id, bin_offset."""
+    """sized: a written table of doc_id, n_tokens, source, cluster, place -> doc_id, piece, start_token, n_tokens, bin_id, bin_offset."""
     spark = sized.sparkSession
     prepare(spark)
     shards = 1 + sized.count() // shard_rows
@@ -153,8 +154,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
             columns = [(ids, None), (piece, pa.int32()), (start, pa.int64()), (size, pa.int64()), (bins, pa.int64()), (offset, pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "piece", "start_token", "n_tokens", "bin_id", "bin_offset"])
 
-    dealt = sized.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens", "source", "cluster")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = sized.select(F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens", "source", "cluster")
+    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, f"doc_id {kind}, piece int, start_token bigint, n_tokens bigint, bin_id bigint, bin_offset int")
 
 
@@ -162,4 +163,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack documents by token counts. Copies (equal but for case and white space) form a cluster."""
     plain = docs.select("doc_id", "text", "source")
     sized = count_tokens(plain, carry={"source": F.col("source"), "cluster": F.xxhash64(F.regexp_replace(F.lower("text"), "[ \t-\r]+", " "))})
-    return pack(Workspace(docs.sparkSession).save(sized.select("doc_id", "n_tokens", "source", "cluster"), "sized"), capacity)
+    return pack(Workspace(docs.sparkSession).save(sized.select("doc_id", "n_tokens", "source", "cluster", F.monotonically_increasing_id().alias("place")), "sized"), capacity)
