@@ -14,7 +14,7 @@ speculative attempt leaves the same file. Files are opened with Arrow's filesyst
 executors share. What the driver holds is one line a file.
 
 Defined results: null counts as the empty text, of which only the end id remains; a null doc_id comes first; rows with
-equal ids are each written, in the order of their texts' hashes; an empty table gives no file and an empty result.
+equal ids are each written, in the order of their texts' hashes (rows equal in both go to one file); an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import BinaryIO
@@ -41,8 +42,10 @@ MAGIC = b"RFPFOR1\n"
 BLOCK, PERCENTILE = 1024, 0.95
 HEAD = struct.Struct("<IBHH")
 END_ID = 2
-#: Words whose ids are kept, and words given to the library as one text.
-MAX_KEPT, JOINED = 2_000_000, 500
+#: Bytes of words and ids that are kept, characters of a word to be kept, and words given to the library as one text.
+KEPT_BYTES, LONGEST, JOINED = 320 << 20, 64, 500
+#: Rows of one file, about.
+FILE_ROWS = 1_000_000
 READ_BLOCKS = 1024
 
 
@@ -130,11 +133,12 @@ class Writer:
     """Documents in, a file out; holds less than a batch of ids, and 17 bytes a document."""
 
     def __init__(self, to: BinaryIO) -> None:
-        self.to, self.at, self.starts, self.held, self.n_held, self.names, self.sizes = to, len(MAGIC), [], [], 0, [], []
+        self.to, self.at, self.starts, self.held, self.n_held, self.names, self.there, self.sizes = to, len(MAGIC), array("Q"), [], 0, array("q"), bytearray(), array("Q")
         to.write(MAGIC)
 
     def add(self, name: int | None, ids: bytes) -> None:
-        self.names.append(name)
+        self.names.append(name or 0)
+        self.there.append(name is not None)
         self.sizes.append(len(ids) // 4)
         self.held.append(ids)
         self.n_held += len(ids) // 4
@@ -153,8 +157,7 @@ class Writer:
     def close(self) -> int:
         self.flush(last=True)
         total = sum(self.sizes)
-        names = np.array([x or 0 for x in self.names], "<i8")
-        there = np.array([x is not None for x in self.names], np.uint8)
+        names, there = np.array(self.names, "<i8"), np.frombuffer(bytes(self.there), np.uint8)
         footer = b"".join([struct.pack("<QQQ", total, len(names), len(self.starts)), np.array(self.starts, "<u8").tobytes(), names.tobytes(), there.tobytes(), np.array(self.sizes, "<u8").tobytes()])
         self.to.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         return total
@@ -216,6 +219,7 @@ class TextEncoder:
         self.split_plain = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\u00c0-\u017f]+| ?[0-9]+| ?[^\\sA-Za-z0-9\u00c0-\u017f]+|\\s+(?!\\S)|\\s+").findall
         self.kept = Missing()  # by word, the ids of a space and the word
         self.pieces: dict[str, bytes] = {}
+        self.size = 0
         # Some characters count as white space for one regular expression engine and not for another.
         self.split = re.compile("(?<=[^\\s\\u180e\\u200b\\ufeff]) ").split
 
@@ -230,10 +234,11 @@ class TextEncoder:
     def learn(self, words: set[str]) -> None:
         """Put ids of the words in `kept`."""
         kept, pieces = self.kept, self.pieces
-        if len(kept) + len(words) > MAX_KEPT:
+        if self.size > KEPT_BYTES:
             kept.clear()
-        if len(pieces) > MAX_KEPT // 4:
             pieces.clear()
+            self.size = 0
+        self.size += sum(map(len, words)) * 5 + 120 * len(words)  # with their ids and the dict's share
         letters, held, new, hard = [], {}, {}, []
         for w in words:
             if w.isalpha():
@@ -261,8 +266,9 @@ class TextEncoder:
             part = words[i : i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != len(part):
-                raise AssertionError("the library joined words that a space parts")
+            if len(starts) != len(part):  # the library joined words that a space parts
+                to.update(zip(part, self.ids([" " + w for w in part]), strict=True))
+                continue
             raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
             to.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
 
@@ -285,7 +291,7 @@ class TextEncoder:
                 if any(x is None and w in ends for w, x in zip(cut[k], found[k], strict=True)):
                     cut[k] = self.split(texts[k])
                     found[k] = list(map(get, cut[k]))
-            self.learn({w for w in missed if not self.open(w)})
+            self.learn({w for w in missed if len(w) <= LONGEST and not self.open(w)})
             for k in holes:
                 words, ids, i = cut[k], found[k], -1
                 while True:
@@ -356,7 +362,7 @@ def write_ids(docs: DataFrame, folder: str, model: str = "byte_bpe_50k.json", en
             files.move(temporary, path)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([f"{folder}/ids-{number:06d}.pfor"]), pa.array([total]), pa.array([len(out.sizes)])], ["file", "path", "n_ids", "n_docs"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + docs.count() // FILE_ROWS)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     dealt = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return dealt.select("doc_id", "text").mapInArrow(run, "file bigint, path string, n_ids bigint, n_docs bigint")
