@@ -3,7 +3,7 @@
 A word (lower case, without punctuation around it) has the sum of hashed rows: one of the word and one each of its first 4, 5
 and 6 characters, so that inflected forms share what their stem has learnt. Filters of widths 1, 2 and 3 run over the whole text;
 each one's maximum, rectified, goes to a logistic output. Training is in numpy on the driver, on at most MAX_ROWS labelled
-rows of each class, chosen by a hash of doc_id among the rows that aren't held out. Slots seen in fewer than MIN_DOCS of them
+rows of each class, chosen by a hash of doc_id among the rows that aren't held out, one row an id, none of more than MAX_BYTES. Slots seen in fewer than MIN_DOCS of them
 keep the zero vector; the first coordinate begins as the slot's log odds.
 
 Thresholds are calibrated by language on rows kept back from training. The language is guessed from the text's most
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rowfeed.llm.common import keep, keep_only, map_batches
 
-MAX_ROWS, MIN_DOCS = 3000, 5
+MAX_ROWS, MAX_BYTES, MIN_DOCS = 3000, 32_768, 5
 SLOTS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
 STEMS = (4, 5, 6)
 EPOCHS, BATCH, RATE = 8, 32, 0.02
@@ -258,8 +258,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Cnn:
     """The net from at most `max_rows` labelled rows of each class, none held out. What the driver holds is bounded by these."""
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-
+    picked = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_BYTES).join(F.broadcast(chosen[0].union(chosen[1]).distinct()), "doc_id")
+    # Of rows with one id, the one with the least hash of the text.
+    picked = picked.groupBy("doc_id", "toxic").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     table = picked.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), fold.alias("calibrate")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     if not table.num_rows:
