@@ -75,10 +75,77 @@ def test_stages_keep_columns(spark, odd, empty, sf, tmp_path):
             assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
             out.write.mode("overwrite").parquet(f"file://{tmp_path}/o")
     kept = {r.doc_id: r.key for r in corpus_pipeline.STAGES[1][1](spark, odd, sf).collect()}
-    assert set(kept.values()) == {3} and 2 not in kept and {1, None} <= set(kept)
+    assert set(kept.values()) == {3} and 1 in kept and not {2, None} & set(kept)  # the row without an id is a copy, and comes last
 
 
 def test_untouched_columns_survive_a_cut(spark, odd, benchmark):
     out = fm_index.decontaminate(odd.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" x" * 200 + " w1 w2 w3"))), benchmark)
     row = out.where("doc_id = 7").first()
     assert row.spans == [2] and row.items == "x" and "w1 w2 w3" not in row.text and row.n_chars == len(row.text)
+
+
+def test_near_dedup_is_of_rows(spark):
+    """A unique text stays whatever id it shares; of equal rows, and of copies whatever their ids, one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 1), (1, a, 1), (2, a, 2), (2, b, 3), (None, b, 4), (None, a, 5), (3, c, 6), (3, c, 6), (3, c, 6), (None, None, 7), (4, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key int").repartition(4)
+    got = sorted((str(r.doc_id), r.text, r.row_key) for r in simhash_anchor.keep_first(docs).collect())
+    assert got == sorted([("1", a, 1), ("2", b, 3), ("3", c, 6), ("4", "", 8)])
+
+
+@pytest.mark.parametrize(("hot_homes", "small_anchor"), [(0, 24), (3, 3), (100_000, 2)])
+def test_components_don_t_depend_on_how_anchors_are_compared(spark, hot_homes, small_anchor):
+    import random
+
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if r.random() > 0.004 * (k % 5) else f"x{k}" for w in base) for k in range(60)] + [" ".join(r.choice(base) for _ in range(50)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = {x.doc_id: x.component_id for x in simhash_anchor.near_duplicates(docs).collect()}
+    assert len(set(plain.values())) < 80
+    assert {x.doc_id: x.component_id for x in simhash_anchor.near_duplicates(docs, hot_homes=hot_homes, small_anchor=small_anchor).collect()} == plain
+
+
+def test_benchmarks_of_many_blocks(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k + i}" for i in range(40))) for k in range(20)] + [(None, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"w{k + i}" for i in range(15))) for k in range(0, 60, 3)], "item_id string, text string")
+    one, many = (sorted((str(r.doc_id), r.n_words, str(r.spans), r["items"]) for r in fm_index.find_leaks(docs, items, block_words=n).collect()) for n in (10**6, 40))
+    assert one == many and sum(len(r[3]) > 0 for r in one) == 20
+
+
+def test_pages_that_nothing_closes():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 1_000_000, "<div>x" * 100_000, "<b>" * 200_000 + "<p>x</p>" * 20_000, "<span>" * 100_000 + "x<hr>" * 100_000 + "</i>" * 100_000, "<p title='" * 200_000, '<p a="' * 200_000 + ">x", "<!--" * 500_000, "<i>" + "<div>" * 50_000 + "</i>x" * 50_000, "<style>" * 300_000, "x " * 4_000_000):
+        html_crf.blocks(page)
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p title="a > b" data-x=\'<p>\'>one<p>two</article>', ["one", "two"]),
+        ('<p a="b" c">one</p><p>2 < 3 <b>bold</b></p>', ["one", "2 < 3 bold"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", ["a", "b", "c"]),
+        ("<b>x<div>y</b>z</div>", ["x", "yz"]),
+        ("<p>one<br/>two<wbr>three</p><p hidden>no</p><p class='not hidden'>yes", ["one twothree", "yes"]),
+        ("<head><title>t</title><body><p>one", ["one"]),
+    ],
+)
+def test_leaf_blocks(page, want):
+    assert [b[0] for b in html_crf.blocks(page)] == want
+
+
+def test_adjacent_spellings(spark):
+    texts = ["Licence licence, LICENCE x", "the licence"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(license_digest.canonical(F.col("t")).alias("c")).collect()
+    assert [r.c for r in got] == ["license license license x", "the license"] == [license_digest.canonical_text(t) for t in texts]
+
+
+def test_rule_on_stop_words_spares_other_scripts(spark):
+    rows = [(0, " ".join(f"слово{chr(1072 + i % 30)}{chr(1072 + i % 7)}ок{chr(1072 + i % 11)}" for i in range(90))), (1, " ".join(f"qz{i}x" for i in range(90)))]
+    got = {r.doc_id: r.kept for r in quality_rules.score_quality(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: True, 1: False}
+    assert {r.rule: r.n_failed for r in quality_rules.losses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {"stop_words": 1}
