@@ -6,16 +6,24 @@ runs of a dense integer key. Either way `rg` is an ordinary column, so Spark's o
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from rowfeed.session import share_code
+from rowfeed.staging import Workspace
 
 RG = "rg"
+MOST_TASKS = 20_000
 
 
 def logical(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -23,31 +31,70 @@ def logical(df: DataFrame, key: str, size: int) -> DataFrame:
     return df.withColumn(RG, F.expr(f"`{key}` div {int(size)}"))
 
 
+def in_groups(df: DataFrame, key: str, size: int, numbers: Sequence[int]) -> DataFrame:
+    """`logical`, of the groups with these numbers only: ranges of the key, which the reader of Parquet gets as filters."""
+    runs: list[list[int]] = []
+    for n in sorted(set(numbers)):
+        if runs and n == runs[-1][1] + 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    c, keep = F.col(f"`{key}`"), F.lit(False)
+    for first, last in runs:  # `div` cuts towards zero
+        low = first * size if first > 0 else (first - 1) * size + 1
+        high = (last + 1) * size - 1 if last >= 0 else last * size
+        keep = keep | ((c >= low) & (c <= high))
+    return logical(df.where(keep), key, size)
+
+
 def by_count(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
-    """`rg` from the position in an order: numbered within range partitions, then shifted by the counts before."""
+    """`rg` from the position in an order."""
     return numbered(df, order).withColumn(RG, F.expr(f"_pos div {int(size)}")).drop("_pos")
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "_pos") -> DataFrame:
-    """Positions from 0 in a total order, without a one-partition window: range partitions, each numbered, plus offsets."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint") - 1)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row a partition: the offsets fit in one task at any size of the data.
-    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    """Positions from 0 in a total order, without a one-partition window.
+
+    The rows are sorted over range partitions once and written with their partition and place in it, to the shared folder: two
+    evaluations could deal them differently. Positions are then places plus the sizes of the partitions before. Repeated
+    rows each get a position.
+    """
+    part, at, before = unused(df.columns, "_part", "_at", "_before")
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id's upper bits are the partition's number, the lower 33 count its rows.
+    laid = laid.withColumn(at, F.monotonically_increasing_id()).select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright(at, 33).alias(part), F.col(at).bitwiseAND((1 << 33) - 1).alias(at))
+    laid = Workspace(df.sparkSession).save(laid, "numbered")
+    sizes = laid.groupBy(part).agg(F.count("*").alias("n"))
+    # One row a partition: the offsets fit in one task, and in a broadcast, at any size of the data.
+    offsets = sizes.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    return laid.join(F.broadcast(offsets), part).select(*[F.col(f"`{c}`") for c in df.columns], (F.col(before) + F.col(at)).alias(name))
+
+
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, with a mark where the columns have them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+MANIFEST = "path string, group int, low bigint, high bigint"
 
 
 def manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """(rg, path, group, low, high): row groups of all files, with their row ranges in the file. Footers are read by executors."""
+    """(rg, path, group, low, high): row groups of all files, with their row ranges in the file. Footers are read by executors.
+
+    Paths are URLs as Hadoop has them, so characters that URLs encode stay encoded.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(list(paths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for path in batch.column(0).to_pylist():
-                files, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-                with files.open_input_file(place) as f:
+                with opened(path) as f:
                     meta, low = pq.read_metadata(f), 0
                 for g in range(meta.num_row_groups):
                     n = meta.row_group(g).num_rows
@@ -57,19 +104,69 @@ def manifest(spark: SparkSession, *paths: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["path", "group", "low", "high"])
 
     # Only paths are asked for, so the files' contents aren't read; a footer is the end of a file.
-    groups = listed.select("path").mapInArrow(run, "path string, group int, low bigint, high bigint")
-    # The manifest has a row for each row group, so a window over all of it stays small.
-    return groups.withColumn(RG, F.row_number().over(Window.orderBy("path", "group")).cast("bigint") - 1).select(RG, "path", "group", "low", "high")
-
-
-def physical(spark: SparkSession, *paths: str) -> DataFrame:
-    """The rows of Parquet files with `rg`."""
-    groups = manifest(spark, *paths).select(RG, F.regexp_replace("path", "^[a-z]+:/+", "/").alias("_path"), F.col("low").alias("_low"), F.col("high").alias("_high"))
-    rows = spark.read.parquet(*paths)
-    names = rows.columns
-    rows = rows.select("*", F.regexp_replace("_metadata.file_path", "^[a-z]+:/+", "/").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    inside = (F.col("_row") >= F.col("_low")) & (F.col("_row") < F.col("_high"))
-    return rows.join(groups, (rows["_path"] == groups["_path"]) & inside).select(RG, *[f"`{n}`" for n in names])
+    groups = share_code(spark) and listed.select("path").mapInArrow(run, MANIFEST)
+    # The manifest has a row for each row group, some millions at most, so a window over all of it fits in a task. It is kept, as it is read twice.
+    numbers = groups.withColumn(RG, F.row_number().over(Window.orderBy("path", "group")).cast("bigint") - 1).select(RG, "path", "group", "low", "high")
+    return Workspace(spark).save(numbers, "manifest")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file by the path that Spark gives it, which is percent-encoded or, from the binary source, plain."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem().open_input_file("/" + (rest if os.path.exists("/" + rest.lstrip("/")) else unquote(rest)).lstrip("/"))
+    files, place = pafs.FileSystem.from_uri(path)
+    return files.open_input_file(place)
+
+
+def partition_values(path: str) -> dict[str, str | None]:
+    """The values that folders of the path stand for, as text; Hive's mark for null is null."""
+    out = {}
+    for part in path.split("/")[:-1]:
+        name, found, value = part.partition("=")
+        if found:
+            value = unquote(value)
+            out[unquote(name)] = None if value == "__HIVE_DEFAULT_PARTITION__" else value
+    return out
+
+
+def physical(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None, groups: DataFrame | None = None, place: tuple[str, str] | None = None) -> DataFrame:
+    """The rows of Parquet files with `rg`, and, in columns of the names in `place`, each one's place in its group and the group's size.
+
+    Tasks read row groups by the manifest, the wanted columns of each, and nothing else: with `groups` (rows of a
+    manifest) the others are not touched. There is no join and no shuffle of rows. A row group must fit in a task's memory.
+    """
+    schema = spark.read.parquet(*paths).schema
+    names = [n for n in schema.names if columns is None or n in columns]
+    wanted = T.StructType([schema[n] for n in names])
+    arrow = to_arrow_schema(T.StructType([T.StructField(f.name, f.dataType) for f in wanted]))
+    fields = [T.StructField(RG, T.LongType()), *(T.StructField(n, T.LongType()) for n in place or ()), *wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rg, path, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened(path) as f:
+                    file = pq.ParquetFile(f)
+                    there = [n for n in names if n in file.schema_arrow.names]
+                    table = file.read_row_group(group, columns=there)
+                    n, values = file.metadata.row_group(group).num_rows, partition_values(path)
+                filled = [conformed(table[x.name], x.type) if x.name in there else pa.array([values.get(x.name)] * n, pa.string()).cast(x.type) for x in arrow]
+                lead = [pa.array(np.full(n, rg)), *([pa.array(np.arange(n)), pa.array(np.full(n, n))] if place else [])]
+                yield from pa.table([*lead, *filled], names=[f.name for f in fields]).to_batches(max_chunksize=10_000)
+
+    chosen = manifest(spark, *paths) if groups is None else groups
+    # A task has one row group, or a few of very many.
+    tasks = max(1, min(chosen.count(), MOST_TASKS))
+    return chosen.select(RG, "path", "group").repartition(tasks).mapInArrow(run, T.StructType(fields))
+
+
+def conformed(column: pa.ChunkedArray, kind: pa.DataType) -> pa.ChunkedArray:
+    """A column as Spark has it: unsigned types in wider ones, times in microseconds."""
+    if column.type == kind:
+        return column
+    if pa.types.is_timestamp(kind) and pa.types.is_timestamp(column.type) and kind.tz != column.type.tz:
+        column = column.cast(pa.timestamp("us", column.type.tz), safe=False)
+    return column.cast(kind, safe=False)
 
 
 def summary(df: DataFrame, key: str, rg: str = RG) -> DataFrame:
