@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import struct
+import zlib
 from abc import ABC, abstractmethod
 from decimal import Decimal
 from typing import TYPE_CHECKING, Any
@@ -123,7 +125,7 @@ class PackedTensor(Tensor):
 
 
 class Image(Codec):
-    """Images (height, width) or (height, width, 3) of uint8 as png, or jpeg with a quality; needs Pillow."""
+    """Images (height, width) or (height, width, 3) of uint8 as png, or jpeg with a quality; jpeg needs Pillow, png takes it if it is there."""
 
     def __init__(self, kind: str = "png", quality: int = 80) -> None:
         if kind not in ("png", "jpeg"):
@@ -136,20 +138,87 @@ class Image(Codec):
     def spark_type(self) -> T.DataType:
         return T.BinaryType()
 
-    def encode(self, field: Field, value: np.ndarray) -> bytearray:
-        from PIL import Image as Pil
+    def pillow(self) -> Any:
+        try:
+            from PIL import Image as Pil
+        except ImportError:
+            if self.kind == "jpeg":
+                raise
+            return None
+        return Pil
 
+    def encode(self, field: Field, value: np.ndarray) -> bytearray:
         Tensor.check(field, value)
         if value.dtype != np.uint8 or not (value.ndim == 2 or (value.ndim == 3 and value.shape[2] == 3)):
             raise ValueError(f"{field.name}: {value.dtype} {value.shape} is no image")
+        if (pillow := self.pillow()) is None:
+            return bytearray(png_bytes(value))
         out = io.BytesIO()
-        Pil.fromarray(value).save(out, self.kind, **({"quality": self.quality} if self.kind == "jpeg" else {}))
+        pillow.fromarray(value).save(out, self.kind, **({"quality": self.quality} if self.kind == "jpeg" else {}))
         return bytearray(out.getvalue())
 
     def decode(self, field: Field, value: bytes) -> np.ndarray:
-        from PIL import Image as Pil
-
-        return np.asarray(Pil.open(io.BytesIO(bytes(value))))
+        pillow = self.pillow()
+        return png_array(bytes(value)) if pillow is None else np.asarray(pillow.open(io.BytesIO(bytes(value))))
+
+
+PNG_MARK = b"\x89PNG\r\n\x1a\n"
+
+
+def png_bytes(image: np.ndarray) -> bytes:
+    """An 8-bit grey or colour PNG; each line is stored as its difference from the one above."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    height, width = image.shape[:2]
+    lines = np.ascontiguousarray(image).reshape(height, -1)
+    up = np.diff(lines, axis=0, prepend=np.zeros((1, lines.shape[1]), np.uint8))
+    raw = np.concatenate([np.full((height, 1), 2, np.uint8), up], axis=1).tobytes()
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return PNG_MARK + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def png_array(data: bytes) -> np.ndarray:
+    """The pixels of an 8-bit grey or colour PNG without interlacing."""
+    if data[:8] != PNG_MARK:
+        raise ValueError("not a PNG")
+    at, packed, head = 8, [], None
+    while at < len(data):
+        (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
+        if kind == b"IHDR":
+            head = struct.unpack_from(">IIBBBBB", data, at + 8)
+        elif kind == b"IDAT":
+            packed.append(data[at + 8 : at + 8 + size])
+        at += 12 + size
+    if head is None or head[2] != 8 or head[3] not in (0, 2) or head[6]:
+        raise ValueError("only 8-bit grey and colour PNGs without interlacing are read without Pillow")
+    width, height, step = head[0], head[1], 3 if head[3] == 2 else 1
+    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, 1 + width * step)
+    out = np.zeros((height + 1, width * step), np.uint8)
+    for y in range(height):
+        out[y + 1] = unfiltered(int(raw[y, 0]), raw[y, 1:], out[y], step)
+    return out[1:].reshape((height, width, 3) if step == 3 else (height, width))
+
+
+def unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A line of a PNG from its differences, by the five kinds that the format has."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+    if kind == 2:
+        return line + above
+    out, up = [0] * step + line.tolist(), [0] * step + above.tolist()
+    for i in range(step, len(out)):
+        a, b, c = out[i - step], up[i], up[i - step]
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            p = a + b - c
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        out[i] = (out[i] + guess) & 255
+    return np.array(out[step:], np.uint8)
 
 
 def complies(shape: tuple[int, ...], declared: tuple[int | None, ...]) -> bool:

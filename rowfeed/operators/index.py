@@ -74,10 +74,16 @@ class Selector(ABC):
         """Distinct rg."""
 
     def rows(self, df: DataFrame, indexes: Mapping[str, DataFrame], rg: str = RG) -> DataFrame:
-        """All rows of the selected row groups."""
+        """All rows of the selected row groups of a frame that has been read; a scan prunes what it reads instead."""
         return df.join(self.groups(indexes).withColumnRenamed("rg", rg), rg, "left_semi").select(*df.columns)
 
 
+    def numbers(self, indexes: Mapping[str, DataFrame], most: int) -> list[int] | None:
+        """The selected row groups' numbers; None if there are more than `most`."""
+        found = self.groups(indexes).limit(most + 1).collect()
+        return None if len(found) > most else sorted(r[0] for r in found)
+
+
 @dataclass(frozen=True)
 class Single(Selector):
     """Row groups with any of the values; of a not-null index, all that it has."""

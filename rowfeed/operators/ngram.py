@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowfeed.schema import match_names
+from rowfeed.session import share_code
 from rowfeed.sources.rowgroups import RG
 
 
@@ -86,19 +88,24 @@ def step_name(k: int) -> str:
 
 
 def greedy(candidates: DataFrame, by: Sequence[str], tie: Sequence[str]) -> DataFrame:
-    """Of windows in order, those that start after the end of the last one taken: a fold over each partition's windows.
+    """Of windows in order, those that start after the end of the last one taken.
 
-    The fold holds one partition's (start, end) pairs; partitions are row groups or keys, so this is bounded by them.
+    Candidates are sorted within the partitioning they have from the windows before, and a task takes them as a stream with one
+    partition's last end in memory, so a partition of any size is linear.
     """
-    order = ["start_ts", *[t for t in tie if t not in by]]
-    ranked = candidates.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    pairs = F.array_sort(F.collect_list(F.struct("_i", "start_ts", "end_ts")))
-
-    def take(acc: Column, x: Column) -> Column:
-        fresh = acc["last"].isNull() | (x["start_ts"] > acc["last"])
-        return F.struct(F.when(fresh, x["end_ts"]).otherwise(acc["last"]).alias("last"), F.when(fresh, F.concat(acc["taken"], F.array(x["_i"]))).otherwise(acc["taken"]).alias("taken"))
-
-    kind = candidates.schema["end_ts"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast("array<int>").alias("taken"))
-    taken = ranked.groupBy(*by).agg(pairs.alias("_w")).select(*by, F.explode(F.aggregate("_w", start, take, lambda a: a["taken"])).alias("_i"))
-    return ranked.join(taken, [*by, "_i"], "left_semi").drop("_i")
+    order, by = ["start_ts", *[t for t in tie if t not in by]], list(by)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(n).to_pylist() for n in by), strict=True)) if by else [()] * batch.num_rows
+            taken = []
+            for i, (key, a, b) in enumerate(zip(keys, batch.column("start_ts").to_pylist(), batch.column("end_ts").to_pylist(), strict=True)):
+                if key != now or end is None or a > end:
+                    taken.append(i)
+                    now, end = key, b
+            if taken:
+                yield batch.take(pa.array(taken))
+
+    share_code(candidates.sparkSession)
+    return candidates.sortWithinPartitions(*by, *order).mapInArrow(take, candidates.schema)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import bisect
 import itertools
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowfeed.functions.hashing import order_key, uniform
@@ -33,14 +34,31 @@ def shard(df: DataFrame, index: int, count: int, rg: str = RG, groups: int | Non
     return df.where(F.col(rg) % count == index)
 
 
+def part_of(i: Column, n: Column, parts: int) -> Column:
+    """The part of row i of a row group of n: floor(i / (n / min(n, parts))), computed in doubles."""
+    n = n.cast("double")
+    return F.floor(i.cast("double") / (n / F.least(n, F.lit(float(parts))))).cast("bigint")
+
+
 def row_drop(df: DataFrame, parts: int, order: Sequence[str], rg: str = RG) -> DataFrame:
-    """`part`: row i of a row group of n goes to floor(i / (n / min(n, parts))), computed in doubles."""
+    """`part` of each row, rows numbered in the order within their row group."""
     if parts < 1:
         raise ValueError("parts must be positive")
     w = Window.partitionBy(rg)
-    n = F.count(F.lit(1)).over(w).cast("double")
-    i = (F.row_number().over(w.orderBy(*order)) - 1).cast("double")
-    return df.withColumn("part", F.floor(i / (n / F.least(n, F.lit(float(parts))))).cast("bigint"))
+    return df.withColumn("part", part_of(F.row_number().over(w.orderBy(*order)) - 1, F.count(F.lit(1)).over(w), parts))
+
+
+def with_rows_after(df: DataFrame, i: Column, n: Column, parts: int, more: int) -> DataFrame:
+    """`part` of each row, and a copy of each part's next `more` rows in that part, so that windows which begin in a part can end."""
+    own = part_of(i, n, parts)
+
+    def begins(part: Column) -> Column:
+        """The first row of a part: about part * n / min(n, parts), put right where doubles round."""
+        guess = F.ceil(part * (n.cast("double") / F.least(n, F.lit(parts)))).cast("bigint")
+        return F.when((guess > 0) & (part_of(guess - 1, n, parts) >= part), guess - 1).when(part_of(guess, n, parts) < part, guess + 1).otherwise(guess)
+
+    copies = F.filter(F.sequence(F.greatest(F.lit(0).cast("bigint"), own - more), own), lambda q: (q == own) | (i < begins(q + 1) + more))
+    return df.withColumn("part", F.explode(copies))
 
 
 def rank_rowgroups(df: DataFrame, seed: int, epoch: int = 0, rg: str = RG) -> DataFrame:
@@ -136,6 +154,30 @@ def displacement(df: DataFrame) -> DataFrame:
     return df.agg(F.abs(F.corr(F.col("pos").cast("double"), F.col("shuffled_pos").cast("double"))).alias("abs_corr"))
 
 
+class FifoBuffer:
+    """A local buffer for iterators without an order of its own: first in, first out."""
+
+    def __init__(self) -> None:
+        self.items: deque = deque()
+        self.done = False
+
+    def put(self, items: Iterable) -> None:
+        if self.done:
+            raise RuntimeError("nothing can be added after finish")
+        self.items.extend(items)
+
+    def ready(self) -> bool:
+        return bool(self.items)
+
+    def get(self):  # noqa: ANN201
+        if not self.ready():
+            raise RuntimeError("nothing to get")
+        return self.items.popleft()
+
+    def finish(self) -> None:
+        self.done = True
+
+
 class ShuffleBuffer:
     """A local buffer for iterators: items go in up to `capacity`, come out in random order while more than `least` are in."""
 

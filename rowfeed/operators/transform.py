@@ -44,18 +44,21 @@ class Transform:
             return [n for n in self.selected if n in out]
         return [n for n in out if n not in self.removed]
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        names = self.names(df.columns)
+    def apply(self, df: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+        """The transformed rows. `carried` columns go past the transform and come after it; a function must then keep rows in number and order."""
+        before = [n for n in df.columns if n not in carried]
+        names = self.names(before)
         if self.columns:
             df = df.withColumns(dict(self.columns))
         if self.func is None:
-            return df.select(*[f"`{n}`" for n in names])
+            return df.select(*[f"`{n}`" for n in [*names, *carried]])
         edited = {f.name: f.spark() for f in self.edited}
-        schema = T.StructType([edited.get(n) or df.schema[n] for n in names])
-        func, by_row = self.func, self.by_row
+        schema = T.StructType([edited.get(n) or df.schema[n] for n in [*names, *carried]])
+        func, by_row, carried = self.func, self.by_row, list(carried)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
+                beside, frame = frame[carried], frame.drop(columns=carried)
                 if by_row:
                     rows = [func(r) for r in frame.to_dict("records")]
                     out = pd.DataFrame([{n: r[n] for n in names} for r in rows], columns=names)
@@ -63,7 +66,10 @@ class Transform:
                     out = func(frame)
                     if set(out.columns) - set(self.removed) != set(names) and self.selected is None:
                         raise ValueError(f"the transform gave columns {sorted(out.columns)}, declared are {sorted(names)}")
-                yield ravel(out[names], edited)
+                if carried and len(out) != len(beside):
+                    raise ValueError(f"the transform gave {len(out)} rows for {len(beside)}; before windows it must keep each")
+                out = ravel(out[names], edited)
+                yield pd.concat([out.reset_index(drop=True), beside.reset_index(drop=True)], axis=1) if carried else out
 
         return df.mapInPandas(run, schema)
 

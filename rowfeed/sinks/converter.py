@@ -8,6 +8,7 @@ import threading
 import uuid
 import warnings
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import closing
 from dataclasses import dataclass
 from statistics import median
 from typing import Any
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
-from rowfeed.operators.batching import numpy_batches
+from rowfeed.operators.batching import numpy_batches, prefetched, shuffled_batches
 from rowfeed.sinks.writer import delete
 
 CODECS = ("none", "uncompressed", "snappy", "gzip", "lz4", "lz4_raw", "brotli", "zstd")
@@ -61,25 +62,35 @@ class Converter:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
 
-    def batches(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1) -> Iterator[dict[str, np.ndarray]]:
-        """Numpy batches, epoch after epoch (None: without end)."""
-        epoch = 0
-        while num_epochs is None or epoch < num_epochs:
-            yield from numpy_batches(self.frame(spark), size)
-            epoch += 1
+    def batches(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1, shuffle_capacity: int = 0, seed: int | None = None, ahead: int = 2) -> Iterator[dict[str, np.ndarray]]:
+        """Numpy batches, epoch after epoch (None: without end), drawn from a shuffle buffer if it has a capacity, made ahead by a thread."""
 
-    def torch_loader(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1) -> Iterator[Mapping[str, Any]]:
-        import torch
+        def epochs() -> Iterator[dict[str, np.ndarray]]:
+            epoch = 0
+            while num_epochs is None or epoch < num_epochs:
+                found = numpy_batches(self.frame(spark), size)
+                yield from shuffled_batches(found, size, shuffle_capacity, None if seed is None else seed + epoch) if shuffle_capacity else found
+                epoch += 1
 
-        for b in self.batches(spark, size, num_epochs):
-            yield {k: torch.as_tensor(v) for k, v in b.items()}
+        return prefetched(epochs(), ahead) if ahead else epochs()
 
-    def tf_dataset(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1) -> Any:
+    def torch_loader(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1, tensor: Callable[[np.ndarray], Any] | None = None, **options: Any) -> Iterator[Mapping[str, Any]]:
+        """Batches as tensors; `tensor` makes one of an array (by default torch's). options: as of `batches`."""
+        if tensor is None:
+            import torch
+
+            tensor = torch.as_tensor
+        with closing(self.batches(spark, size, num_epochs, **options)) as found:
+            for b in found:
+                yield {k: tensor(v) for k, v in b.items()}
+
+    def tf_dataset(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1, **options: Any) -> Any:
         import tensorflow as tf
 
-        first = next(self.batches(spark, size))
+        with closing(self.batches(spark, size, ahead=0)) as found:
+            first = next(found)
         spec = {k: tf.TensorSpec((None, *v.shape[1:]), v.dtype) for k, v in first.items()}
-        return tf.data.Dataset.from_generator(lambda: self.batches(spark, size, num_epochs), output_signature=spec)
+        return tf.data.Dataset.from_generator(lambda: self.batches(spark, size, num_epochs, **options), output_signature=spec)
 
     def delete(self, spark: SparkSession | None = None) -> None:
         forget(self, spark)
@@ -99,14 +110,16 @@ def convert(df: DataFrame, parent: str, row_group_bytes: int = 32 * 1024 * 1024,
         (out.option("compression", codec) if codec else out).parquet(path)
         back = spark.read.parquet(path)
         made = Converter(path, tuple(back.inputFiles()), back.count())
-        warn_small(made.files)
+        warn_small(spark, path)
         _KEPT.append((key, df, made))
         return made
 
 
-def warn_small(files: tuple[str, ...]) -> None:
-    """Local files only; elsewhere sizes would cost a listing."""
-    sizes = [os.path.getsize(p) for f in files if f.startswith("file:") and os.path.exists(p := f.removeprefix("file:").replace("///", "/"))]
+def warn_small(spark: SparkSession, path: str) -> None:
+    """One listing of the folder, on whatever filesystem it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    sizes = [f.getLen() for f in listed if f.getPath().getName().endswith(".parquet")]
     if len(sizes) > 1 and median(sizes) < SMALL_FILE:
         warnings.warn(f"the median of {len(sizes)} files is {median(sizes)} bytes; coalesce before converting", stacklevel=3)
 

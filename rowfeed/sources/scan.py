@@ -1,29 +1,36 @@
 """Scan: one immutable description of a read, turned into one DataFrame expression.
 
-Order of application: row groups, predicate on partition columns and rows, selector, shard, sub-split, transform, windows.
-Everything up to a Python function the user passes stays with Catalyst, so columns and filters reach the Parquet reader.
+Order of application: filters of the dataset, row groups (selector, shard), sub-split, predicate, transform, windows. Everything
+up to a Python function the user passes stays with Catalyst, so columns and filters reach the Parquet reader. Where row groups
+are those of the files, tasks read the chosen groups and columns only; a scan that needs no row groups prunes by partitions
+and statistics.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowfeed.functions.predicates import Predicate, dnf
+from rowfeed.operators.batching import iter_tables
 from rowfeed.operators.index import Selector
 from rowfeed.operators.ngram import NGram
-from rowfeed.operators.sampling import epochs, in_read_order, row_drop, shard
+from rowfeed.operators.sampling import epochs, in_read_order, part_of, shard, with_rows_after
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field, Schema, match_names
-from rowfeed.sources.rowgroups import RG, logical, physical
+from rowfeed.sources.decoding import decoded_rows
+from rowfeed.sources.rowgroups import RG, in_groups, logical, manifest, physical, unused
 from rowfeed.sources.urls import checked
 
+#: Selected groups of a key that are read by ranges; more of them are joined.
+MOST_GROUPS = 1000
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -59,13 +66,6 @@ class Scan:
     def where(self, **changes: Any) -> Scan:
         return replace(self, **changes)
 
-    def _rows(self, spark: SparkSession) -> DataFrame:
-        urls = checked(self.urls)
-        needs_rg = self.selector or self.shard_count or self.ngram or self.drop_parts > 1 or self.seed is not None
-        if self.key and self.group_size:
-            return logical(spark.read.parquet(*urls), self.key, self.group_size)
-        return physical(spark, *urls) if needs_rg else spark.read.parquet(*urls)
-
     def schema(self, spark: SparkSession) -> Schema:
         return Schema.of(spark.read.parquet(*checked(self.urls)))
 
@@ -85,64 +85,113 @@ class Scan:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The scan as a DataFrame (without order; see `ordered`)."""
-        df = self._rows(spark)
-        names = self.names(df.columns)
-        if self.ngram is not None:
-            spec = self.ngram.resolve(df.columns)
-            names = [c for c in df.columns if c != RG and (c == spec.ts or any(c in v for v in spec.fields.values()))]
-        if self.filters:
-            df = df.where(dnf(self.filters))
+        df, names, _ = self._steps(spark)
+        return df.select(*[f"`{n}`" for n in names])
+
+    def ordered(self, spark: SparkSession, epoch: int = 0) -> DataFrame:
+        """In the order in which a reader gives rows: by seed and epoch, else as they are. A transform or windows keep the order of row groups."""
+        df, names, row = self._steps(spark)
+        if self.seed is not None and RG in df.columns:
+            df = in_read_order(df, row if row in df.columns else RG, self.seed, self.shuffle_rows, epoch)
+        return df.select(*[f"`{n}`" for n in names])
+
+    def _steps(self, spark: SparkSession) -> tuple[DataFrame, list[str], str]:
+        """The rows with what their order needs, the names to give out, and the column that orders rows in a row group."""
+        columns = spark.read.parquet(*checked(self.urls)).columns
+        names = self.names(columns)
+        if self.ngram is not None and self.transform is None:
+            spec = self.ngram.resolve(columns)
+            names = [c for c in columns if c == spec.ts or any(c in v for v in spec.fields.values())]
+        used = {*names, *(self.predicate.fields() if self.predicate is not None else ()), *clause_fields(self.filters)}
+        df, row, place = self._rows(spark, columns, used)
+        if self.drop_parts > 1:
+            i, n = place
+            more = self.ngram.length - 1 if self.ngram is not None else 0
+            df = with_rows_after(df, i, n, self.drop_parts, more) if more else df.withColumn("part", part_of(i, n, self.drop_parts))
+            df = df if self.drop_part is None else df.where(F.col("part") == self.drop_part)
         if self.predicate is not None:
             df = self.predicate.filter(df)
-        if self.selector is not None:
-            df = self.selector.rows(df, self.indexes)
-        if self.shard_count is not None:
-            df = shard(df, self.shard_index, self.shard_count)
-        keep = [*names, *([self.key] if self.key and self.key not in names else []), *([RG] if RG in df.columns else [])]
-        if self.ngram is None and self.drop_parts > 1:
-            df = row_drop(df, self.drop_parts, [self.key] if self.key else names[:1])
-            df = df if self.drop_part is None else df.where(F.col("part") == self.drop_part)
+        # Columns that go past the transform, under names of their own.
+        row_at, rg_at, part_at = unused([*columns, *(self.transform.names(names) if self.transform is not None else ())], "_row", RG, "_part")
+        beside = {row_at: row, rg_at: RG, part_at: "part" if self.drop_parts > 1 else None}
+        beside = {to: c for to, c in beside.items() if c is not None and c in df.columns}
+        df = df.select(*[f"`{n}`" for n in names], *[F.col(f"`{c}`").alias(to) for to, c in beside.items()])
         if self.transform is not None:
-            return self.transform.apply(df.select(*[f"`{n}`" for n in names]))
-        df = df.select(*[f"`{n}`" for n in keep])
+            df = self.transform.apply(df, list(beside) if self.ngram is not None or self.seed is not None else [])
+            names = [n for n in df.columns if n not in beside]
         if self.ngram is not None:
-            return self.ngram.windows(df, RG, [self.key] if self.key and self.key != self.ngram.ts else [])
-        if self.key is None or self.seed is None:
-            df = df.select(*[f"`{n}`" for n in names])
-        return df
-
-    def ordered(self, spark: SparkSession, epoch: int = 0) -> DataFrame:
-        """In the order in which a reader gives rows: by seed and epoch, else as they are."""
-        df = self.frame(spark)
-        if self.seed is None or self.key is None or RG not in df.columns:
-            return df
-        return in_read_order(df, self.key, self.seed, self.shuffle_rows, epoch).select(*[f"`{n}`" for n in self.names(df.columns)])
+            by = [RG, *(["part"] if self.drop_parts > 1 else [])]
+            df = df.withColumnsRenamed({rg_at: RG, part_at: "part"})
+            df = self.ngram.windows(df, by, [row_at])
+            return df, [c for c in df.columns if c != "part"], RG
+        return df, names, row_at
+
+    def _rows(self, spark: SparkSession, columns: list[str], used: set[str]) -> tuple[DataFrame, str | None, tuple[Column, Column] | None]:
+        """Rows of the chosen row groups, the column that orders them in a group, and each one's place in the group with the group's size."""
+        urls, window = checked(self.urls), Window.partitionBy(RG)
+        needs_rg = self.selector or self.shard_count or self.ngram or self.drop_parts > 1 or self.seed is not None
+        if self.key and self.group_size:
+            df = spark.read.parquet(*urls)
+            df = df.where(dnf(self.filters)) if self.filters else df
+            numbers = self.selector.numbers(self.indexes, MOST_GROUPS) if self.selector is not None else None
+            if numbers is not None:
+                df = in_groups(df, self.key, self.group_size, numbers)
+            else:
+                df = logical(df, self.key, self.group_size)
+                df = self.selector.rows(df, self.indexes) if self.selector is not None else df
+            if self.shard_count is not None:
+                df = shard(df, self.shard_index, self.shard_count)
+            if self.drop_parts == 1:
+                return df, self.key, None
+            at, size = unused(columns, "_at", "_size")
+            df = df.withColumns({at: F.row_number().over(window.orderBy(self.key)) - 1, size: F.count(F.lit(1)).over(window)})
+            return df, self.key, (F.col(at), F.col(size))
+        if not needs_rg:
+            df = spark.read.parquet(*urls)
+            return (df.where(dnf(self.filters)) if self.filters else df), self.key, None
+        groups = manifest(spark, *urls)
+        if self.selector is not None:
+            groups = self.selector.rows(groups, self.indexes)
+        if self.shard_count is not None:
+            groups = shard(groups, self.shard_index, self.shard_count)
+        at, size = unused(columns, "_at", "_size")
+        df = physical(spark, *urls, columns=[c for c in columns if c in used], groups=groups, place=(at, size))
+        return (df.where(dnf(self.filters)) if self.filters else df), at, (F.col(at), F.col(size))
 
     def with_epochs(self, spark: SparkSession) -> DataFrame:
         if self.num_epochs is None:
             raise ValueError("endless epochs are no DataFrame; iterate instead")
         return epochs(self.frame(spark), self.num_epochs)
 
-    def rows(self, spark: SparkSession) -> Iterator[Row]:
-        """Rows to the driver, one partition at a time, epoch after epoch."""
+    def _epochs(self, read: Callable[[int], Iterator[Any]]) -> Iterator[Any]:
+        """What `read` gives for each epoch; ends with a warning if the first gives nothing."""
         epoch, some = 0, False
         while self.num_epochs is None or epoch < self.num_epochs:
-            for row in self.ordered(spark, epoch).toLocalIterator(prefetchPartitions=True):
+            for item in read(epoch):
                 some = True
-                yield row
+                yield item
             if not some:
                 warnings.warn("the scan gave no rows", stacklevel=2)
                 return
             epoch += 1
 
+    def rows(self, spark: SparkSession) -> Iterator[Row]:
+        """Rows to the driver as Spark has them, one partition at a time, epoch after epoch."""
+        yield from self._epochs(lambda epoch: self.ordered(spark, epoch).toLocalIterator(prefetchPartitions=True))
+
+    def decoded(self, spark: SparkSession, schema: Schema) -> Iterator[dict[str, Any]]:
+        """Rows as dicts of numpy and Python values; tensors are decoded in the tasks."""
+        yield from self._epochs(lambda epoch: decoded_rows(self.ordered(spark, epoch), schema))
+
     def tables(self, spark: SparkSession, size: int = 10_000) -> Iterator[pa.Table]:
         """Arrow tables to the driver."""
-        from rowfeed.operators.batching import iter_tables
+        yield from self._epochs(lambda epoch: iter_tables(self.ordered(spark, epoch), size))
 
-        epoch = 0
-        while self.num_epochs is None or epoch < self.num_epochs:
-            yield from iter_tables(self.ordered(spark, epoch), size)
-            epoch += 1
+
+def clause_fields(filters: Sequence[Any] | None) -> set[str]:
+    """The columns of (column, operator, value) clauses."""
+    groups = [filters] if filters and isinstance(filters[0], tuple) else filters or []
+    return {name for g in groups for name, _, _ in g}
 
 
 class Reader:
@@ -152,7 +201,10 @@ class Reader:
         self.spark, self.scan, self.decode = spark, scan, decode
         self.schema = scan.schema(spark)
         self.last_row_consumed = False
-        self._rows = scan.rows(spark)
+        self._rows = self._start()
+
+    def _start(self) -> Iterator[Any]:
+        return self.scan.decoded(self.spark, self.schema) if self.decode else self.scan.rows(self.spark)
 
     def __enter__(self) -> Reader:
         return self
@@ -165,16 +217,15 @@ class Reader:
 
     def __next__(self) -> Any:
         try:
-            row = next(self._rows)
+            return next(self._rows)
         except StopIteration:
             self.last_row_consumed = True
             raise
-        return self.schema.decode(row) if self.decode else row
 
     def reset(self) -> None:
         if not self.last_row_consumed:
             raise NotImplementedError("a reader can only start again after its last row")
-        self._rows, self.last_row_consumed = self.scan.rows(self.spark), False
+        self._rows, self.last_row_consumed = self._start(), False
 
     def stop(self) -> None:
         self._rows.close()
