@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import warnings
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +18,12 @@ from rowfeed.functions.predicates import InIntersection, InLambda, InSet, InVect
 from rowfeed.operators import batching, index, sampling
 from rowfeed.operators.ngram import NGram
 from rowfeed.operators.transform import Transform
-from rowfeed.schema import Field, match_names
-from rowfeed.sinks.converter import in_precision
+from rowfeed.schema import Field
+from rowfeed.sinks.converter import convert
+from rowfeed.sinks.writer import copy
 from rowfeed.sources import rowgroups
-from rowfeed.sources.scan import Scan
+from rowfeed.sources.scan import Scan, read_batches
+from rowfeed.staging import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,10 +62,23 @@ def scan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT o_orderkey // 1000 AS rg, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, count(*) AS n_rows FROM orders GROUP BY 1")
-def scan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowgroups.summary(rowgroups.logical(table(spark, sf_dir, "orders"), "o_orderkey", 1000), "o_orderkey")
 
 
+@query("SELECT (k // 1000)::BIGINT AS batch, count(*) AS n_rows FROM (SELECT row_number() OVER () - 1 AS k FROM orders) GROUP BY 1")
+def scan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the Arrow tables that a batch reader gives."""
+    sizes = [(i, t.num_rows) for i, t in enumerate(read_batches(spark, f"{sf_dir}/orders.parquet", 1000, fields=["o_orderkey"]))]
+    return spark.createDataFrame(sizes, "batch bigint, n_rows bigint")
+
+
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders")
+def physical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All row groups of the files, read by their manifest."""
+    return rowgroups.physical(spark, f"{sf_dir}/orders.parquet", columns=["o_orderkey"]).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
 def scan_multi_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Scan([f"{sf_dir}/nation.parquet", f"{sf_dir}/nation.parquet"], ["n_nationkey", "n_name"]).frame(spark)
@@ -71,9 +89,20 @@ def sql_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT count(l_orderkey) AS n FROM parquet.`{sf_dir}/lineitem.parquet`")
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> str:
+    """A copy of `events` in one file for each thousand ids, in order; its folder."""
+    path = f"{Workspace(spark).path}/events"
+    rows = rowgroups.logical(table(spark, sf_dir, "events"), "event_id", 1000)
+    rows.repartitionByRange(16, "event_id").sortWithinPartitions("event_id").write.partitionBy("rg").parquet(path)
+    return path
+
+
 @query(f"SELECT rg, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n_rows FROM {EVENTS} GROUP BY rg")
 def rowgroup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rowgroups.summary(events(spark, sf_dir), "event_id")
+    """Files' row groups by their manifest, put together by the partition they are in."""
+    found = rowgroups.manifest(spark, _grouped(spark, sf_dir)).select(F.regexp_extract("path", "/rg=([0-9]+)/", 1).cast("bigint").alias("rg"), (F.col("high") - F.col("low")).alias("n"))
+    firsts = rowgroups.summary(events(spark, sf_dir), "event_id").select("rg", "first_id", "last_id")
+    return found.groupBy("rg").agg(F.sum("n").alias("n_rows")).join(firsts, "rg").select("rg", "first_id", "last_id", "n_rows")
 
 
 @query("SELECT (o_orderkey_rank // 500)::BIGINT AS rg, count(*) AS n_rows, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS o_orderkey_rank FROM orders) GROUP BY 1")
@@ -162,9 +191,13 @@ for _i in range(3):
     _split(_i)
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING')")
+@query("SELECT c_custkey, c_mktsegment || ' 100%' AS segment FROM customer WHERE c_mktsegment IN ('BUILDING')")
 def pred_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Scan(f"{sf_dir}/customer.parquet", ["c_custkey", "c_mktsegment"], predicate=InSet(["BUILDING"], "c_mktsegment")).frame(spark)
+    """A predicate on the column that a dataset is partitioned by, with values that paths have to encode."""
+    path = f"{Workspace(spark).path}/customer"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(" 100%")).alias("segment"))
+    rows.repartition("segment").write.partitionBy("segment").parquet(path)
+    return Scan(path, predicate=InSet(["BUILDING 100%"], "segment")).frame(spark)
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE (o_orderstatus = 'O' AND o_totalprice > 100000) OR (o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus != 'F')")
@@ -204,9 +237,10 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, sf_dir: str, selector: index.Selector) -> DataFrame:
-    rows = events(spark, sf_dir)
-    found = index.build_indexes(rows, [index.ValueIndex("by_id", "event_id"), index.ValueIndex("by_user", "user_id")])
-    return selector.rows(rows, found).select("event_id", "rg")
+    """Rows of the selected groups, by ranges of their keys, which go to the reader as filters."""
+    found = index.build_indexes(events(spark, sf_dir), [index.ValueIndex("by_id", "event_id"), index.ValueIndex("by_user", "user_id")])
+    scan = Scan(f"{sf_dir}/events.parquet", ["event_id"], key="event_id", group_size=1000, selector=selector, indexes=found)
+    return rowgroups.logical(scan.frame(spark), "event_id", 1000)
 
 
 BY_ID = f"(SELECT rg FROM {EVENTS} WHERE event_id IN (2, 1800))"
@@ -243,11 +277,30 @@ def shard_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")
+def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of a dataset's own row groups together: each one reads its groups only."""
+    scan, out = Scan(_grouped(spark, sf_dir), ["event_id"], shard_index=0, shard_count=3), None
+    for i in range(3):
+        part = scan.where(shard_index=i).frame(spark)
+        out = part if out is None else out.union(part)
+    return out.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(f"SELECT event_id, rg, floor((row_number() OVER (PARTITION BY rg ORDER BY event_id) - 1)::DOUBLE / (count(*) OVER (PARTITION BY rg)::DOUBLE / least(count(*) OVER (PARTITION BY rg), 7)))::BIGINT AS part FROM {EVENTS}")
 def row_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.row_drop(events(spark, sf_dir).select("event_id", "rg"), 7, ["event_id"])
 
 
+PARTS = "(SELECT *, floor((row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1)::DOUBLE / (count(*) OVER (PARTITION BY o_orderkey // 1000)::DOUBLE / least(count(*) OVER (PARTITION BY o_orderkey // 1000), 7)))::BIGINT AS part FROM orders)"
+
+
+@query(f"SELECT o_orderkey FROM {PARTS} WHERE part = 2 AND o_orderstatus = 'O'")
+def scan_drop_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sub-split of the rows as they are, of which the predicate keeps some."""
+    return Scan(f"{sf_dir}/orders.parquet", ["o_orderkey"], key="o_orderkey", group_size=1000, predicate=InSet(["O"], "o_orderstatus"), drop_parts=7, drop_part=2).frame(spark)
+
+
 # Order, epochs, mixes, batches
 
 
@@ -357,12 +410,27 @@ def ngram_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(NGram({0: ["event_id", "us"], 1: ["event_id"]}, HOUR, "us").windows(events(spark, sf_dir), "event_type", ["event_id"]), "event_type")
 
 
-@query(f"SELECT w.rg, id_0, id_1, part FROM ({_lead_sql('rg', [0, 1], HOUR)}) w JOIN ({SQL['row_drop']}) p ON w.id_0 = p.event_id")
+ORDER_PAIRS = """SELECT o_orderkey // 1000 AS rg, o_orderkey AS start_ts, lead(o_orderkey) OVER w AS end_ts, {0} FROM {1}
+WINDOW w AS (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey)"""
+
+
+@query(f"SELECT rg, start_ts AS id_0, end_ts AS id_1, part FROM ({ORDER_PAIRS.format('part', PARTS)}) WHERE end_ts - start_ts <= 3")
 def ngram_row_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = sampling.row_drop(events(spark, sf_dir), 7, ["event_id"])
-    spec = NGram({0: ["event_id", "part"], 1: ["event_id"]}, HOUR, "us")
-    w = spec.windows(parts, "rg", ["event_id"])
-    return w.select("rg", F.col("t_0.event_id").alias("id_0"), F.col("t_1.event_id").alias("id_1"), F.col("t_0.part").alias("part"))
+    """Windows of every sub-split: each is in the part of its first row, and goes on into the next part."""
+    scan = Scan(f"{sf_dir}/orders.parquet", key="o_orderkey", group_size=1000, drop_parts=7, ngram=NGram({0: ["o_orderkey"], 1: ["o_orderkey"]}, 3, "o_orderkey"))
+    out = None
+    for part in range(7):
+        w = scan.where(drop_part=part).frame(spark).select("rg", F.col("t_0.o_orderkey").alias("id_0"), F.col("t_1.o_orderkey").alias("id_1"), F.lit(part).cast("bigint").alias("part"))
+        out = w if out is None else out.union(w)
+    return out
+
+
+@query(f"SELECT rg, start_ts, c0, c1 FROM ({ORDER_PAIRS.format('o_totalprice * 2 AS c0, lead(o_totalprice) OVER w * 2 AS c1', 'orders')}) WHERE end_ts - start_ts <= 3")
+def ngram_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of transformed rows."""
+    double = Transform({"twice": F.col("o_totalprice") * 2}, removed=["o_totalprice"])
+    scan = Scan(f"{sf_dir}/orders.parquet", ["o_orderkey", "o_totalprice"], key="o_orderkey", group_size=1000, transform=double, ngram=NGram({0: ["o_orderkey", "twice"], 1: ["twice"]}, 3, "o_orderkey"))
+    return scan.frame(spark).select("rg", "start_ts", F.col("t_0.twice").alias("c0"), F.col("t_1.twice").alias("c1"))
 
 
 @query(f"SELECT id_0 AS event_id_0, id_2 AS event_id_1 FROM ({_lead_sql('rg', [0, 2], HOUR)})")
@@ -433,14 +501,27 @@ def sanitize_torch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_extendedprice::FLOAT::DOUBLE AS price, l_linenumber FROM lineitem")
 def converter_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = in_precision(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"), "l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("price"), "l_linenumber")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # small files
+        df = convert(rows, f"{Workspace(spark).path}/kept").frame(spark)
     return df.withColumn("price", F.col("price").cast("double"))
 
 
 @query(f"SELECT doc_id, quality FROM {LABELLED} WHERE quality IS NOT NULL")
 def copy_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    return rows.select(*match_names(["doc_.*", "qual.*"], rows.columns)).dropna(subset=["quality"])
+    """A dataset written and copied, columns by pattern and rows without nulls."""
+    path = Workspace(spark).path
+    _labelled(spark, sf_dir).write.parquet(f"{path}/labelled")
+    return copy(spark, f"{path}/labelled", f"{path}/copied", ["doc_.*", "qual.*"], ["quality"])
+
+
+@query("SELECT value, list_sort(list(DISTINCT rg)) AS rgs FROM (SELECT event_type AS value, event_id // 1000 AS rg FROM events) GROUP BY value")
+def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that was stored and read again."""
+    path = f"{Workspace(spark).path}/index"
+    index.compact(index.ValueIndex("by_type", "event_type").entries(events(spark, sf_dir))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 # What Spark offers on the same data
@@ -494,9 +575,11 @@ def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p.event_id, c.event_id AS click_id FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts > p.ts AND c.ts <= p.ts + INTERVAL 6 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'")
 def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    p, c = e.where("event_type = 'purchase'").alias("p"), e.where("event_type = 'click'").alias("c")
-    near = F.expr("p.user_id = c.user_id AND c.ts > p.ts AND c.ts <= p.ts + INTERVAL 6 HOUR")
+    """Clicks within six hours after a purchase. The join is by user and span of six hours, a purchase in two spans, so a user with very many events is spread."""
+    e = table(spark, sf_dir, "events").withColumn("span", F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div {6 * HOUR}"))
+    p = e.where("event_type = 'purchase'").withColumn("span", F.explode(F.array("span", F.col("span") + 1))).alias("p")
+    c = e.where("event_type = 'click'").alias("c")
+    near = F.expr("p.user_id = c.user_id AND p.span = c.span AND c.ts > p.ts AND c.ts <= p.ts + INTERVAL 6 HOUR")
     return p.join(c, near).select(F.col("p.event_id").alias("event_id"), F.col("c.event_id").alias("click_id"))
 
 
@@ -526,6 +609,32 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_partkey").limit(100)
 
 
+@query("SELECT o_orderpriority, round(sqrt(avg(o_totalprice * o_totalprice)), 4) AS rms FROM orders GROUP BY o_orderpriority")
+def udaf_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate of one's own, over Arrow batches of whole groups, rounded as its SQL."""
+
+    @F.pandas_udf("double")
+    def rms(values: pd.Series) -> float:
+        return float(math.sqrt((values * values).mean()))
+
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(rms("o_totalprice"), 4).alias("rms"))
+
+
+@query("SELECT n_nationkey, upper(word) AS word FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS word FROM nation)")
+def udtf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function of one's own, joined laterally."""
+
+    @F.udtf(returnType="word string")
+    class Words:
+        def eval(self, text: str) -> Iterator[tuple[str]]:
+            for w in (text or "").split(" "):
+                yield (w.upper(),)
+
+    spark.udtf.register("rowfeed_words", Words)
+    table(spark, sf_dir, "nation").createOrReplaceTempView("rowfeed_nation")
+    return spark.sql("SELECT n_nationkey, word FROM rowfeed_nation, LATERAL rowfeed_words(n_name)")
+
+
 @query("SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem")
 def distinct_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day")).distinct()
