@@ -1,13 +1,8 @@
-"""Helpers shared by the training-data operators: staging tables, workers' path, word splitting."""
+"""Helpers shared by the training-data operators: workers' path and caches, batches by bytes, keys of rows, word splitting."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Collection, Iterator
-from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowfeed.session import share_code
+from rowfeed.staging import Workspace  # noqa: F401
+
 
 #: Bytes that separate words when only ASCII letters, digits and non-ASCII characters count, as spaces; A-Z lower-cased.
 ALNUM_LOWER = bytes(
@@ -117,41 +114,5 @@ def fresh(columns: Collection[str], *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; without it, a temporary one if all run in this process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="rowfeed-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Workspace:
-    """Tables of one job in the shared folder. They cut lineage and outlive any executor; the driver deletes them when it ends."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/rowfeed-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def close(self) -> None:
-        with suppress(Exception):  # the session may be gone
-            self.drop("")
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` as Parquet and read it back."""
-        path = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
