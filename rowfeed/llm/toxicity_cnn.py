@@ -112,10 +112,12 @@ class Cnn:
         codes = np.concatenate([codes, pad])
         for a in range(0, len(codes) - len(pad), PIECE):
             c = self.convolve(vectors[codes[a : a + PIECE + len(pad)]])
+            c[codes[a : a + len(c)] == 0] = -np.inf  # what begins between texts reaches into the next one
             inside = starts[(starts > a) & (starts < a + len(c))]
             cuts = np.concatenate([[0], inside - a]).astype(np.int64)
             which = np.searchsorted(starts, a, side="right") - 1 + np.arange(len(cuts))
             best[which] = np.maximum(best[which], np.maximum.reduceat(c, cuts))
+        best[np.isinf(best)] = 0  # texts without words
         return np.maximum(best + self.bias, 0) @ self.out + self.out_bias
 
 
@@ -193,6 +195,7 @@ def train(texts: list[str | None], labels: np.ndarray, calibrate: np.ndarray, se
             of_word = row[slots[np.concatenate([codes, np.zeros(max(WIDTHS) - 1, np.int64)])]]
             e = rows[of_word].sum(1)
             conv = net.convolve(e)
+            conv[codes == 0] = -np.inf
             ends = np.append(starts[1:], len(conv))
             at = np.stack([s + conv[s:t].argmax(0) for s, t in zip(starts, ends, strict=True)])
             h = np.maximum(np.take_along_axis(conv, at, 0) + net.bias, 0)

@@ -172,6 +172,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in out.collect())
 
 
+def test_scores_are_those_of_a_plain_net():
+    """Against filters moved along the words one by one, without a lexicon, pieces or pads between texts."""
+    r = random.Random(3)
+    words = ["good", "plain", "word", "text", "awfully", "awful", "badness", "bad!", "the", "der", "unseen"]
+    texts = [" ".join(r.choice(words[:4]) for _ in range(r.randint(1, 30))) + (" awful bad" if i % 2 else "") for i in range(80)]
+    net = toxicity_cnn.train(texts, np.array([i % 2 for i in range(80)]), np.array([i % 4 > 1 for i in range(80)]))
+
+    def plain(text):
+        e = [net.rows[[net.row[s] for s in toxicity_cnn.features(w)]].sum(0) for w in (text or "").lower().split()]
+        zero = np.zeros(toxicity_cnn.DIM)
+        tops = []
+        for k, w in net.filters.items():
+            at = [sum(((e[i + j] if i + j < len(e) else zero) @ w[j]) for j in range(k)) for i in range(max(1, len(e)))]
+            tops.append(np.max(at, axis=0))
+        z = np.maximum(np.concatenate(tops) + net.bias, 0) @ net.out + net.out_bias
+        common = [sum(w.strip(toxicity_cnn.MARKS) in c for w in (text or "").lower().split()) for c in toxicity_cnn.COMMON.values()]
+        lang = int(np.argmax(common)) if max(common) else len(common)
+        return 1 / (1 + np.exp(-(z - net.shift[lang])))
+
+    some = [*texts[:10], "the the unseen awful", "der", "", None, " ".join(r.choice(words) for _ in range(50))]
+    got, _ = toxicity_cnn.Scorer(net).scores(some)
+    assert np.abs(got - np.array([plain(t) for t in some])).max() < 1e-4
+
+
 def test_long_texts_score_like_their_words():
     r = random.Random(1)
     texts = [" ".join(r.choice(["good", "plain", "word", "text"]) for _ in range(40)) + (" awful" if i % 2 else "") for i in range(80)]
