@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
@@ -31,12 +32,20 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+#: Settings of the C library's allocator for workers: blocks of a megabyte or more are mapped alone, so that arrays go back to the system
+#: when they are freed, and few threads' heaps are kept.
+ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
+
+
 def prepare(spark: SparkSession) -> None:
     share_code(spark)
+    for name, value in ALLOCATOR.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 #: What a worker keeps from task to task (token states, hashes, vectors): owner -> how to forget it.
 _KEPT: dict[str, Callable[[], object]] = {}
+_owner = ""
 
 
 def keep(owner: str, forget: Callable[[], object]) -> None:
@@ -46,9 +55,13 @@ def keep(owner: str, forget: Callable[[], object]) -> None:
 
 def keep_only(owner: str) -> None:
     """A worker has the caches of one operator at a time: those of others are forgotten."""
-    for name, forget in _KEPT.items():
-        if name != owner:
-            forget()
+    global _owner
+    if owner != _owner:
+        for name, forget in _KEPT.items():
+            if name != owner:
+                forget()
+        gc.collect()
+        _owner = owner
 
 
 class Kept(dict):

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import ALNUM_LOWER, Workspace, alnum_words, fresh, prepare, size_slices
+from rowfeed.llm.common import ALNUM_LOWER, Workspace, alnum_words, fresh, keep_only, prepare, size_slices
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -265,6 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bl
 
     def searched(df: DataFrame, phrases: Broadcast, more: bool, last: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only("search")
             for batch in (part for b in batches if b.num_rows for part in size_slices(b, text_at, SHARD_BYTES)):
                 texts = batch.column(text_at).to_pylist()
                 sizes, spans, items = scan_batch(texts, phrases.value)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import Workspace, fresh, map_batches, map_stream, prepare, row_key, space_words
+from rowfeed.llm.common import Workspace, fresh, keep_only, map_batches, map_stream, prepare, row_key, space_words
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 LEFT_BITS, RIGHT_BITS = 1, 2  # (LEFT_BITS + 1) + (RIGHT_BITS + 1) > THRESHOLD
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, name: str, column: Column, text_col: str = "te
     """(name, fp) of each row: the column, and the fingerprint's 64 bits as a signed long."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep_only("simhash")
         fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column(0)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fps.view(np.int64))], [name, "fp"])
 
