@@ -86,8 +86,7 @@ def test_shapes_and_codecs_by_name(spark):
         df.select(to_matrix(F.col("v"), 3)).collect()
 
 
-def test_image_needs_pillow():
-    pytest.importorskip("PIL")
+def test_image():
     f = Field("i", np.uint8, (4, 4, 3), codec_of("image:png:80"))
     x = np.random.default_rng(0).integers(0, 255, (4, 4, 3), dtype=np.uint8)
     assert np.array_equal(f.encoding.decode(f, f.encoding.encode(f, x)), x)
