@@ -225,6 +225,31 @@ def test_pieces_in_earlier_documents_hide_nothing(spark, parts):
     assert covered(chaining.repeated_passages(docs)) == {200: set(range(33, 105))}
 
 
+@pytest.mark.parametrize("copies", [8, 40])
+def test_crowds_of_pieces_hide_no_changed_passage(spark, copies):
+    """Document 90000 has what 1000 has with each twelfth word changed; many documents between have pieces too short to be parts, as 90000 has them."""
+    r = random.Random(2)
+    whole = prose(r, 72).split()
+    texts = {1000: fill(r, 20) + [w if k % 12 else f"old{k}" for k, w in enumerate(whole)] + fill(r, 20), 90000: fill(r, 33) + whole + fill(r, 20)}
+    for k in range(15 * copies):
+        texts[2000 + k] = fill(r, 30) + whole[4 * (k // copies) :][:12] + fill(r, 30)
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id bigint, text string").repartition(4)
+    assert covered(chaining.repeated_passages(docs)) == {90000: set(range(34, 105))}
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_matches_leave_out_no_pair_of_texts(copies):
+    """Up to CROWD occurrences: every two of different documents but copies, of which the first stands for all."""
+    n = chaining.CROWD // copies
+    rank, context = np.repeat(np.arange(n), copies), np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(20), copies)
+    rank[copies:] += np.tile(np.arange(copies), n - 1) * n
+    seed, pos = np.full(len(rank), 7, np.uint64), np.arange(len(rank))
+    (later, earlier, *_),  = chaining.matches(seed, rank, pos, context)
+    first = [min(rank[context == c]) for c in context]
+    want = {(i, j) for i in range(len(rank)) for j in range(len(rank)) if rank[j] < rank[i] and rank[j] == first[j]}
+    assert set(zip(later.tolist(), earlier.tolist(), strict=True)) == want and len(later) == len(want)
+
+
 def test_repeated_ids_are_documents_of_their_own(spark):
     r = random.Random(3)
     a, b = prose(r, 120), " ".join(fill(r, 150))
