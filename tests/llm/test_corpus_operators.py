@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -235,6 +236,19 @@ def test_crowds_of_pieces_hide_no_changed_passage(spark, copies):
         texts[2000 + k] = fill(r, 30) + whole[4 * (k // copies) :][:12] + fill(r, 30)
     docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id bigint, text string").repartition(4)
     assert covered(chaining.repeated_passages(docs)) == {90000: set(range(34, 105))}
+    left = chaining.remove_repeats(docs.withColumn("n_chars", F.length("text").cast("bigint"))).where("doc_id = 90000").first().text
+    assert left.split() == texts[90000][:34] + texts[90000][105:]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**31 - 1), st.integers(-(2**31), 2**31 - 1)), min_size=1, max_size=9))
+def test_packed_places(pairs):
+    pos, pos2 = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+    got = chaining._places(chaining._match_rows(pos, pos, pos, pos2).column(2))
+    assert [x.tolist() for x in got] == [pos.tolist(), pos2.tolist()]
+    b, a = np.sort(pos >> 2), pos2 >> 2
+    got = chaining.unpacked_places(pa.scalar(chaining.packed_places(b, a), pa.binary()))
+    assert [x.tolist() for x in got] == [b.tolist(), a.tolist()]
 
 
 @pytest.mark.parametrize("copies", [1, 3])
