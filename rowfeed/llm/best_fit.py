@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowfeed.llm.common import Workspace, prepare
+from rowfeed.llm.common import Workspace, keep_only, prepare
 from rowfeed.llm.fst_tokens import count_tokens
 
 CAPACITY, SHARD_ROWS, MOST_TASKS = 4096, 20_000, 20_000
@@ -138,6 +138,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     kind = sized.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("packing")  # texts are counted, and what follows may not need a worker to forget the tokens
         shard, held = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
