@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowfeed.llm import best_fit, chaining, fm_index, fst_tokens, html_crf, license_digest, pfor_ids, quality_rules, simhash_anchor, toxicity_cnn
+from rowfeed.llm import best_fit, chaining, chat_grammar, fm_index, fst_tokens, html_crf, license_digest, pfor_ids, quality_rules, simhash_anchor, toxicity_cnn, turn_repair, whitening
 from rowfeed.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchor.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_grammar.format_digest(chat_grammar.format_conversations(chat_grammar.with_probe(documents(spark, sf_dir, "conversations"))))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_digest(turn_repair.repair_conversations(turn_repair.damage(documents(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Query]:
         "op8_html_text": op8_html_text,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_chat_format": op11_chat_format,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -72,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontamination": fm_index.leak_sql(),
         "op3_quality_rules": quality_rules.quality_sql(),
         "op9_license_scan": license_digest.scan_sql(),
+        "op11_chat_format": chat_grammar.format_sql(),
     }
