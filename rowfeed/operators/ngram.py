@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rowfeed.schema import match_names
 from rowfeed.session import share_code
@@ -57,7 +60,10 @@ class NGram:
         return NGram(fields, self.threshold, ts[0], self.overlap)
 
     def windows(self, df: DataFrame, by: str | Sequence[str] = RG, tie: Sequence[str] = ()) -> DataFrame:
-        """`by` columns, `start_ts`, `end_ts` and a struct `t_<k>` (`t_m<k>` for negative steps) for each step with fields."""
+        """`by` columns, `start_ts`, `end_ts` and a struct `t_<k>` (`t_m<k>` for negative steps) for each step with fields.
+
+        Rows without a time come first, and their gaps don't count; a window may begin with some if windows overlap, but not end with one.
+        """
         spec, by = self.resolve(df.columns), [by] if isinstance(by, str) else list(by)
         w = Window.partitionBy(*by).orderBy(spec.ts, *tie)
         ts, last, base = F.col(f"`{spec.ts}`"), spec.length - 1, min(spec.fields)
@@ -70,9 +76,78 @@ class NGram:
         kept = out.select(*by, ts.alias("start_ts"), end.alias("end_ts"), *[F.col(t) for t in tie if t not in by], *steps, fits.alias("_fits"))
         kept = kept.where(F.col("_fits") & F.col("end_ts").isNotNull()).drop("_fits")
         if not spec.overlap and last >= 0:
-            kept = greedy(kept, by, tie)
+            kept = greedy(kept.where(F.col("start_ts").isNotNull()), by, tie)
         return kept.select(*by, "start_ts", "end_ts", *[s for s in kept.columns if s.startswith("t_")])
 
+    def windows_as_read(self, df: DataFrame, by: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
+        """`windows` of rows that lie together by `by[0]`, as tasks read row groups: each task makes those of its own, without a shuffle.
+
+        A row group of that number has to be in one partition, one row after the other; it is held in memory, as it was when it was read.
+        """
+        spec, by = self.resolve(df.columns), list(by)
+        schema = spec.windows(df, by, tie).schema
+        kinds = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                numbers = batch.column(by[0]).to_numpy()
+                cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if held and held[0].column(by[0])[0].as_py() != numbers[a]:
+                        yield from spec.of_group(pa.Table.from_batches(held), by, tie, kinds)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield from spec.of_group(pa.Table.from_batches(held), by, tie, kinds)
+
+        share_code(df.sparkSession)
+        return df.mapInArrow(run, schema)
+
+    def of_group(self, rows: pa.Table, by: Sequence[str], tie: Sequence[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Windows of a group's rows, for each value of the further columns in `by` apart."""
+        rows = rows.combine_chunks()
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in [*by, self.ts, *tie]], null_placement="at_start"))
+        part = np.zeros(len(rows), dtype=bool)
+        for c in by[1:]:
+            v = rows[c].to_numpy()
+            part[1:] |= v[1:] != v[:-1]
+        ts, last = rows[self.ts], self.length - 1
+        known = ts.is_valid().to_numpy()
+        x = pc.fill_null(ts, 0).to_numpy() if not known.all() else ts.to_numpy()
+        both = known[1:] & known[:-1]
+        cut = part[1:] | (both & (x[1:] - x[:-1] > self.threshold))
+        before = np.concatenate([[0], np.cumsum(cut)])
+        told = np.concatenate([[0], np.cumsum(both)])
+        starts = np.arange(max(0, len(rows) - last))
+        fits = (before[starts + last] == before[starts]) & known[starts + last]
+        if last:
+            fits &= told[starts + last] > told[starts]
+        starts = starts[fits]
+        if not self.overlap:
+            taken, end, now = [], None, None
+            group, starts = np.cumsum(part), starts[known[starts]]
+            for s in starts.tolist():
+                if group[s] != now or end is None or x[s] > end:
+                    taken.append(s)
+                    now, end = group[s], x[s + last]
+            starts = np.array(taken, dtype=np.int64)
+        if len(starts) == 0:
+            return
+        base, out = min(self.fields), []
+        for f in kinds:
+            if f.name in by:
+                out.append(rows[f.name].take(pa.array(starts)).combine_chunks())
+            elif f.name in ("start_ts", "end_ts"):
+                out.append(ts.take(pa.array(starts + (last if f.name == "end_ts" else 0))).combine_chunks())
+            else:
+                k = next(k for k in self.fields if step_name(k) == f.name)
+                at = rows.take(pa.array(starts + k - base)).combine_chunks()
+                out.append(pa.StructArray.from_arrays([one(at[n]) for n in self.fields[k]], fields=list(f.type)))
+        yield from pa.Table.from_arrays([one(c).cast(f.type) for c, f in zip(out, kinds, strict=True)], schema=kinds).to_batches(max_chunksize=10_000)
+
     def flatten(self, windows: DataFrame) -> DataFrame:
         """Columns `<field>_<i>`, i the place of the step among the sorted steps."""
         out = []
@@ -83,6 +158,10 @@ class NGram:
         return windows.select(*out)
 
 
+def one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
 def step_name(k: int) -> str:
     return f"t_m{-k}" if k < 0 else f"t_{k}"
 

@@ -89,11 +89,11 @@ def sql_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT count(l_orderkey) AS n FROM parquet.`{sf_dir}/lineitem.parquet`")
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> str:
-    """A copy of `events` in one file for each thousand ids, in order; its folder."""
+def _grouped(spark: SparkSession, sf_dir: str, size: int = 1000) -> str:
+    """A copy of `events` in one file for each run of ids, in order; its folder."""
     path = f"{Workspace(spark).path}/events"
-    rows = rowgroups.logical(table(spark, sf_dir, "events"), "event_id", 1000)
-    rows.repartitionByRange(16, "event_id").sortWithinPartitions("event_id").write.partitionBy("rg").parquet(path)
+    rows = rowgroups.logical(table(spark, sf_dir, "events"), "event_id", size)
+    rows.repartitionByRange(16, "rg").sortWithinPartitions("event_id").write.partitionBy("rg").parquet(path)
     return path
 
 
@@ -280,13 +280,44 @@ def shard_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")
 def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of a dataset's own row groups together: each one reads its groups only."""
-    scan, out = Scan(_grouped(spark, sf_dir), ["event_id"], shard_index=0, shard_count=3), None
+    scan, out = Scan(_grouped(spark, sf_dir, 250), ["event_id"], shard_index=0, shard_count=3), None
     for i in range(3):
         part = scan.where(shard_index=i).frame(spark)
         out = part if out is None else out.union(part)
     return out.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("SELECT event_id, value FROM events WHERE event_id // 250 IN (1, 3, 8)")
+def shard_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate on the partition column with shards: files of other partitions aren't opened."""
+    scan, out = Scan(_grouped(spark, sf_dir, 250), ["event_id", "value"], predicate=InSet([1, 3, 8], "rg"), shard_index=0, shard_count=3), None
+    for i in range(3):
+        part = scan.where(shard_index=i).frame(spark)
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id < 3500 AND user_id % 5 = 2")
+def scan_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups by their footers, then by a Python predicate on its own column, then the other columns."""
+    keep = InLambda(["user_id"], lambda user: user % 5 == 2, python=True)
+    return Scan(_grouped(spark, sf_dir), ["event_id", "event_type"], predicate=keep, filters=[("event_id", "<", 3500)], seed=1).frame(spark)
+
+
+@query("SELECT event_id FROM events")
+def scan_foreign_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of files whose names have no suffix, as other writers leave them."""
+    path = f"{Workspace(spark).path}/foreign"
+    table(spark, sf_dir, "events").select("event_id").repartition(4).write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k, status in enumerate(files.listStatus(folder)):
+        if status.getPath().getName().endswith(".parquet"):
+            files.rename(status.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{k:06d}_0"))
+    scan = Scan(path, ["event_id"], shard_index=0, shard_count=2)
+    return scan.frame(spark).union(scan.where(shard_index=1).frame(spark))
+
+
 @query(f"SELECT event_id, rg, floor((row_number() OVER (PARTITION BY rg ORDER BY event_id) - 1)::DOUBLE / (count(*) OVER (PARTITION BY rg)::DOUBLE / least(count(*) OVER (PARTITION BY rg), 7)))::BIGINT AS part FROM {EVENTS}")
 def row_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.row_drop(events(spark, sf_dir).select("event_id", "rg"), 7, ["event_id"])
@@ -314,6 +345,14 @@ def shuffle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.rank_rows(events(spark, sf_dir).select("event_id", "rg"), 7, "event_id")
 
 
+@query("SELECT g, row_number() OVER (ORDER BY md5('7:0:' || n)) AS place FROM (SELECT g, row_number() OVER (ORDER BY 'rg=' || g || '/') - 1 AS n FROM (SELECT DISTINCT event_id // 1000 AS g FROM events))")
+def seeded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a seeded read gives the row groups of files; their rows aren't moved."""
+    rows = Scan(_grouped(spark, sf_dir), ["event_id"], seed=7, shuffle_rows=True).ordered(spark)
+    first = rows.withColumn("at", F.monotonically_increasing_id()).groupBy(F.expr("event_id div 1000").alias("g")).agg(F.min("at").alias("at"))
+    return first.select("g", F.row_number().over(Window.orderBy("at")).cast("bigint").alias("place"))
+
+
 BOUNDED = f"""SELECT event_id, pos, row_number() OVER (ORDER BY pos + floor({U.format("'7:' || event_id")} * 100)::BIGINT, pos) - 1 AS shuffled_pos
 FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM events)"""
 
@@ -395,6 +434,14 @@ def ngram_by_rowgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spec.windows(events(spark, sf_dir), "rg", ["event_id"]), "rg")
 
 
+@query(f"SELECT start_ts, id_0, id_1 FROM ({_lead_sql('rg', [0, 1], HOUR)})")
+def ngram_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the files' own row groups, made by the tasks that read them."""
+    micros = Transform({"us": F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))})
+    scan = Scan(_grouped(spark, sf_dir), ["event_id", "ts"], transform=micros, ngram=NGram({0: ["event_id", "us"], 1: ["event_id"]}, HOUR, "us"))
+    return _steps(scan.frame(spark), "rg").drop("rg")
+
+
 @query(_lead_sql("rg", [0], 0))
 def ngram_len1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(NGram({0: ["event_id", "us"]}, 0, "us").windows(events(spark, sf_dir), "rg", ["event_id"]), "rg")

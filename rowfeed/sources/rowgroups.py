@@ -6,8 +6,10 @@ runs of a dense integer key. Either way `rg` is an ordinary column, so Spark's o
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator, Sequence
+from typing import Any
 from urllib.parse import unquote
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rowfeed.functions.predicates import Bounds, Mask, Predicate, dnf_possible
 from rowfeed.session import share_code
 from rowfeed.staging import Workspace
 
@@ -80,36 +83,112 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
-MANIFEST = "path string, group int, low bigint, high bigint"
+#: The manifest's columns but for partitions and bounds.
+MANIFEST = (RG, "path", "group", "low", "high")
+#: Kinds whose bounds in a footer mean what Spark's comparisons mean.
+BOUNDED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.DateType)
+FILE_COLUMNS = ("path", "modificationTime", "length", "content")
 
 
-def manifest(spark: SparkSession, *paths: str) -> DataFrame:
-    """(rg, path, group, low, high): row groups of all files, with their row ranges in the file. Footers are read by executors.
+def manifest(spark: SparkSession, *paths: str, bounds: Sequence[str] = ()) -> DataFrame:
+    """(rg, path, group, low, high, parts, bounds): row groups of all files, with their row ranges in the file. Footers are read by executors.
 
-    Paths are URLs as Hadoop has them, so characters that URLs encode stay encoded.
+    The files are those that Spark's reader of Parquet takes for the same paths, whatever their names end in: both readers list alike, and pass over
+    names that begin with a mark. parts: the values of the partition columns, as Spark infers them. bounds: for each of the columns named,
+    the least and greatest value in the row group and its number of nulls, null where the footer doesn't tell. Paths are as Hadoop has
+    them, so characters that URLs encode stay encoded.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(list(paths))
+    listed = spark.read.format("binaryFile").load(list(paths)).where("length > 0")
+    parts = [f for f in listed.schema if f.name not in FILE_COLUMNS]
+    schema = spark.read.parquet(*paths).schema if bounds else T.StructType()
+    known = [schema[n] for n in bounds if n in schema.names and n not in [f.name for f in parts] and isinstance(schema[n].dataType, BOUNDED)]
+    wanted = T.StructType([T.StructField(f.name, T.StructType([T.StructField("low", f.dataType), T.StructField("high", f.dataType), T.StructField("nulls", T.LongType())])) for f in known])
+    fields = [T.StructField("path", T.StringType()), T.StructField("group", T.IntegerType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]
+    kinds = to_arrow_schema(T.StructType([*fields, T.StructField("parts", T.StructType(parts)), T.StructField("bounds", wanted)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path in batch.column(0).to_pylist():
+            out, row, told = [], [], {f.name: [] for f in known}
+            for k, path in enumerate(batch.column(0).to_pylist()):
                 with opened(path) as f:
                     meta, low = pq.read_metadata(f), 0
                 for g in range(meta.num_row_groups):
-                    n = meta.row_group(g).num_rows
-                    out.append((path, g, low, low + n))
-                    low += n
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["path", "group", "low", "high"])
-
-    # Only paths are asked for, so the files' contents aren't read; a footer is the end of a file.
-    groups = share_code(spark) and listed.select("path").mapInArrow(run, MANIFEST)
+                    group = meta.row_group(g)
+                    out.append((path, g, low, low + group.num_rows))
+                    row.append(k)
+                    low += group.num_rows
+                    if known:
+                        at = {group.column(i).path_in_schema: i for i in range(group.num_columns)}
+                        for name, values in told.items():
+                            values.append(footer_bounds(group.column(at[name]).statistics if name in at else None))
+            columns = [pa.array(c, t.type) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=False)]
+            columns.append(batch.column(1).take(pa.array(row, pa.int64())).cast(kinds.field("parts").type))
+            if known:
+                made = [pa.StructArray.from_arrays([typed(c, t.type) for c, t in zip(zip(*values, strict=True) if values else [[]] * 3, kinds.field("bounds").type.field(name).type, strict=True)], fields=list(kinds.field("bounds").type.field(name).type)) for name, values in told.items()]
+                columns.append(pa.StructArray.from_arrays(made, fields=list(kinds.field("bounds").type)))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kinds][: len(columns)])
+
+    out = [*fields, T.StructField("parts", T.StructType(parts)), *([T.StructField("bounds", wanted)] if known else [])]
+    if not parts:  # Parquet has no structs without fields
+        out[4] = T.StructField("parts", T.StructType([T.StructField("none", T.BooleanType())]))
+        kinds = to_arrow_schema(T.StructType([*out[:5], T.StructField("bounds", wanted)]))
+    struct = F.struct(*[F.col(f"`{f.name}`") for f in parts]) if parts else F.struct(F.lit(None).cast("boolean").alias("none"))
+    # Only paths and partitions are asked for, so the files' contents aren't read; a footer is the end of a file.
+    groups = share_code(spark) and listed.select("path", struct.alias("parts")).mapInArrow(run, T.StructType(out))
     # The manifest has a row for each row group, some millions at most, so a window over all of it fits in a task. It is kept, as it is read twice.
-    numbers = groups.withColumn(RG, F.row_number().over(Window.orderBy("path", "group")).cast("bigint") - 1).select(RG, "path", "group", "low", "high")
+    numbers = groups.withColumn(RG, F.row_number().over(Window.orderBy("path", "group")).cast("bigint") - 1).select(*MANIFEST, *[f.name for f in out[4:]])
     return Workspace(spark).save(numbers, "manifest")
 
 
+def footer_bounds(stats: pq.Statistics | None) -> tuple:
+    """(least, greatest, nulls) as a footer tells them, null where it doesn't."""
+    if stats is None:
+        return None, None, None
+    low, high = (stats.min, stats.max) if stats.has_min_max else (None, None)
+    return low, high, stats.null_count if stats.has_null_count else None
+
+
+def typed(values: Sequence[Any], kind: pa.DataType) -> pa.Array:
+    """Bounds as the column's type; of values that aren't of it, nothing is known."""
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError):
+        return pa.nulls(len(values), kind)
+
+
+def partition_names(groups: DataFrame) -> list[str]:
+    return [n for n in groups.schema["parts"].dataType.names if n != "none"]
+
+
+def known_bounds(groups: DataFrame, schema: T.StructType) -> dict[str, Bounds]:
+    """The bounds that a manifest has of columns: those asked for, and partitions, whose value is known."""
+    out = {n: Bounds(F.col(f"parts.`{n}`"), F.col(f"parts.`{n}`"), F.col(f"parts.`{n}`").isNull().cast("long"), schema[n].dataType) for n in partition_names(groups)}
+    for n in groups.schema["bounds"].dataType.names if "bounds" in groups.columns else ():
+        out[n] = Bounds(*(F.col(f"bounds.`{n}`.{x}") for x in ("low", "high", "nulls")), schema[n].dataType)
+    return out
+
+
+def prune(groups: DataFrame, schema: T.StructType, predicates: Sequence[Predicate], filters: Sequence[Any] | None = None) -> tuple[DataFrame, list[Predicate]]:
+    """The row groups of a manifest that may have rows to keep, and the predicates that rows still have to pass.
+
+    Predicates on partition columns alone are decided here, of whatever kind they are; of others the bounds tell which groups can't have rows.
+    """
+    names, known = set(partition_names(groups)), known_bounds(groups, schema)
+    decided = [p for p in predicates if p.fields() <= names]
+    left = [p for p in predicates if not p.fields() <= names]
+    for p in left:
+        groups = groups.where(p.possible(known))
+    if filters:
+        groups = groups.where(dnf_possible(filters, known))
+    if decided:
+        all_of = unused([*names], "_group")[0]
+        rows = groups.select(F.struct(*groups.columns).alias(all_of), *[F.col(f"parts.`{n}`").alias(n) for n in names])
+        for p in decided:
+            rows = p.filter(rows)
+        groups = rows.select(f"{all_of}.*")
+    return groups, left
+
+
 def opened(path: str) -> pa.NativeFile:
     """A file by the path that Spark gives it, which is percent-encoded or, from the binary source, plain."""
     scheme, _, rest = path.partition(":")
@@ -119,45 +198,58 @@ def opened(path: str) -> pa.NativeFile:
     return files.open_input_file(place)
 
 
-def partition_values(path: str) -> dict[str, str | None]:
-    """The values that folders of the path stand for, as text; Hive's mark for null is null."""
-    out = {}
-    for part in path.split("/")[:-1]:
-        name, found, value = part.partition("=")
-        if found:
-            value = unquote(value)
-            out[unquote(name)] = None if value == "__HIVE_DEFAULT_PARTITION__" else value
-    return out
-
-
-def physical(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None, groups: DataFrame | None = None, place: tuple[str, str] | None = None) -> DataFrame:
+def physical(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None, groups: DataFrame | None = None, place: tuple[str, str] | None = None, first: Sequence[str] = (), keep: Mask | None = None, order: str | None = None, shuffle: bool = False) -> DataFrame:
     """The rows of Parquet files with `rg`, and, in columns of the names in `place`, each one's place in its group and the group's size.
 
     Tasks read row groups by the manifest, the wanted columns of each, and nothing else: with `groups` (rows of a
     manifest) the others are not touched. There is no join and no shuffle of rows. A row group must fit in a task's memory.
+    keep: of a row group the columns `first` are read, then, if it keeps any row, the others. order: a text by which row groups are
+    ordered anew, by its hash with their numbers; they are then read in that order, and with `shuffle` the rows of each are
+    permuted by the same hash. Only the manifest is sorted.
     """
     schema = spark.read.parquet(*paths).schema
+    chosen = manifest(spark, *paths) if groups is None else groups
+    parts = partition_names(chosen)
     names = [n for n in schema.names if columns is None or n in columns]
+    first = [n for n in first if keep is not None]
     wanted = T.StructType([schema[n] for n in names])
-    arrow = to_arrow_schema(T.StructType([T.StructField(f.name, f.dataType) for f in wanted]))
+    arrow = to_arrow_schema(T.StructType([T.StructField(n, schema[n].dataType) for n in [*names, *(n for n in first if n not in names)]]))
     fields = [T.StructField(RG, T.LongType()), *(T.StructField(n, T.LongType()) for n in place or ()), *wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rg, path, group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            values = {n: batch.column(3).field(n) for n in parts}
+            for k, (rg, path, group) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
                 with opened(path) as f:
                     file = pq.ParquetFile(f)
-                    there = [n for n in names if n in file.schema_arrow.names]
-                    table = file.read_row_group(group, columns=there)
-                    n, values = file.metadata.row_group(group).num_rows, partition_values(path)
-                filled = [conformed(table[x.name], x.type) if x.name in there else pa.array([values.get(x.name)] * n, pa.string()).cast(x.type) for x in arrow]
-                lead = [pa.array(np.full(n, rg)), *([pa.array(np.arange(n)), pa.array(np.full(n, n))] if place else [])]
-                yield from pa.table([*lead, *filled], names=[f.name for f in fields]).to_batches(max_chunksize=10_000)
+                    n, inside = file.metadata.row_group(group).num_rows, set(file.schema_arrow.names)
+
+                    def read(which: Sequence[str]) -> dict[str, Any]:
+                        there = [c for c in which if c in inside and c not in parts]
+                        table = file.read_row_group(group, columns=there) if there else None  # noqa: B023
+                        return {c: conformed(table[c], arrow.field(c).type) if c in there else pa.repeat(values[c][k].cast(arrow.field(c).type), n) if c in parts else pa.nulls(n, arrow.field(c).type) for c in which}  # noqa: B023
+
+                    got, rows = {}, None
+                    if keep is not None:
+                        got = read(first)
+                        rows = np.flatnonzero(keep(pa.table(got)))
+                        if len(rows) == 0:
+                            continue
+                    got |= read([c for c in names if c not in got])
+                at = np.arange(n) if rows is None else rows
+                if shuffle:
+                    seed = int.from_bytes(hashlib.md5(f"{order}:{rg}".encode()).digest(), "big")
+                    at = np.random.default_rng(seed).permutation(n) if rows is None else rows[np.random.default_rng(seed).permutation(len(rows))]
+                lead = [pa.array(np.full(len(at), rg)), *([pa.array(at), pa.array(np.full(len(at), n))] if place else [])]
+                table = pa.table([got[c] for c in names], names=names) if names else None
+                table = table if table is None or len(at) == n and not shuffle else table.take(pa.array(at))
+                yield from pa.table([*lead, *(table.columns if table is not None else [])], names=[f.name for f in fields]).to_batches(max_chunksize=10_000)
 
-    chosen = manifest(spark, *paths) if groups is None else groups
     # A task has one row group, or a few of very many.
     tasks = max(1, min(chosen.count(), MOST_TASKS))
-    return chosen.select(RG, "path", "group").repartition(tasks).mapInArrow(run, T.StructType(fields))
+    given = chosen.select(RG, "path", "group", "parts", *([F.md5(F.concat(F.lit(f"{order}:"), F.col(RG).cast("string")).cast("binary")).alias("_order")] if order is not None else []))
+    laid = given.repartition(tasks) if order is None else given.repartitionByRange(tasks, "_order", RG).sortWithinPartitions("_order", RG).drop("_order")
+    return laid.mapInArrow(run, T.StructType(fields))
 
 
 def conformed(column: pa.ChunkedArray, kind: pa.DataType) -> pa.ChunkedArray:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from rowfeed.operators.sampling import epochs, in_read_order, part_of, shard, wi
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field, Schema, match_names
 from rowfeed.sources.decoding import decoded_rows
-from rowfeed.sources.rowgroups import RG, in_groups, logical, manifest, physical, unused
+from rowfeed.sources.rowgroups import RG, in_groups, logical, manifest, physical, prune, unused
 from rowfeed.sources.urls import checked
 
 #: Selected groups of a key that are read by ranges; more of them are joined.
@@ -83,19 +84,27 @@ class Scan:
             raise RuntimeError("no field is selected")
         return [c for c in columns if c in chosen]
 
+    @property
+    def keyed(self) -> bool:
+        """Whether row groups are runs of a key, not those of the files."""
+        return bool(self.key and self.group_size)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """The scan as a DataFrame (without order; see `ordered`)."""
         df, names, _ = self._steps(spark)
         return df.select(*[f"`{n}`" for n in names])
 
     def ordered(self, spark: SparkSession, epoch: int = 0) -> DataFrame:
-        """In the order in which a reader gives rows: by seed and epoch, else as they are. A transform or windows keep the order of row groups."""
-        df, names, row = self._steps(spark)
-        if self.seed is not None and RG in df.columns:
+        """In the order in which a reader gives rows: by seed and epoch, else as they are. A transform or windows keep the order of row groups.
+
+        Row groups of files are read in the seed's order, without a shuffle of rows; row groups of a key are sorted.
+        """
+        df, names, row = self._steps(spark, epoch)
+        if self.seed is not None and RG in df.columns and self.keyed:
             df = in_read_order(df, row if row in df.columns else RG, self.seed, self.shuffle_rows, epoch)
         return df.select(*[f"`{n}`" for n in names])
 
-    def _steps(self, spark: SparkSession) -> tuple[DataFrame, list[str], str]:
+    def _steps(self, spark: SparkSession, epoch: int | None = None) -> tuple[DataFrame, list[str], str]:
         """The rows with what their order needs, the names to give out, and the column that orders rows in a row group."""
         columns = spark.read.parquet(*checked(self.urls)).columns
         names = self.names(columns)
@@ -103,14 +112,16 @@ class Scan:
             spec = self.ngram.resolve(columns)
             names = [c for c in columns if c == spec.ts or any(c in v for v in spec.fields.values())]
         used = {*names, *(self.predicate.fields() if self.predicate is not None else ()), *clause_fields(self.filters)}
-        df, row, place = self._rows(spark, columns, used)
+        if self.predicate is not None:
+            self.predicate.check(columns)
+        df, row, place, left = self._rows(spark, columns, used, epoch)
         if self.drop_parts > 1:
             i, n = place
             more = self.ngram.length - 1 if self.ngram is not None else 0
             df = with_rows_after(df, i, n, self.drop_parts, more) if more else df.withColumn("part", part_of(i, n, self.drop_parts))
             df = df if self.drop_part is None else df.where(F.col("part") == self.drop_part)
-        if self.predicate is not None:
-            df = self.predicate.filter(df)
+        for p in left:
+            df = p.filter(df)
         # Columns that go past the transform, under names of their own.
         row_at, rg_at, part_at = unused([*columns, *(self.transform.names(names) if self.transform is not None else ())], "_row", RG, "_part")
         beside = {row_at: row, rg_at: RG, part_at: "part" if self.drop_parts > 1 else None}
@@ -122,15 +133,20 @@ class Scan:
         if self.ngram is not None:
             by = [RG, *(["part"] if self.drop_parts > 1 else [])]
             df = df.withColumnsRenamed({rg_at: RG, part_at: "part"})
-            df = self.ngram.windows(df, by, [row_at])
+            df = self.ngram.windows(df, by, [row_at]) if self.keyed else self.ngram.windows_as_read(df, by, [row_at])
             return df, [c for c in df.columns if c != "part"], RG
         return df, names, row_at
 
-    def _rows(self, spark: SparkSession, columns: list[str], used: set[str]) -> tuple[DataFrame, str | None, tuple[Column, Column] | None]:
-        """Rows of the chosen row groups, the column that orders them in a group, and each one's place in the group with the group's size."""
+    def _rows(self, spark: SparkSession, columns: list[str], used: set[str], epoch: int | None) -> tuple[DataFrame, str | None, tuple[Column, Column] | None, list[Predicate]]:
+        """Rows of the chosen row groups, the column that orders them in a group, each one's place in the group with the group's size, and the predicates that are left to apply.
+
+        Of the files' row groups those are opened that the partitions and footers don't rule out; predicates that a task can run are run there,
+        on their own columns first.
+        """
         urls, window = checked(self.urls), Window.partitionBy(RG)
+        left = self.predicate.conjuncts() if self.predicate is not None else []
         needs_rg = self.selector or self.shard_count or self.ngram or self.drop_parts > 1 or self.seed is not None
-        if self.key and self.group_size:
+        if self.keyed:
             df = spark.read.parquet(*urls)
             df = df.where(dnf(self.filters)) if self.filters else df
             numbers = self.selector.numbers(self.indexes, MOST_GROUPS) if self.selector is not None else None
@@ -142,21 +158,32 @@ class Scan:
             if self.shard_count is not None:
                 df = shard(df, self.shard_index, self.shard_count)
             if self.drop_parts == 1:
-                return df, self.key, None
+                return df, self.key, None, left
             at, size = unused(columns, "_at", "_size")
             df = df.withColumns({at: F.row_number().over(window.orderBy(self.key)) - 1, size: F.count(F.lit(1)).over(window)})
-            return df, self.key, (F.col(at), F.col(size))
+            return df, self.key, (F.col(at), F.col(size)), left
         if not needs_rg:
             df = spark.read.parquet(*urls)
-            return (df.where(dnf(self.filters)) if self.filters else df), self.key, None
-        groups = manifest(spark, *urls)
+            return (df.where(dnf(self.filters)) if self.filters else df), self.key, None, left
+        asked = {*clause_fields(self.filters), *(n for p in left for n in p.fields())}
+        schema, groups = spark.read.parquet(*urls).schema, manifest(spark, *urls, bounds=sorted(asked))
+        total = groups.count() if self.shard_count is not None else None
+        groups, left = prune(groups, schema, left, self.filters)
         if self.selector is not None:
             groups = self.selector.rows(groups, self.indexes)
         if self.shard_count is not None:
-            groups = shard(groups, self.shard_index, self.shard_count)
+            groups = shard(groups, self.shard_index, self.shard_count, groups=total)
         at, size = unused(columns, "_at", "_size")
-        df = physical(spark, *urls, columns=[c for c in columns if c in used], groups=groups, place=(at, size))
-        return (df.where(dnf(self.filters)) if self.filters else df), at, (F.col(at), F.col(size))
+        kinds = {f.name: f.dataType for f in schema}
+        masks = [(p, p.mask(kinds)) for p in left]
+        first, run = sorted({n for p, m in masks if m is not None for n in p.fields()}), [m for _, m in masks if m is not None]
+        left = [p for p, m in masks if m is None]
+        used = {*self.names(columns), *clause_fields(self.filters), *(n for p in left for n in p.fields())} if self.ngram is None else used
+        df = physical(
+            spark, *urls, columns=[c for c in columns if c in used], groups=groups, place=(at, size), first=first, keep=(lambda table: np.logical_and.reduce([m(table) for m in run])) if run else None,
+            order=None if self.seed is None or epoch is None else f"{self.seed}:{epoch}", shuffle=self.shuffle_rows and self.seed is not None and epoch is not None,
+        )
+        return (df.where(dnf(self.filters)) if self.filters else df), at, (F.col(at), F.col(size)), left
 
     def with_epochs(self, spark: SparkSession) -> DataFrame:
         if self.num_epochs is None:
