@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rowfeed.operators.prefix import alike, in_blocks
 from rowfeed.schema import match_names
 from rowfeed.session import share_code
-from rowfeed.sources.rowgroups import RG
+from rowfeed.sources.rowgroups import RG, unused
 
 
 @dataclass(frozen=True)
@@ -79,6 +80,24 @@ class NGram:
             kept = greedy(kept.where(F.col("start_ts").isNotNull()), by, tie)
         return kept.select(*by, "start_ts", "end_ts", *[s for s in kept.columns if s.startswith("t_")])
 
+    def windows_spread(self, df: DataFrame, by: str | Sequence[str], tie: Sequence[str] = (), size: int | None = None) -> DataFrame:
+        """`windows` of keys that may hold any share of the rows: overlapping ones, of rows in blocks by (key, time), whoever's they are.
+
+        A block gets copies of the next length - 1 rows, so that windows which begin in it can end.
+        """
+        spec, by = self.resolve(df.columns), [by] if isinstance(by, str) else list(by)
+        if not spec.overlap:
+            raise NotImplementedError("windows that don't overlap are taken one after the other within a key")
+        last, base = spec.length - 1, min(spec.fields)
+        b = in_blocks(df, [*by, spec.ts, *tie], after=last, size=size)
+        w = Window.partitionBy(b.block).orderBy(b.pos)
+        ts, gap = F.col(f"`{spec.ts}`"), unused(b.rows.columns, "_gap")[0]
+        rows = b.rows.withColumn(gap, F.lead(ts).over(w) - ts)
+        fits = F.lit(True) if last == 0 else (F.max(gap).over(w.rowsBetween(0, last - 1)) <= F.lit(spec.threshold)) & alike([F.lead(F.col(f"`{n}`"), last).over(w) for n in by], [F.col(f"`{n}`") for n in by])
+        steps = [F.lead(F.struct(*[f"`{n}`" for n in spec.fields[k]]), k - base).over(w).alias(step_name(k)) for k in sorted(spec.fields) if spec.fields[k]]
+        kept = rows.select(*by, ts.alias("start_ts"), F.lead(ts, last).over(w).alias("end_ts"), *steps, (F.col(b.own) & fits).alias(gap))
+        return kept.where(F.col(gap) & F.col("end_ts").isNotNull()).drop(gap)
+
     def windows_as_read(self, df: DataFrame, by: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
         """`windows` of rows that lie together by `by[0]`, as tasks read row groups: each task makes those of its own, without a shuffle.
 

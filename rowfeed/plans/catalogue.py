@@ -16,7 +16,9 @@ from rowfeed.functions.codecs import uniform_length
 from rowfeed.functions.hashing import split_bounds
 from rowfeed.functions.predicates import InIntersection, InLambda, InSet, InVector, Negate, Reduce, Split
 from rowfeed.operators import batching, index, sampling
+from rowfeed.operators.joins import band_join, overlap_join
 from rowfeed.operators.ngram import NGram
+from rowfeed.operators.prefix import Running, as_of_join, running
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field
 from rowfeed.sinks.converter import convert
@@ -425,7 +427,7 @@ HOUR = 3_600_000_000
 @query(_lead_sql("user_id", [0, 1, 2], 24 * 3 * HOUR))
 def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = NGram({i: ["event_id", "us"] for i in range(3)}, 24 * 3 * HOUR, "us")
-    return _steps(spec.windows(events(spark, sf_dir), "user_id", ["event_id"]), "user_id")
+    return _steps(spec.windows_spread(events(spark, sf_dir), "user_id", ["event_id"]), "user_id")
 
 
 @query(_lead_sql("rg", [0, 1], HOUR))
@@ -454,7 +456,8 @@ def ngram_sparse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_lead_sql("event_type", [0, 1], HOUR))
 def ngram_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(NGram({0: ["event_id", "us"], 1: ["event_id"]}, HOUR, "us").windows(events(spark, sf_dir), "event_type", ["event_id"]), "event_type")
+    """Few keys with many rows each: their windows are made in blocks, in more tasks than there are keys."""
+    return _steps(NGram({0: ["event_id", "us"], 1: ["event_id"]}, HOUR, "us").windows_spread(events(spark, sf_dir), "event_type", ["event_id"]), "event_type")
 
 
 ORDER_PAIRS = """SELECT o_orderkey // 1000 AS rg, o_orderkey AS start_ts, lead(o_orderkey) OVER w AS end_ts, {0} FROM {1}
@@ -615,9 +618,44 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
   last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_click FROM events)
 WHERE event_type = 'purchase'""")
 def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    click = F.when(F.col("event_type") == "click", F.col("event_id"))
-    return table(spark, sf_dir, "events").withColumn("last_click", F.last(click, ignorenulls=True).over(w)).where("event_type = 'purchase'").select("event_id", "last_click")
+    """The last click before each purchase."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("last_click"))
+    return as_of_join(e.where("event_type = 'purchase'"), clicks, ["user_id"], "ts", "ts", ["last_click"], exact=False, tie=["last_click"]).select("event_id", "last_click")
+
+
+@query("""SELECT event_id, sum(cents) OVER w AS total, count(*) OVER w AS n, max(cents) OVER w AS highest
+FROM (SELECT *, (value * 100)::BIGINT AS cents FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running values of few keys with many rows each."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.rint(F.col("value") * 100).cast("bigint").alias("cents"))
+    run = {"total": Running("sum", "cents"), "n": Running("row_number"), "highest": Running("max", "cents")}
+    return running(rows, ["event_type"], ["ts"], run, ["event_id"]).select("event_id", "total", "n", "highest")
+
+
+@query("SELECT event_id, rank() OVER w AS rank, dense_rank() OVER w AS dense FROM events WINDOW w AS (PARTITION BY event_type ORDER BY user_id DESC)")
+def rank_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks with many ties, of few keys with many rows each."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    return running(rows, ["event_type"], ["-user_id"], {"rank": Running("rank"), "dense": Running("dense_rank")}, ["event_id"]).select("event_id", "rank", "dense")
+
+
+SPAN = "epoch_us(ts) AS a, epoch_us(ts) + CASE WHEN event_id % 50 = 0 THEN 1728000000000 ELSE event_id % 7 * 600000000 END AS b"
+
+
+@query(f"""SELECT p.event_id, c.event_id AS other_id FROM (SELECT *, {SPAN} FROM events WHERE event_type = 'purchase') p JOIN (SELECT *, {SPAN} FROM events WHERE event_type = 'click') c
+ON p.user_id = c.user_id AND p.a < p.b AND c.a < c.b AND p.a < c.b AND c.a < p.b""")
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of minutes and of weeks that overlap."""
+    e = events(spark, sf_dir).select("event_id", "user_id", "event_type", F.col("us").alias("a"), F.expr("us + CASE WHEN event_id % 50 = 0 THEN 1728000000000 ELSE event_id % 7 * 600000000 END").alias("b"))
+    both = overlap_join(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), ("a", "b"), ("a", "b"), ["user_id"])
+    return both.select("event_id", F.col("event_id_right").alias("other_id"))
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON abs(c_acctbal - s_acctbal) <= 2.5")
+def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances that are near each other, without a key in common."""
+    return band_join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), "c_acctbal", "s_acctbal", 2.5).select("c_custkey", "s_suppkey")
 
 
 @query("SELECT p.event_id, c.event_id AS click_id FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts > p.ts AND c.ts <= p.ts + INTERVAL 6 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,7 +55,7 @@ def by_count(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     return numbered(df, order).withColumn(RG, F.expr(f"_pos div {int(size)}")).drop("_pos")
 
 
-def numbered(df: DataFrame, order: Sequence[str], name: str = "_pos") -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_pos") -> DataFrame:
     """Positions from 0 in a total order, without a one-partition window.
 
     The rows are sorted over range partitions once and written with their partition and place in it, to the shared folder: two

@@ -1,0 +1,170 @@
+"""Operators over hot keys: results equal Spark's windows, and no task gets a key's rows whole."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rowfeed.operators import joins, prefix
+from rowfeed.operators.ngram import NGram
+from rowfeed.operators.prefix import Running
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A key with half of the rows, null keys, ties in the order, nulls among the values."""
+    r = random.Random(6)
+    rows = []
+    for i in range(3000):
+        key = 0 if i % 2 else r.choice([None, 1, 2, 3, 4, 5, *range(10, 60)])
+        rows.append((i, key, r.choice([None, *range(40)]), None if r.random() < 0.3 else r.randrange(1000), str(r.randrange(9))))
+    return spark.createDataFrame(rows, "id bigint, k bigint, t bigint, x bigint, _pos string").repartition(6)
+
+
+ALL = {"rn": Running("row_number"), "rk": Running("rank"), "dr": Running("dense_rank"), "n": Running("count", "x"), "total": Running("sum", "x"), "low": Running("min", "x"), "high": Running("max", "x"), "recent": Running("last", "x")}
+
+
+def by_window(df, keys, order):
+    w = Window.partitionBy(*keys).orderBy(*[prefix.sorting(n) for n in order])
+    u = Window.partitionBy(*keys).orderBy(*[prefix.sorting(n) for n in order], "id").rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(
+        "*", F.count(F.lit(1)).over(u).alias("rn"), F.rank().over(w).cast("bigint").alias("rk"), F.dense_rank().over(w).cast("bigint").alias("dr"), F.count("x").over(u).alias("n"), F.sum("x").over(u).alias("total"),
+        F.min("x").over(u).alias("low"), F.max("x").over(u).alias("high"), F.last("x", ignorenulls=True).over(u).alias("recent"),
+    )
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize(("keys", "order", "size"), [(["k"], ["t"], None), (["k"], ["-t"], 7), (["k", "t"], ["x"], 1), ([], ["t"], 50), (["k"], ["x", "-t"], 100_000)])
+def test_running_equals_windows(skewed, keys, order, size):
+    got = prefix.running(skewed, keys, order, ALL, ["id"], size)
+    want = by_window(skewed, keys, order)
+    assert got.columns == want.columns and rows_of(got) == rows_of(want)
+
+
+def test_running_of_empty_tables(skewed):
+    assert prefix.running(skewed.limit(0), ["k"], ["t"], ALL, ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        Running("median", "x")
+    with pytest.raises(ValueError):
+        Running("sum")
+
+
+def spread(df):
+    """Rows of each task that has any."""
+    return sorted(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_a_hot_key_is_spread(spark):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(200_000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000).alias("k"))
+        sizes = spread(prefix.in_blocks(df, ["k", "id"], after=2).rows)
+        assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
+        done = prefix.running(df, ["k"], ["id"], {"n": Running("row_number")})
+        assert done.where("k = 0").agg(F.max("n"), F.sum("n")).first()[:] == (100_000, 100_000 * 100_001 // 2)
+        sizes = spread(done)
+        assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+        assert prefix.in_blocks(df, ["k"]).size == 200_000 // (32 * 8) + 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def plain_as_of(left, right, exact, tolerance):
+    out = []
+    for lid, k, t in left:
+        found = [r for r in right if r[1] == k and r[2] is not None and t is not None and (r[2] <= t if exact else r[2] < t)]
+        best = max(found, key=lambda r: (r[2], r[0]), default=None)
+        if best is not None and tolerance is not None and t - best[2] > tolerance:
+            best = None
+        out.append((lid, best[0] if best else None, best[3] if best else None))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("exact", "tolerance", "size"), [(True, None, None), (False, None, 5), (True, 3, 40), (False, 2, 1)])
+def test_as_of_join(spark, exact, tolerance, size):
+    r = random.Random(2)
+    left = [(i, r.choice([None, 0, 0, 0, 1, 2]), r.choice([None, *range(60)])) for i in range(400)]
+    right = [(i, r.choice([None, 0, 0, 0, 1, 3]), r.choice([None, *range(0, 60, 7)]), r.choice([None, "a", "b"])) for i in range(90)]
+    a, b = spark.createDataFrame(left, "id bigint, k int, t bigint"), spark.createDataFrame(right, "id bigint, k int, at bigint, note string")
+    got = prefix.as_of_join(a, b, ["k"], "t", "at", ["id", "note"], exact, None if tolerance is None else F.lit(tolerance), ["id"], size)
+    assert got.columns == ["id", "k", "t", "id_right", "note"]
+    assert sorted(((x.id, x.id_right, x.note) for x in got.collect())) == plain_as_of(left, right, exact, tolerance)
+    assert prefix.as_of_join(a, b.limit(0), ["k"], "t", "at", ["note"], size=size).where("note is not null").count() == 0
+
+
+@pytest.mark.parametrize("size", [None, 1, 9])
+def test_windows_spread_equal_windows(skewed, size):
+    for spec in (NGram({0: ["id", "t"], 1: ["x"]}, 2, "t"), NGram({-1: ["id"], 3: ["id", "x"]}, 5, "t"), NGram({0: ["id"]}, 0, "t")):
+        got, want = spec.windows_spread(skewed, "k", ["id"], size), spec.windows(skewed, "k", ["id"])
+        names = [c for c in want.columns]
+        assert got.columns == names and rows_of(got) == rows_of(want)
+    with pytest.raises(NotImplementedError):
+        NGram({0: ["id"]}, 1, "t", overlap=False).windows_spread(skewed, "k")
+
+
+def spans(r, n, keys=(0, 0, 0, 1, None)):
+    """Spans of all lengths, negative starts, empty and inverted ones, nulls."""
+    out = []
+    for i in range(n):
+        a = r.randrange(-5000, 5000)
+        length = r.choice([0, 1, 2, 3, r.randrange(30), r.randrange(30), r.randrange(5000), -2])
+        out.append((i, r.choice(keys), None if i % 41 == 0 else a, None if i % 43 == 0 else a + length))
+    return [*out, (n, 0, -(1 << 61), 1 << 61), (n + 1, 0, 7, 7), (n + 2, 0, 7, 8)]
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_overlap_join(spark, closed, keyed):
+    r = random.Random(9)
+    left, right = spans(r, 150), spans(r, 120)
+    a, b = (spark.createDataFrame(x, "id bigint, k int, s bigint, e bigint") for x in (left, right))
+    got = joins.overlap_join(a, b, ("s", "e"), ("s", "e"), ["k"] if keyed else [], closed)
+    assert got.columns == ["id", "k", "s", "e", "id_right", "k_right", "s_right", "e_right"]
+
+    def overlap(x, y):
+        if None in (x[2], x[3], y[2], y[3]) or (keyed and (x[1] is None or x[1] != y[1])):
+            return False
+        if closed:
+            return x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3]
+        return x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3]
+
+    assert sorted((x.id, x.id_right) for x in got.collect()) == sorted((x[0], y[0]) for x in left for y in right if overlap(x, y))
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert joins.overlap_join(a.limit(0), b, ("s", "e"), ("s", "e")).count() == 0
+
+
+def test_overlap_join_makes_few_candidates(spark):
+    """A long span on either side doesn't bring all short ones together."""
+    short = spark.range(20_000).selectExpr("id", "id * 10 AS s", "id * 10 + 3 AS e")
+    long = spark.createDataFrame([(-1, 0, 200_000)], "id bigint, s bigint, e bigint")
+    both = short.unionByName(long)
+    got = joins.overlap_join(both, both, ("s", "e"), ("s", "e"))
+    assert got.count() == 20_000 + 2 * 20_000 + 1
+
+
+@pytest.mark.parametrize("width", [0, 0.5, 3, 1e-7, 1e12])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_band_join(spark, width, keyed):
+    r = random.Random(4)
+    value = lambda: r.choice([None, float("nan"), float("inf"), -float("inf"), 0.0, -0.0, 1e18, 1e18 + 256, r.choice([5.0, 5.0, 5.5]), r.gauss(0, 1), round(r.uniform(-50, 50), 1), r.uniform(-1e6, 1e6)])
+    left, right = [(i, r.choice([0, 0, 1, None]), value()) for i in range(300)], [(i, r.choice([0, 0, 1, None]), value()) for i in range(200)]
+    a, b = (spark.createDataFrame(x, "id bigint, k int, v double") for x in (left, right))
+    got = joins.band_join(a, b, "v", "v", width, ["k"] if keyed else [])
+
+    def near(x, y):
+        return x[2] is not None and y[2] is not None and abs(x[2] - y[2]) <= width and abs(x[2]) < float("inf") and (not keyed or x[1] is not None and x[1] == y[1])
+
+    assert sorted((x.id, x.id_right) for x in got.collect()) == sorted((x[0], y[0]) for x in left for y in right if near(x, y))
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert joins.band_join(a.limit(0), b, "v", "v", 1).count() == 0
+    with pytest.raises(ValueError):
+        joins.band_join(a, b, "v", "v", -1)
