@@ -348,5 +348,27 @@ def dnf_possible(filters: Sequence[Any] | None, known: Mapping[str, Bounds]) ->
     return _any(functools.reduce(Column.__and__, [clause(*c) for c in g], F.lit(True)) for g in groups)
 
 
+#: Of a clause, which rows fit; a null fits none.
+COMPARED: dict[str, Callable[[pa.ChunkedArray, Any], pa.ChunkedArray]] = {
+    "=": pc.equal, "==": pc.equal, "!=": pc.not_equal, "<": pc.less, "<=": pc.less_equal, ">": pc.greater, ">=": pc.greater_equal,
+    "in": lambda c, v: pc.is_in(c, pa.array(v, c.type)), "not in": lambda c, v: pc.invert(pc.is_in(c, pa.array(v, c.type))),
+}
+
+
+def dnf_mask(filters: Sequence[Any], kinds: Mapping[str, T.DataType]) -> Mask | None:
+    """`dnf` for a task or a process of one's own; None where a value isn't of its column's kind, or a column may have NaN."""
+    groups = [filters] if isinstance(filters[0], tuple) else filters
+    for name, op, value in (c for g in groups for c in g):
+        if not isinstance(kinds[name], (*WHOLE, T.StringType)) or not all(_fits(kinds[name], v) for v in (list(value) if op in ("in", "not in") else [value])):
+            return None
+
+    def clause(table: pa.Table, name: str, op: str, value: Any) -> np.ndarray:
+        c = table[name]
+        c = c if isinstance(kinds[name], T.StringType) else c.cast(pa.int64())
+        return pc.if_else(c.is_null(), False, COMPARED[op](c, list(value) if op in ("in", "not in") else value)).to_numpy()
+
+    return lambda table: np.logical_or.reduce([np.logical_and.reduce([clause(table, *c) for c in g]) for g in groups])
+
+
 def not_null(names: Iterable[str]) -> Column:
     return functools.reduce(Column.__and__, [_col(n).isNotNull() for n in names], F.lit(True))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 from urllib.parse import unquote
 
@@ -84,14 +85,14 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
 
 
 #: The manifest's columns but for partitions and bounds.
-MANIFEST = (RG, "path", "group", "low", "high")
+MANIFEST = (RG, "path", "group", "low", "high", "bytes")
 #: Kinds whose bounds in a footer mean what Spark's comparisons mean.
 BOUNDED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.DateType)
 FILE_COLUMNS = ("path", "modificationTime", "length", "content")
 
 
 def manifest(spark: SparkSession, *paths: str, bounds: Sequence[str] = ()) -> DataFrame:
-    """(rg, path, group, low, high, parts, bounds): row groups of all files, with their row ranges in the file. Footers are read by executors.
+    """(rg, path, group, low, high, bytes, parts, bounds): row groups of all files, with their row ranges in the file and sizes before compression. Footers are read by executors.
 
     The files are those that Spark's reader of Parquet takes for the same paths, whatever their names end in: both readers list alike, and pass over
     names that begin with a mark. parts: the values of the partition columns, as Spark infers them. bounds: for each of the columns named,
@@ -103,7 +104,7 @@ def manifest(spark: SparkSession, *paths: str, bounds: Sequence[str] = ()) -> Da
     schema = spark.read.parquet(*paths).schema if bounds else T.StructType()
     known = [schema[n] for n in bounds if n in schema.names and n not in [f.name for f in parts] and isinstance(schema[n].dataType, BOUNDED)]
     wanted = T.StructType([T.StructField(f.name, T.StructType([T.StructField("low", f.dataType), T.StructField("high", f.dataType), T.StructField("nulls", T.LongType())])) for f in known])
-    fields = [T.StructField("path", T.StringType()), T.StructField("group", T.IntegerType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]
+    fields = [T.StructField("path", T.StringType()), T.StructField("group", T.IntegerType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("bytes", T.LongType())]
     kinds = to_arrow_schema(T.StructType([*fields, T.StructField("parts", T.StructType(parts)), T.StructField("bounds", wanted)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +115,14 @@ def manifest(spark: SparkSession, *paths: str, bounds: Sequence[str] = ()) -> Da
                     meta, low = pq.read_metadata(f), 0
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
-                    out.append((path, g, low, low + group.num_rows))
+                    out.append((path, g, low, low + group.num_rows, group.total_byte_size))
                     row.append(k)
                     low += group.num_rows
                     if known:
                         at = {group.column(i).path_in_schema: i for i in range(group.num_columns)}
                         for name, values in told.items():
                             values.append(footer_bounds(group.column(at[name]).statistics if name in at else None))
-            columns = [pa.array(c, t.type) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=False)]
+            columns = [pa.array(c, t.type) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=False)]
             columns.append(batch.column(1).take(pa.array(row, pa.int64())).cast(kinds.field("parts").type))
             if known:
                 made = [pa.StructArray.from_arrays([typed(c, t.type) for c, t in zip(zip(*values, strict=True) if values else [[]] * 3, kinds.field("bounds").type.field(name).type, strict=True)], fields=list(kinds.field("bounds").type.field(name).type)) for name, values in told.items()]
@@ -130,13 +131,13 @@ def manifest(spark: SparkSession, *paths: str, bounds: Sequence[str] = ()) -> Da
 
     out = [*fields, T.StructField("parts", T.StructType(parts)), *([T.StructField("bounds", wanted)] if known else [])]
     if not parts:  # Parquet has no structs without fields
-        out[4] = T.StructField("parts", T.StructType([T.StructField("none", T.BooleanType())]))
-        kinds = to_arrow_schema(T.StructType([*out[:5], T.StructField("bounds", wanted)]))
+        out[5] = T.StructField("parts", T.StructType([T.StructField("none", T.BooleanType())]))
+        kinds = to_arrow_schema(T.StructType([*out[:6], T.StructField("bounds", wanted)]))
     struct = F.struct(*[F.col(f"`{f.name}`") for f in parts]) if parts else F.struct(F.lit(None).cast("boolean").alias("none"))
     # Only paths and partitions are asked for, so the files' contents aren't read; a footer is the end of a file.
     groups = share_code(spark) and listed.select("path", struct.alias("parts")).mapInArrow(run, T.StructType(out))
     # The manifest has a row for each row group, some millions at most, so a window over all of it fits in a task. It is kept, as it is read twice.
-    numbers = groups.withColumn(RG, F.row_number().over(Window.orderBy("path", "group")).cast("bigint") - 1).select(*MANIFEST, *[f.name for f in out[4:]])
+    numbers = groups.withColumn(RG, F.row_number().over(Window.orderBy("path", "group")).cast("bigint") - 1).select(*MANIFEST, *[f.name for f in out[5:]])
     return Workspace(spark).save(numbers, "manifest")
 
 
@@ -198,6 +199,61 @@ def opened(path: str) -> pa.NativeFile:
     return files.open_input_file(place)
 
 
+def created(path: str) -> pa.NativeFile:
+    """A new file at a path of a folder that exists or can be made."""
+    if path.startswith("file:"):
+        place = "/" + path[5:].lstrip("/")
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        return pafs.LocalFileSystem().open_output_stream(place)
+    files, place = pafs.FileSystem.from_uri(path)
+    return files.open_output_stream(place)
+
+
+@dataclass(frozen=True)
+class GroupReader:
+    """How a row group is read: the columns, those of them that partitions give, and which rows are kept, by which columns."""
+
+    names: list[str]
+    parts: list[str]
+    types: pa.Schema
+    first: list[str]
+    keep: Mask | None
+    shuffle: str | None
+
+    @classmethod
+    def of(cls, schema: T.StructType, parts: list[str], columns: Sequence[str] | None = None, first: Sequence[str] = (), keep: Mask | None = None, shuffle: str | None = None) -> GroupReader:
+        names = [n for n in schema.names if columns is None or n in columns]
+        first = [n for n in first if keep is not None]
+        types = to_arrow_schema(T.StructType([T.StructField(n, schema[n].dataType) for n in [*names, *(n for n in first if n not in names)]]))
+        return cls(names, parts, types, first, keep, shuffle)
+
+    def read(self, rg: int, path: str, group: int, values: Mapping[str, pa.Array]) -> tuple[pa.Table | None, np.ndarray, int]:
+        """The kept rows (None if no column is wanted), their places in the group, and the group's size. values: the partitions', an array of one each."""
+        with opened(path) as f:
+            file = pq.ParquetFile(f)
+            n, inside = file.metadata.row_group(group).num_rows, set(file.schema_arrow.names)
+
+            def columns(which: Sequence[str]) -> dict[str, Any]:
+                there = [c for c in which if c in inside and c not in self.parts]
+                table = file.read_row_group(group, columns=there) if there else None
+                return {c: conformed(table[c], self.types.field(c).type) if c in there else pa.repeat(values[c].cast(self.types.field(c).type)[0], n) if c in self.parts else pa.nulls(n, self.types.field(c).type) for c in which}
+
+            got, at = {}, np.arange(n)
+            if self.keep is not None:
+                got = columns(self.first)
+                at = np.flatnonzero(self.keep(pa.table(got)))
+                if len(at) == 0:
+                    return None, at, n
+            got |= columns([c for c in self.names if c not in got])
+        if self.shuffle is not None:
+            seed = int.from_bytes(hashlib.md5(f"{self.shuffle}:{rg}".encode()).digest(), "big")
+            at = at[np.random.default_rng(seed).permutation(len(at))]
+        table = pa.table([got[c] for c in self.names], names=self.names) if self.names else None
+        if table is not None and (len(at) < n or self.shuffle is not None):
+            table = table.take(pa.array(at))
+        return table, at, n
+
+
 def physical(spark: SparkSession, *paths: str, columns: Sequence[str] | None = None, groups: DataFrame | None = None, place: tuple[str, str] | None = None, first: Sequence[str] = (), keep: Mask | None = None, order: str | None = None, shuffle: bool = False) -> DataFrame:
     """The rows of Parquet files with `rg`, and, in columns of the names in `place`, each one's place in its group and the group's size.
 
@@ -209,41 +265,17 @@ def physical(spark: SparkSession, *paths: str, columns: Sequence[str] | None = N
     """
     schema = spark.read.parquet(*paths).schema
     chosen = manifest(spark, *paths) if groups is None else groups
-    parts = partition_names(chosen)
-    names = [n for n in schema.names if columns is None or n in columns]
-    first = [n for n in first if keep is not None]
-    wanted = T.StructType([schema[n] for n in names])
-    arrow = to_arrow_schema(T.StructType([T.StructField(n, schema[n].dataType) for n in [*names, *(n for n in first if n not in names)]]))
-    fields = [T.StructField(RG, T.LongType()), *(T.StructField(n, T.LongType()) for n in place or ()), *wanted]
+    reader = GroupReader.of(schema, partition_names(chosen), columns, first, keep, order if shuffle else None)
+    fields = [T.StructField(RG, T.LongType()), *(T.StructField(n, T.LongType()) for n in place or ()), *(schema[n] for n in reader.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = {n: batch.column(3).field(n) for n in parts}
+            values = {n: batch.column(3).field(n) for n in reader.parts}
             for k, (rg, path, group) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-                with opened(path) as f:
-                    file = pq.ParquetFile(f)
-                    n, inside = file.metadata.row_group(group).num_rows, set(file.schema_arrow.names)
-
-                    def read(which: Sequence[str]) -> dict[str, Any]:
-                        there = [c for c in which if c in inside and c not in parts]
-                        table = file.read_row_group(group, columns=there) if there else None  # noqa: B023
-                        return {c: conformed(table[c], arrow.field(c).type) if c in there else pa.repeat(values[c][k].cast(arrow.field(c).type), n) if c in parts else pa.nulls(n, arrow.field(c).type) for c in which}  # noqa: B023
-
-                    got, rows = {}, None
-                    if keep is not None:
-                        got = read(first)
-                        rows = np.flatnonzero(keep(pa.table(got)))
-                        if len(rows) == 0:
-                            continue
-                    got |= read([c for c in names if c not in got])
-                at = np.arange(n) if rows is None else rows
-                if shuffle:
-                    seed = int.from_bytes(hashlib.md5(f"{order}:{rg}".encode()).digest(), "big")
-                    at = np.random.default_rng(seed).permutation(n) if rows is None else rows[np.random.default_rng(seed).permutation(len(rows))]
-                lead = [pa.array(np.full(len(at), rg)), *([pa.array(at), pa.array(np.full(len(at), n))] if place else [])]
-                table = pa.table([got[c] for c in names], names=names) if names else None
-                table = table if table is None or len(at) == n and not shuffle else table.take(pa.array(at))
-                yield from pa.table([*lead, *(table.columns if table is not None else [])], names=[f.name for f in fields]).to_batches(max_chunksize=10_000)
+                table, at, n = reader.read(rg, path, group, {c: v.slice(k, 1) for c, v in values.items()})
+                if len(at):
+                    lead = [pa.array(np.full(len(at), rg)), *([pa.array(at), pa.array(np.full(len(at), n))] if place else [])]
+                    yield from pa.table([*lead, *(table.columns if table is not None else [])], names=[f.name for f in fields]).to_batches(max_chunksize=10_000)
 
     # A task has one row group, or a few of very many.
     tasks = max(1, min(chosen.count(), MOST_TASKS))

@@ -17,16 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowfeed.functions.predicates import Predicate, dnf
-from rowfeed.operators.batching import iter_tables
+from rowfeed.functions.predicates import Mask, Predicate, dnf, dnf_mask
+from rowfeed.operators.batching import exact_tables
 from rowfeed.operators.index import Selector
 from rowfeed.operators.ngram import NGram
 from rowfeed.operators.sampling import epochs, in_read_order, part_of, shard, with_rows_after
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field, Schema, match_names
-from rowfeed.sources.decoding import decoded_rows
-from rowfeed.sources.rowgroups import RG, in_groups, logical, manifest, physical, prune, unused
+from rowfeed.sources.decoding import batches_to_driver, decoded_rows
+from rowfeed.sources.loading import ReadPlan, reachable
+from rowfeed.sources.rowgroups import RG, GroupReader, in_groups, logical, manifest, partition_names, physical, prune, unused
 from rowfeed.sources.urls import checked
 
 #: Selected groups of a key that are read by ranges; more of them are joined.
@@ -165,26 +167,57 @@ class Scan:
         if not needs_rg:
             df = spark.read.parquet(*urls)
             return (df.where(dnf(self.filters)) if self.filters else df), self.key, None, left
-        asked = {*clause_fields(self.filters), *(n for p in left for n in p.fields())}
-        schema, groups = spark.read.parquet(*urls).schema, manifest(spark, *urls, bounds=sorted(asked))
-        total = groups.count() if self.shard_count is not None else None
-        groups, left = prune(groups, schema, left, self.filters)
-        if self.selector is not None:
-            groups = self.selector.rows(groups, self.indexes)
-        if self.shard_count is not None:
-            groups = shard(groups, self.shard_index, self.shard_count, groups=total)
+        groups, left, schema = self._groups(spark, left)
         at, size = unused(columns, "_at", "_size")
         kinds = {f.name: f.dataType for f in schema}
         masks = [(p, p.mask(kinds)) for p in left]
-        first, run = sorted({n for p, m in masks if m is not None for n in p.fields()}), [m for _, m in masks if m is not None]
+        first, keep = sorted({n for p, m in masks if m is not None for n in p.fields()}), both([m for _, m in masks if m is not None])
         left = [p for p, m in masks if m is None]
         used = {*self.names(columns), *clause_fields(self.filters), *(n for p in left for n in p.fields())} if self.ngram is None else used
         df = physical(
-            spark, *urls, columns=[c for c in columns if c in used], groups=groups, place=(at, size), first=first, keep=(lambda table: np.logical_and.reduce([m(table) for m in run])) if run else None,
+            spark, *urls, columns=[c for c in columns if c in used], groups=groups, place=(at, size), first=first, keep=keep,
             order=None if self.seed is None or epoch is None else f"{self.seed}:{epoch}", shuffle=self.shuffle_rows and self.seed is not None and epoch is not None,
         )
         return (df.where(dnf(self.filters)) if self.filters else df), at, (F.col(at), F.col(size)), left
 
+    def _groups(self, spark: SparkSession, predicates: list[Predicate]) -> tuple[DataFrame, list[Predicate], T.StructType]:
+        """The files' row groups that are to be read, the predicates that rows still have to pass, and the schema."""
+        urls = checked(self.urls)
+        asked = {*clause_fields(self.filters), *(n for p in predicates for n in p.fields())}
+        schema, groups = spark.read.parquet(*urls).schema, manifest(spark, *urls, bounds=sorted(asked))
+        total = groups.count() if self.shard_count is not None else None
+        groups, left = prune(groups, schema, predicates, self.filters)
+        if self.selector is not None:
+            groups = self.selector.rows(groups, self.indexes)
+        if self.shard_count is not None:
+            groups = shard(groups, self.shard_index, self.shard_count, groups=total)
+        return groups, left, schema
+
+    def plan(self, spark: SparkSession) -> ReadPlan | None:
+        """What a process needs to read the scan's row groups itself; None if only Spark can read it.
+
+        That is so with a transform, windows, sub-splits, row groups of a key, predicates of columns, or files that Arrow's file systems don't reach.
+        """
+        if self.transform is not None or self.ngram is not None or self.drop_parts > 1 or self.keyed:
+            return None
+        schema = spark.read.parquet(*checked(self.urls)).schema
+        kinds, predicates = {f.name: f.dataType for f in schema}, self.predicate.conjuncts() if self.predicate is not None else []
+        if self.predicate is not None:
+            self.predicate.check(schema.names)
+        if not all(reachable(u) for u in checked(self.urls)) or self.filters and dnf_mask(self.filters, kinds) is None:
+            return None
+        groups, left, schema = self._groups(spark, predicates)
+        masks = [p.mask(kinds) for p in left]
+        if any(m is None for m in masks):
+            return None
+        first = {n for p in left for n in p.fields()}
+        if self.filters:
+            masks, first = [*masks, dnf_mask(self.filters, kinds)], first | clause_fields(self.filters)
+        parts = partition_names(groups)
+        reader = GroupReader.of(schema, parts, self.names(schema.names), sorted(first), both(masks), None)
+        rows = groups.select(RG, "path", "group", "bytes", *[F.col(f"parts.`{n}`").alias(f"part{k}") for k, n in enumerate(parts)]).orderBy(RG).toArrow()
+        return ReadPlan(reader, rows, self.seed, self.shuffle_rows)
+
     def with_epochs(self, spark: SparkSession) -> DataFrame:
         if self.num_epochs is None:
             raise ValueError("endless epochs are no DataFrame; iterate instead")
@@ -207,12 +240,19 @@ class Scan:
         yield from self._epochs(lambda epoch: self.ordered(spark, epoch).toLocalIterator(prefetchPartitions=True))
 
     def decoded(self, spark: SparkSession, schema: Schema) -> Iterator[dict[str, Any]]:
-        """Rows as dicts of numpy and Python values; tensors are decoded in the tasks."""
-        yield from self._epochs(lambda epoch: decoded_rows(self.ordered(spark, epoch), schema))
+        """Rows as dicts of numpy and Python values. This process reads the row groups if it can (`plan`); else tasks read and decode them."""
+        plan = self.plan(spark)
+        yield from self._epochs(lambda epoch: plan.rows(schema, epoch) if plan is not None else decoded_rows(self.ordered(spark, epoch), schema))
 
     def tables(self, spark: SparkSession, size: int = 10_000) -> Iterator[pa.Table]:
-        """Arrow tables to the driver."""
-        yield from self._epochs(lambda epoch: iter_tables(self.ordered(spark, epoch), size))
+        """Arrow tables, read here if this process can, else brought to it by Spark."""
+        plan = self.plan(spark)
+        yield from self._epochs(lambda epoch: exact_tables((pa.Table.from_batches([b]) for b in batches_to_driver(self.ordered(spark, epoch))) if plan is None else plan.tables(epoch), size))
+
+
+def both(masks: list[Mask]) -> Mask | None:
+    """Rows that all masks keep."""
+    return (lambda table: np.logical_and.reduce([m(table) for m in masks])) if masks else None
 
 
 def clause_fields(filters: Sequence[Any] | None) -> set[str]:
