@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from abc import ABC, abstractmethod
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,20 +70,60 @@ def stats(entries: DataFrame) -> DataFrame:
     return entries.groupBy("value").agg(F.count("*").alias("n_rg"))
 
 
+#: Row groups of a bitmap, as Spark's bitmap functions have it, and bitmaps that a plan takes as a literal (two million row groups).
+BITS, MOST_BITMAPS = 32_768, 64
+
+
+def _in_bitmaps(rg: Column) -> tuple[Column, Column]:
+    """The bitmap that a row group is in, and its place there. The functions count from 1."""
+    number = rg.cast("bigint") + 1
+    return F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number)
+
+
+def bitmaps(entries: DataFrame) -> DataFrame:
+    """(value, bucket, bits): the row groups of each value as bitmaps, an index that selectors take like its entries.
+
+    Bitmaps are of 4 KB, mostly zeros where a value is rare, which a file's compression takes away: for fields of few values with many row groups each.
+    """
+    bucket, place = _in_bitmaps(F.col("rg"))
+    return entries.groupBy("value", bucket).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
 class Selector(ABC):
+    """Which row groups: bitmaps of their numbers, which selectors join by bits."""
+
     @abstractmethod
+    def bits(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
+        """(bucket, bits): a row for each 32,768 numbers that has any."""
+
     def groups(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
         """Distinct rg."""
+        byte = F.conv(F.hex(F.substring("bits", F.expr("cast(i div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+        found = self.bits(indexes).select("bucket", "bits", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("i"))
+        return found.where(F.call_function("getbit", byte, F.col("i") % 8) == 1).select(((F.col("bucket") - 1) * BITS + F.col("i")).cast("bigint").alias("rg"))
 
     def rows(self, df: DataFrame, indexes: Mapping[str, DataFrame], rg: str = RG) -> DataFrame:
-        """All rows of the selected row groups of a frame that has been read; a scan prunes what it reads instead."""
-        return df.join(self.groups(indexes).withColumnRenamed("rg", rg), rg, "left_semi").select(*df.columns)
-
+        """All rows of the selected row groups of a frame that has been read; a scan prunes what it reads instead. Few bitmaps are part of the plan; more are joined."""
+        found = self.bits(indexes).limit(MOST_BITMAPS + 1).collect()
+        if len(found) > MOST_BITMAPS:
+            return df.join(self.groups(indexes).withColumnRenamed("rg", rg), rg, "left_semi").select(*df.columns)
+        keep, number = F.lit(False), F.col(f"`{rg}`").cast("bigint")
+        for r in found:
+            at = number - (r.bucket - 1) * BITS
+            byte = F.conv(F.hex(F.substring(F.lit(bytes(r.bits)), F.expr(f"cast((`{rg}` - {(r.bucket - 1) * BITS}) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+            keep = keep | (at.between(0, BITS - 1) & (F.call_function("getbit", byte, F.pmod(at, F.lit(8)).cast("int")) == 1))
+        return df.where(keep)
 
     def numbers(self, indexes: Mapping[str, DataFrame], most: int) -> list[int] | None:
         """The selected row groups' numbers; None if there are more than `most`."""
-        found = self.groups(indexes).limit(most + 1).collect()
-        return None if len(found) > most else sorted(r[0] for r in found)
+        counted = self.bits(indexes).select("bucket", "bits", F.bitmap_count("bits").alias("n"))
+        found = counted.limit(most + 1).collect()
+        if sum(r.n for r in found) > most:
+            return None
+        out: list[int] = []
+        for r in found:
+            out += ((r.bucket - 1) * BITS + np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))).tolist()
+        return sorted(out)
 
 
 @dataclass(frozen=True)
@@ -91,32 +133,64 @@ class Single(Selector):
     index: str
     values: Iterable | None = None
 
-    def groups(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
+    def bits(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
         if self.index not in indexes:
             raise ValueError(f"the dataset has no index {self.index}")
         found = indexes[self.index]
         if self.values is not None:
             found = found.where(F.col("value").isin(list(self.values)))
-        return found.select("rg").distinct()
+        if "bits" in found.columns:
+            return found.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        bucket, place = _in_bitmaps(F.col("rg"))
+        return found.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
+def _joined(selectors: Sequence[Selector], indexes: Mapping[str, DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [s.bits(indexes) for s in selectors])
 
 
 @dataclass(frozen=True)
 class Intersect(Selector):
     selectors: Sequence[Selector]
 
-    def groups(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
-        first, *rest = [s.groups(indexes) for s in self.selectors]
-        for r in rest:
-            first = first.intersect(r)
-        return first
+    def bits(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
+        """The bits that all have: a selector without a bitmap has none of its bits."""
+        both = _joined(self.selectors, indexes).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("bits").alias("bits"))
+        return both.where(F.col("n") == len(self.selectors)).select("bucket", "bits")
 
 
 @dataclass(frozen=True)
 class Union(Selector):
     selectors: Sequence[Selector]
 
-    def groups(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
-        first, *rest = [s.groups(indexes) for s in self.selectors]
-        for r in rest:
-            first = first.union(r)
-        return first.distinct()
+    def bits(self, indexes: Mapping[str, DataFrame]) -> DataFrame:
+        return _joined(self.selectors, indexes).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+# Sketches
+
+
+def sketches(df: DataFrame, fields: Sequence[str], rg: str = RG) -> DataFrame:
+    """(rg, n, and for each field <field>_distinct, and <field>_quantiles of numbers): sketches of each row group, which merge for any selection of them."""
+    out = [F.count(F.lit(1)).alias("n")]
+    for name in fields:
+        c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        out.append(F.hll_sketch_agg(c if isinstance(kind, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else c.cast("string")).alias(f"{name}_distinct"))
+        if isinstance(kind, T.NumericType):
+            out.append(F.kll_sketch_agg_double(c.cast("double")).alias(f"{name}_quantiles"))
+    return df.groupBy(rg).agg(*out)
+
+
+def merged(found: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """One row for the row groups that are left of `sketches`: n, <field>_distinct, and <field>_quantiles as an array.
+
+    The distinct count is right to about 2 % (a standard error of 4096 registers), a quantile's rank to about 1.5 % of n.
+    """
+    out = [F.sum("n").alias("n")]
+    for name in found.columns:
+        if name.endswith("_distinct"):
+            out.append(F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name))
+        elif name.endswith("_quantiles"):
+            sketch = F.kll_merge_agg_double(name)
+            out.append(F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(float(q))) for q in quantiles]).alias(name))
+    return found.agg(*out)

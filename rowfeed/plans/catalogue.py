@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from rowfeed.functions.codecs import uniform_length
 from rowfeed.functions.hashing import split_bounds
 from rowfeed.functions.predicates import InIntersection, InLambda, InSet, InVector, Negate, Reduce, Split
 from rowfeed.operators import batching, index, sampling
+from rowfeed.operators.aggregate import RootMeanSquare, aggregate
 from rowfeed.operators.joins import band_join, overlap_join
 from rowfeed.operators.ngram import NGram
 from rowfeed.operators.prefix import Running, as_of_join, running
@@ -24,7 +23,7 @@ from rowfeed.schema import Field
 from rowfeed.sinks.converter import convert
 from rowfeed.sinks.writer import copy
 from rowfeed.sources import rowgroups
-from rowfeed.sources.scan import Scan, read_batches
+from rowfeed.sources.scan import Scan
 from rowfeed.staging import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +69,9 @@ def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (k // 1000)::BIGINT AS batch, count(*) AS n_rows FROM (SELECT row_number() OVER () - 1 AS k FROM orders) GROUP BY 1")
 def scan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the Arrow tables that a batch reader gives."""
-    sizes = [(i, t.num_rows) for i, t in enumerate(read_batches(spark, f"{sf_dir}/orders.parquet", 1000, fields=["o_orderkey"]))]
-    return spark.createDataFrame(sizes, "batch bigint, n_rows bigint")
+    """Sizes of the batches that a reader of exact batches gives, counted where the rows are."""
+    rows = batching.batches(Scan(f"{sf_dir}/orders.parquet", ["o_orderkey"]).frame(spark), 1000, ["o_orderkey"])
+    return rows.groupBy(F.col("batch_id").alias("batch")).agg(F.count("*").alias("n_rows"))
 
 
 @query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders")
@@ -238,6 +237,26 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.stats(index.ValueIndex("by_user", "user_id").entries(events(spark, sf_dir)))
 
 
+@query("SELECT event_type AS value, count(DISTINCT event_id // 10) AS n_rg FROM events GROUP BY 1")
+def index_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index kept as bitmaps of row-group numbers; their bits counted."""
+    rows = rowgroups.logical(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 10)
+    found = index.bitmaps(index.ValueIndex("by_type", "event_type").entries(rows))
+    return found.groupBy("value").agg(F.sum(F.bitmap_count("bits")).alias("n_rg"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users, true AS near FROM events WHERE event_id // 1000 % 3 = 0")
+def index_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of row groups, merged for some of them: whether the distinct count is within 6 % of the exact one, and the median's rank within 3 %."""
+    rows = events(spark, sf_dir)
+    some = index.merged(index.sketches(rows, ["user_id", "value"]).where("rg % 3 = 0"), [0.5])
+    exact = rows.where("rg % 3 = 0").select("user_id", "value")
+    median = some.select(F.col("value_quantiles")[0].alias("median"), "user_id_distinct", "n")
+    counted = exact.join(F.broadcast(median)).groupBy("n", "user_id_distinct").agg(F.countDistinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("rank"))
+    near = (F.abs(F.col("user_id_distinct") - F.col("users")) <= F.col("users") * 0.06) & (F.abs(F.col("rank") - 0.5) <= 0.03)
+    return counted.select("n", "users", near.alias("near"))
+
+
 def _selected(spark: SparkSession, sf_dir: str, selector: index.Selector) -> DataFrame:
     """Rows of the selected groups, by ranges of their keys, which go to the reader as filters."""
     found = index.build_indexes(events(spark, sf_dir), [index.ValueIndex("by_id", "event_id"), index.ValueIndex("by_user", "user_id")])
@@ -696,13 +715,9 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderpriority, round(sqrt(avg(o_totalprice * o_totalprice)), 4) AS rms FROM orders GROUP BY o_orderpriority")
 def udaf_rms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An aggregate of one's own, over Arrow batches of whole groups, rounded as its SQL."""
-
-    @F.pandas_udf("double")
-    def rms(values: pd.Series) -> float:
-        return float(math.sqrt((values * values).mean()))
-
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(rms("o_totalprice"), 4).alias("rms"))
+    """An aggregate of one's own whose states merge, rounded as its SQL."""
+    found = aggregate(table(spark, sf_dir, "orders"), ["o_orderpriority"], {"rms": (RootMeanSquare(), ["o_totalprice"])})
+    return found.select("o_orderpriority", F.round("rms", 4).alias("rms"))
 
 
 @query("SELECT n_nationkey, upper(word) AS word FROM (SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS word FROM nation)")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from rowfeed.operators.batching import numpy_batches, prefetched, shuffled_batches
 from rowfeed.sinks.writer import delete
+from rowfeed.sources.loading import ReadPlan
+from rowfeed.sources.scan import Scan
 
 CODECS = ("none", "uncompressed", "snappy", "gzip", "lz4", "lz4_raw", "brotli", "zstd")
 SMALL_FILE = 50 * 1024 * 1024
@@ -63,9 +65,16 @@ class Converter:
         return spark.read.parquet(self.path)
 
     def batches(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1, shuffle_capacity: int = 0, seed: int | None = None, ahead: int = 2) -> Iterator[dict[str, np.ndarray]]:
-        """Numpy batches, epoch after epoch (None: without end), drawn from a shuffle buffer if it has a capacity, made ahead by a thread."""
+        """Numpy batches, epoch after epoch (None: without end), drawn from a shuffle buffer if it has a capacity, made ahead by a thread.
+
+        This process reads the row groups, where Arrow reaches the files; for several processes see `plans`.
+        """
+        plan = Scan(self.path, seed=seed).plan(spark)
 
         def epochs() -> Iterator[dict[str, np.ndarray]]:
+            if plan is not None:
+                yield from plan.batches(size, num_epochs, shuffle_capacity=shuffle_capacity)
+                return
             epoch = 0
             while num_epochs is None or epoch < num_epochs:
                 found = numpy_batches(self.frame(spark), size)
@@ -74,6 +83,10 @@ class Converter:
 
         return prefetched(epochs(), ahead) if ahead else epochs()
 
+    def plans(self, spark: SparkSession, count: int, seed: int | None = None) -> list[ReadPlan]:
+        """What each of `count` training processes needs to read its own row groups, without Spark."""
+        return Scan(self.path, seed=seed).plans(spark, count)
+
     def torch_loader(self, spark: SparkSession, size: int = 32, num_epochs: int | None = 1, tensor: Callable[[np.ndarray], Any] | None = None, **options: Any) -> Iterator[Mapping[str, Any]]:
         """Batches as tensors; `tensor` makes one of an array (by default torch's). options: as of `batches`."""
         if tensor is None:

@@ -46,15 +46,16 @@ def tensor_fields(schema: Schema | None, df: DataFrame) -> dict[str, Any]:
 AT_ONCE, INLINE_BYTES = 8, 64 << 20
 
 
-def batches_to_driver(df: DataFrame, schema: Schema | None = None, at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+def batches_to_driver(df: DataFrame, schema: Schema | None = None, at_once: int = AT_ONCE, inline_bytes: int = INLINE_BYTES, pack_bytes: int = PACK_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches in the order of partitions; tensors as structs of raw data and shape.
 
-    Each partition is a job of its own, some of them ahead of the one that is given out. A task sends INLINE_BYTES of it and writes what is more
-    to a file in the job's folder, which the driver reads pack by pack. So the driver holds at most at_once * INLINE_BYTES and a pack.
+    Each partition is a job of its own, some of them ahead of the one that is given out. A task sends `inline_bytes` of it and writes what is more
+    to a file in the job's folder, which the driver reads pack by pack. So the driver holds at most at_once * inline_bytes and a pack.
     """
     tensors = tensor_fields(schema, df)
     spark = share_code(df.sparkSession)
-    folder = Workspace(spark).path
+    work = Workspace(spark)
+    folder = work.url()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, out, path = 0, None, f"{folder}/packs-{uuid.uuid4().hex}"
@@ -63,8 +64,8 @@ def batches_to_driver(df: DataFrame, schema: Schema | None = None, at_once: int
                 for n, f in tensors.items():
                     at = batch.schema.get_field_index(n)
                     batch = batch.set_column(at, n, unpacked(f, batch.column(at)))
-                for pack in packs(batch):
-                    if sent < INLINE_BYTES:
+                for pack in packs(batch, pack_bytes):
+                    if sent < inline_bytes:
                         sent += len(pack)
                         yield pa.RecordBatch.from_arrays([pa.array([pack], pa.binary())], ["pack"])
                     else:
@@ -88,6 +89,7 @@ def batches_to_driver(df: DataFrame, schema: Schema | None = None, at_once: int
         finally:
             for future in waiting:
                 future.cancel()
+            work.close()
 
 
 #: Marks the name of a file of packs; a pack, an Arrow stream, begins otherwise.

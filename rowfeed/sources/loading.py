@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import cloudpickle
 
+from rowfeed.operators.batching import exact_tables, shuffled_batches, to_batches
 from rowfeed.schema import Schema
 from rowfeed.sources.decoding import decoded_table
 from rowfeed.sources.rowgroups import GroupReader
@@ -99,6 +100,14 @@ class ReadPlan:
         """A table for each row group."""
         yield from self._ahead(lambda t: t, lambda t: t.nbytes, epoch, ahead_bytes, threads)
 
+    def batches(self, size: int, num_epochs: int | None = 1, keep_partial: bool = True, shuffle_capacity: int = 0, ahead_bytes: int = AHEAD_BYTES, threads: int = THREADS) -> Iterator[dict[str, np.ndarray]]:
+        """Batches as numpy columns of types that torch takes, epoch after epoch (None: without end), drawn from a shuffle buffer if it has a capacity."""
+        epoch = 0
+        while num_epochs is None or epoch < num_epochs:
+            found = to_batches(exact_tables(self.tables(epoch, ahead_bytes, threads), size, keep_partial))
+            yield from shuffled_batches(found, size, shuffle_capacity, None if self.seed is None else self.seed + epoch) if shuffle_capacity else found
+            epoch += 1
+
     def rows(self, schema: Schema, epoch: int = 0, ahead_bytes: int = AHEAD_BYTES, threads: int = THREADS) -> Iterator[dict[str, Any]]:
         """Rows as dicts of numpy and Python values, decoded by the threads."""
         for rows in self._ahead(lambda t: decoded_table(t, schema), bytes_of, epoch, ahead_bytes, threads):

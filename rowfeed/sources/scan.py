@@ -215,9 +215,16 @@ class Scan:
             masks, first = [*masks, dnf_mask(self.filters, kinds)], first | clause_fields(self.filters)
         parts = partition_names(groups)
         reader = GroupReader.of(schema, parts, self.names(schema.names), sorted(first), both(masks), None)
-        rows = groups.select(RG, "path", "group", "bytes", *[F.col(f"parts.`{n}`").alias(f"part{k}") for k, n in enumerate(parts)]).orderBy(RG).toArrow()
+        rows = groups.select(RG, "path", "group", "bytes", *[F.col(f"parts.`{n}`").alias(f"part{k}") for k, n in enumerate(parts)]).toArrow().sort_by(RG)
         return ReadPlan(reader, rows, self.seed, self.shuffle_rows)
 
+    def plans(self, spark: SparkSession, count: int) -> list[ReadPlan]:
+        """A plan for each of `count` processes: shards, which have no row group in common. They can be sent there (`ReadPlan.dumps`)."""
+        found = [self.where(shard_index=i, shard_count=count).plan(spark) for i in range(count)]
+        if any(p is None for p in found):
+            raise NotImplementedError("only Spark can read this scan")
+        return found
+
     def with_epochs(self, spark: SparkSession) -> DataFrame:
         if self.num_epochs is None:
             raise ValueError("endless epochs are no DataFrame; iterate instead")

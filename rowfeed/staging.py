@@ -36,6 +36,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def url(self) -> str:
+        """The folder with its file system's scheme, for readers and writers besides Spark's."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         self._delete(f"{self.path}/{name}")
