@@ -249,12 +249,10 @@ def index_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of row groups, merged for some of them: whether the distinct count is within 6 % of the exact one, and the median's rank within 3 %."""
     rows = events(spark, sf_dir)
-    some = index.merged(index.sketches(rows, ["user_id", "value"]).where("rg % 3 = 0"), [0.5])
-    exact = rows.where("rg % 3 = 0").select("user_id", "value")
-    median = some.select(F.col("value_quantiles")[0].alias("median"), "user_id_distinct", "n")
-    counted = exact.join(F.broadcast(median)).groupBy("n", "user_id_distinct").agg(F.countDistinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("rank"))
-    near = (F.abs(F.col("user_id_distinct") - F.col("users")) <= F.col("users") * 0.06) & (F.abs(F.col("rank") - 0.5) <= 0.03)
-    return counted.select("n", "users", near.alias("near"))
+    some = index.merged(index.sketches(rows, ["user_id", "value"]).where("rg % 3 = 0"), [0.5]).first()  # one row
+    rank = F.avg((F.col("value") <= F.lit(some["value_quantiles"][0])).cast("double"))
+    exact = rows.where("rg % 3 = 0").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), rank.alias("rank"))
+    return exact.select("n", "users", ((F.abs(F.lit(some["user_id_distinct"]) - F.col("users")) <= F.col("users") * 0.06) & (F.abs(F.col("rank") - 0.5) <= 0.03)).alias("near"))
 
 
 def _selected(spark: SparkSession, sf_dir: str, selector: index.Selector) -> DataFrame:
