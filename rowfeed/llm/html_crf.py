@@ -2,7 +2,7 @@
 
 A page is cut into blocks: runs of text between block-level tags. Each block has binary features of its ancestors (tags,
 and words of their class, id and role) and of its text (length, share of link text, closing punctuation). The chain has two
-labels, main text and boilerplate. Weights are trained by forward-backward gradients on labelled pages that this module
+labels, main text and boilerplate. Elements that HTML doesn't list as blocks, unknown ones and metadata among them, are inline. Weights are trained by forward-backward gradients on labelled pages that this module
 builds from page schemes (own invention, seeded), in numpy, at first use; decoding is by Viterbi. Features name no
 language and no site. Parsing and decoding see one page at a time, so memory is that of the longest page.
 
@@ -44,12 +44,16 @@ FOREIGN = set(
 #: Start tags that leave an open head open; any other one, and text, ends it.
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head", "html"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-#: What doesn't end a block: inline elements, and those that aren't shown where they stand in one.
-WITHIN = INLINE | FOREIGN | SKIPPED - {"head"}
+#: What begins and ends blocks. All else is inline, names that HTML doesn't know and elements of metadata among it.
+BLOCK = set(
+    "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav noframes ol "
+    "optgroup option p plaintext pre search section summary table caption colgroup col tbody thead tfoot tr td th ul xmp".split()
+)
 #: A start tag of the key ends an open tag of these, up to a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = set("html body div section article main aside header footer nav form table ul ol dl td th blockquote figure details fieldset dialog object".split())
+#: End tags that close an open element beyond containers within it.
+CLOSES = BLOCK | FOREIGN | SKIPPED
 TAG = re.compile(r"<(?:[!?]|(/?)([A-Za-z][^\s/>]*))")
 #: A quote that begins a value, or the end of a tag.
 QUOTE_OR_END = re.compile(r"(=\s*)([\"'])|>")
@@ -78,17 +82,17 @@ def is_hidden(attributes: str) -> bool:
     return bool(shown) and shown[-1].removesuffix("!important") == "none"
 
 
-#: Words in class, id or role that stand for kinds of page parts (fixed values).
+#: Words in class, id or role that stand for kinds of page parts (fixed values). Words that parts of articles have, too, aren't among them: more, review, meta, top, search.
 KINDS = {
     "advert": "ad ads adv advert advertisement advertising banner sponsor sponsored promo promoted promotion adsense dfp outbrain taboola",
-    "comment": "comment comments commentlist disqus respond reply replies discussion reactions feedback review reviews",
+    "comment": "comment comments commentlist disqus respond reply replies discussion reactions",
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar tabs pagination pager skip topbar",
-    "side": "sidebar side aside rail widget widgets related recommended recommendation popular trending more",
+    "side": "sidebar side aside rail widget widgets related recommended recommendation popular trending",
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay dialog newsletter subscribe subscription paywall signup login disclaimer toast",
-    "share": "share sharing social follow tweet facebook buttons meta byline tags taglist",
-    "foot": "footer foot copyright colophon legal contentinfo bottom",
-    "head": "header masthead head top logo branding",
-    "form": "form search searchbox input field login",
+    "share": "share sharing social follow tweet facebook buttons byline tags taglist",
+    "foot": "footer foot copyright colophon contentinfo",
+    "head": "header masthead logo branding",
+    "form": "form searchbox login",
     "main": "article post entry content main story body text maincontent articlebody postbody prose markdown",
 }
 KIND_OF = {f".{w}": kind for kind, words in KINDS.items() for w in words.split()}
@@ -169,7 +173,7 @@ class Open:
             self.containers.append(i)
             if tag not in ("td", "th"):
                 self.not_cells.append(i)
-        if tag not in WITHIN:
+        if tag in BLOCK:
             self.blocks.append(i)
         self.skipped += tag in SKIPPED or hidden
         self.links += tag == "a"
@@ -190,7 +194,7 @@ class Open:
                     kept.pop()
             self.skipped -= tag in SKIPPED or hidden
             self.links -= tag == "a"
-            block |= tag not in WITHIN
+            block |= tag in BLOCK
         return block
 
 
@@ -241,9 +245,9 @@ def blocks(page: str | None) -> list[tuple[str, float, frozenset[str], str]]:
             continue
         if slash:
             i = stack.last(tag)
-            if i >= 0 and not (tag in INLINE and stack.containers and stack.containers[-1] > i):
+            if i >= 0 and not (tag not in CLOSES and stack.containers and stack.containers[-1] > i):
                 close(i)
-            if tag not in WITHIN:
+            if tag in BLOCK:
                 now = None
             continue
         if stack.skipped and tag not in IN_HEAD:
@@ -251,15 +255,15 @@ def blocks(page: str | None) -> list[tuple[str, float, frozenset[str], str]]:
         if tag == "head" and len(stack.tags) > len(stack.at.get("html", ())):
             continue
         if tag in VOID:
-            if tag in ("br", "wbr"):
-                text(" " if tag == "br" and now else "")
-            elif tag not in INLINE:
+            if tag == "br":
+                text(" " if now else "")
+            elif tag in BLOCK:
                 now = None
             continue
         if tag in RAW:
             stop = RAW_END[tag].search(page, at)
             at = stop.start() if stop else len(page)
-        if tag not in WITHIN:
+        if tag in BLOCK:
             now = None
             # A block start ends an open paragraph, some end an open one of their kind, up to a container.
             ends = ENDS.get(tag, ())
@@ -440,6 +444,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[int]]]:
     for _ in range(n):
         body, y = article()
         form = r.random()
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2])):  # wrappers without a meaning
+            tag = r.choice(["div", "div", "section"])
+            body = f'<{tag}{r.choice(["", f" class={words(1, 1)}"])}>{body}</{tag}>'
         if form < 0.45:
             body = f"<article>{body}</article>"
         elif form < 0.6:
