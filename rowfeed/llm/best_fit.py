@@ -131,7 +131,11 @@ def pack_shard(rows: Iterable[tuple], capacity: int = CAPACITY) -> list[tuple]:
 
 
 def pack(sized: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """sized: a written table of doc_id, n_tokens, source, cluster, place -> doc_id, piece, start_token, n_tokens, bin_id, bin_offset."""
+    """sized: a written table of doc_id, n_tokens, source, cluster -> doc_id, piece, start_token, n_tokens, bin_id, bin_offset.
+
+    Rows equal in all four are numbered, by their count, and a row's shard is a hash of what it holds and its number: bins don't depend on how the
+    input is cut into files, and repeated rows are spread over shards.
+    """
     spark = sized.sparkSession
     prepare(spark)
     shards = 1 + sized.count() // shard_rows
@@ -155,8 +159,10 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
             columns = [(ids, None), (piece, pa.int32()), (start, pa.int64()), (size, pa.int64()), (bins, pa.int64()), (offset, pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["doc_id", "piece", "start_token", "n_tokens", "bin_id", "bin_offset"])
 
-    dealt = sized.select(F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens", "source", "cluster")
-    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard")
+    numbered = sized.groupBy("doc_id", "n_tokens", "source", "cluster").count().withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), "count")))
+    dealt = numbered.select(F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(shards)).alias("shard"), "doc_id", "n_tokens", "source", "cluster", "place")
+    order = [F.asc_nulls_first(c) for c in ("doc_id", "cluster", "n_tokens", "source", "place")]
+    dealt = dealt.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", *order).drop("place")
     return dealt.mapInArrow(run, f"doc_id {kind}, piece int, start_token bigint, n_tokens bigint, bin_id bigint, bin_offset int")
 
 
@@ -164,4 +170,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack documents by token counts. Copies (equal but for case and white space) form a cluster."""
     plain = docs.select("doc_id", "text", "source")
     sized = count_tokens(plain, carry={"source": F.col("source"), "cluster": F.xxhash64(F.regexp_replace(F.lower("text"), "[ \t-\r]+", " "))})
-    return pack(Workspace(docs.sparkSession).save(sized.select("doc_id", "n_tokens", "source", "cluster", F.monotonically_increasing_id().alias("place")), "sized"), capacity)
+    return pack(Workspace(docs.sparkSession).save(sized.select("doc_id", "n_tokens", "source", "cluster"), "sized"), capacity)

@@ -52,6 +52,29 @@ def test_packing_is_best_fit(rows):
     assert sorted(best_fit.pack_shard(rows, 12), key=str) == sorted(pack_model(rows, 12), key=str)
 
 
+def test_packing_query_equals_plain(spark, sf):
+    """The whole query against counts by the library and a scan of all bins; the table is one shard."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=fst_tokens.tokenizer_path("piece_bpe_32k.model"))
+    docs = sorted(queries.documents(spark, sf).select("doc_id", "text", "source").collect())
+    rows = [(d.doc_id, len(model.encode(d.text or "", num_threads=1)), d.source, None if d.text is None else " ".join(d.text.lower().split())) for d in docs]
+    want = sorted(pack_model(rows, best_fit.CAPACITY), key=str)
+    assert sorted(map(tuple, queries.op5_best_fit_packing(spark, sf).collect()), key=str) == want
+
+
+def test_bins_don_t_depend_on_files(spark, odd):
+    docs = odd.select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source").limit(5))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    one, two = (sorted(map(str, best_fit.pack(best_fit.Workspace(spark).save(sized(docs.repartition(n)), f"sized-{n}"), 4096, 4).collect())) for n in (1, 7))
+    assert one == two and len({r.split("bin_id=")[1] for r in one}) > 4
+
+
+def sized(docs):
+    counted = fst_tokens.count_tokens(docs, carry={"source": F.col("source"), "cluster": F.xxhash64("text")})
+    return counted.select("doc_id", "n_tokens", "source", "cluster")
+
+
 def test_packing_query(spark, sf):
     docs = {r.doc_id: r for r in queries.documents(spark, sf).collect()}
     size = {r.doc_id: r.n_tokens for r in queries.op1_token_counts(spark, sf).collect()}
