@@ -44,8 +44,8 @@ HEAD = struct.Struct("<IBHH")
 END_ID = 2
 #: Bytes of words and ids that are kept, characters of a word to be kept, and words given to the library as one text.
 KEPT_BYTES, LONGEST, JOINED = 320 << 20, 64, 500
-#: Rows of one file, about.
-FILE_ROWS = 1_000_000
+#: Rows and bytes of text of one file, about.
+FILE_ROWS, FILE_BYTES = 1_000_000, 256 << 20
 READ_BLOCKS = 1024
 
 
@@ -362,7 +362,8 @@ def write_ids(docs: DataFrame, folder: str, model: str = "byte_bpe_50k.json", en
             files.move(temporary, path)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([f"{folder}/ids-{number:06d}.pfor"]), pa.array([total]), pa.array([len(out.sizes)])], ["file", "path", "n_ids", "n_docs"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + docs.count() // FILE_ROWS)
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size.n // FILE_ROWS, 1 + size.bytes // FILE_BYTES)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     dealt = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return dealt.select("doc_id", "text").mapInArrow(run, "file bigint, path string, n_ids bigint, n_docs bigint")
