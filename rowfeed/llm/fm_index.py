@@ -6,14 +6,15 @@ occurrence, become a separator too. Over the symbols' suffix array the Burrows-W
 matrix (one ranked bit vector for each bit of the symbol number). Phrases are searched backwards, all at once, by two
 ranks a step; occurrences are located by walking to the next sampled suffix position; their spans are merged by document.
 
-The phrases are broadcast in blocks of about BLOCK_WORDS words, one block at a time: rows with the spans found so far are
-written to the shared folder before the next block is built and sent. So what is sent, and a worker's memory, is bounded for
-a benchmark of any size. Nothing is shuffled. Batches are cut by bytes of text.
+The phrases are broadcast in blocks of about BLOCK_WORDS words, one block at a time: what a block finds is written to the
+shared folder, spans and items by a key of the text, before the next block is built and sent. So what is sent, and a worker's memory, is
+bounded for a benchmark of any size, and texts are read once a block but never written. With one block nothing is shuffled; with more, the
+documents once, to meet their hits. Batches are cut by bytes of text.
 
 Defined results: a null or empty text has no words and is not contaminated; an item without words has no phrase; an item
 with a null id takes part in hits and counts as one item with the empty id; equal items count by id, once each; repeated
 documents each get their row; empty tables give an empty result or no hits; a text of any length is looked at whole. Other
-columns pass through `find_leaks`.
+columns, whatever their names, pass through `find_leaks`.
 """
 
 from __future__ import annotations
@@ -252,49 +253,72 @@ HIT_TYPES = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.i
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS, names: tuple[str, str, str] = ("n_words", "spans", "items"), cut: bool = False) -> DataFrame:
-    """`docs` with the number of words, hit spans (merged, of words) and item ids (sorted as strings), in columns of the `names`.
+    """`docs` with the number of words, hit spans (merged, of words) and item ids (sorted as strings), in columns of the `names`; where `docs` has columns of
+    these names, the new ones get a mark (`fresh`), and all of `docs` pass through.
 
-    With `cut` the last pass gives each text without the words of its spans.
+    With `cut` the last pass gives each text without the words of its spans. A benchmark of more than one block takes a pass for each: what it finds is kept
+    by the text's key, for texts with hits only, and the texts themselves are read again and not written.
     """
     spark = docs.sparkSession
     prepare(spark)
-    out = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in names])
-    keep = out.columns
+    names = tuple(fresh(docs.columns, *names))
+    blocks = benchmark_blocks(benchmark, block_words)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return _with_hits(docs, text_col, names, cut, spark.sparkContext.broadcast(Phrases(block)))
+    key = fresh(docs.columns, "text_key", "text_key_2")
+    of_text = [F.xxhash64(F.col(f"`{text_col}`")), F.xxhash64(F.lit(1), F.col(f"`{text_col}`"))]
+    texts = docs.where(F.col(f"`{text_col}`").isNotNull()).select(*[c.alias(k) for c, k in zip(of_text, key, strict=True)], F.col(f"`{text_col}`").alias("text"))
+    work, found, k = Workspace(spark), None, 0
+    while block is not None:
+        sent = spark.sparkContext.broadcast(Phrases(block))
+        hits = work.save(_hits(texts, key, sent), f"hits-{k}")
+        sent.destroy()
+        found = hits if found is None else found.unionByName(hits)
+        block, following, k = following, next(blocks, None), k + 1
+    spans, items = fresh([*docs.columns, *key, *names], "found_spans", "found_items")
+    found = found.groupBy(*key).agg(F.flatten(F.collect_set("spans")).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias(items))
+    keyed = docs.select("*", *[c.alias(k) for c, k in zip(of_text, key, strict=True)])
+    return _with_hits(keyed.join(found, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans, items), text_col, names, cut, None)
+
+
+def _hits(texts: DataFrame, key: list[str], phrases: Broadcast) -> DataFrame:
+    """(key, spans, items) of the texts in which a phrase of the block occurs; copies of a text once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("search")
+        for batch in (part for b in batches if b.num_rows for part in size_slices(b, 2, SHARD_BYTES)):
+            _, spans, items = scan_batch(batch.column(2).to_pylist(), phrases.value)
+            at = pa.array([i for i, s in enumerate(spans) if len(s)], pa.int64())
+            found = [[[{"start": int(a), "end": int(b)} for a, b in spans[i.as_py()]] for i in at], [items[i.as_py()] for i in at]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(found, HIT_TYPES[1:], strict=True))], [*key, "spans", "items"])
+
+    return texts.mapInArrow(run, f"`{key[0]}` bigint, `{key[1]}` bigint, spans {HITS[1]}, items {HITS[2]}")
+
+
+def _with_hits(docs: DataFrame, text_col: str, names: tuple[str, ...], cut: bool, phrases: Broadcast | None) -> DataFrame:
+    """The documents with hits of the phrases; without phrases, with hits that their last two columns have."""
+    keep = docs.columns if phrases is not None else docs.columns[:-2]
     text_at = keep.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + "".join(f", `{n}` {t}" for n, t in zip(names, HITS, strict=True))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + "".join(f", `{n}` {t}" for n, t in zip(names, HITS, strict=True))
 
-    def searched(df: DataFrame, phrases: Broadcast, more: bool, last: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keep_only("search")
-            for batch in (part for b in batches if b.num_rows for part in size_slices(b, text_at, SHARD_BYTES)):
-                texts = batch.column(text_at).to_pylist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("search")
+        for batch in (part for b in batches if b.num_rows for part in size_slices(b, text_at, SHARD_BYTES)):
+            texts = batch.column(text_at).to_pylist()
+            if phrases is not None:
                 sizes, spans, items = scan_batch(texts, phrases.value)
-                if more:
-                    before_spans, before_items = batch.column(len(keep) + 1).to_pylist(), batch.column(len(keep) + 2).to_pylist()
-                    spans = [merged(np.array([*[(x["start"], x["end"]) for x in a], *b], np.int64).reshape(-1, 2)) for a, b in zip(before_spans, spans, strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(before_items, items, strict=True)]
-                columns = [sizes, [[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], items]
-                before = batch.columns[: len(keep)]
-                if cut and last:
-                    before[text_at] = pa.array([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*before, *(pa.array(c, t) for c, t in zip(columns, HIT_TYPES, strict=True))], [*keep, *names])
-
-        return df.mapInArrow(run, schema)
-
-    blocks, work, k = benchmark_blocks(benchmark, block_words), None, 0
-    block = next(blocks, [])
-    while True:
-        following = next(blocks, None)
-        sent = spark.sparkContext.broadcast(Phrases(block))
-        out = searched(out, sent, k > 0, following is None)
-        if following is None:
-            return out
-        work = work or Workspace(spark)
-        out = work.save(out, f"searched-{k}")
-        sent.destroy()
-        if k:
-            work.drop(f"searched-{k - 1}")
-        block, k = following, k + 1
+            else:
+                found, items = batch.column(len(keep)).to_pylist(), [x or [] for x in batch.column(len(keep) + 1).to_pylist()]
+                sizes = [len(alnum_words(t)) for t in texts]
+                spans = [merged(np.array(sorted((x["start"], x["end"]) for x in s or []), np.int64).reshape(-1, 2)) for s in found]
+            columns = [sizes, [[{"start": int(a), "end": int(b)} for a, b in s] for s in spans], items]
+            before = batch.columns[: len(keep)]
+            if cut:
+                before[text_at] = pa.array([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*before, *(pa.array(c, t) for c, t in zip(columns, HIT_TYPES, strict=True))], [*keep, *names])
+
+    return docs.mapInArrow(run, schema)
 
 
 def hit_words(spans: str = "spans") -> Column:

@@ -26,7 +26,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only states who holds the copyright: it starts, after marks, with "copyright" or "(c)" and a year or a mark.
 COPYRIGHT_LINE = r"(^|\n)[ \t/*#;>-]*((copyright|©)[ \t]*(\(c\)|©|[0-9<\[{,-]|by )|\(c\)[ \t]*(copyright|[0-9]))[^\n]*"
 #: The same with a plain name: "copyright" and a word that running licence text doesn't have there.
-NAMED_LINE = r"(^|\n)[ \t/*#;>-]*copyright[ \t]+(?!(notices?|(co)?holders?|owners?|laws?|licen[cs]e[sd]?|statements?|interests?|rights?|and|or|in|on|of|to|is|as|for|under|treat(y|ies)|claims?|disclaimers?|permissions?|protection|infringements?|doctrines?)([^a-z0-9]|$))[^ \t\n][^\n]*"
+NAMED = r"[ \t/*#;>-]*copyright[ \t]+"
+#: Words that running licence text has after "copyright" (fixed values).
+RUNNING = r"(notices?|(co)?holders?|owners?|laws?|licen[cs]e[sd]?|statements?|interests?|rights?|and|or|in|on|of|to|is|as|for|under|treat(y|ies)|claims?|disclaimers?|permissions?|protection|infringements?|doctrines?)([^a-z0-9]|$)"
+NAMED_LINE = rf"(^|\n){NAMED}(?!{RUNNING})[^ \t\n][^\n]*"
 RESERVED_LINE = r"(^|\n)[ \t/*#;>-]*all rights reserved[.]?[ \t]*"
 #: Equivalent spellings, after the licence list matching guidelines (fixed values).
 SPELLINGS = {
@@ -119,17 +122,25 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for `scan_licenses` over `documents`."""
+    """DuckDB SQL for `scan_licenses` over `documents`: the digest of the canonical form, else of the text without lines of "copyright" and a plain name."""
 
     def text(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    bare = f"regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {text(COPYRIGHT_LINE)}, chr(10), 'g'), {text(RESERVED_LINE)}, chr(10), 'g')"
     spelt = "CASE w " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in SPELLINGS.items()) + " ELSE w END"
-    out = f"array_to_string(list_transform(list_filter(string_split(regexp_replace({bare}, {text(SPACERS)}, ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {spelt}), ' ')"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
+
+    def digest_of(lower: str) -> str:
+        bare = f"regexp_replace(regexp_replace({lower}, {text(COPYRIGHT_LINE)}, chr(10), 'g'), {text(RESERVED_LINE)}, chr(10), 'g')"
+        return f"sha256(array_to_string(list_transform(list_filter(string_split(regexp_replace({bare}, {text(SPACERS)}, ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {spelt}), ' '))"
+
+    # RE2 has no look-ahead, so lines are looked at one by one.
+    is_named = f"regexp_matches(x, {text(f'^{NAMED}[^ ' + chr(92) + 't]')}) AND NOT regexp_matches(x, {text(f'^{NAMED}{RUNNING}')})"
+    unnamed = f"array_to_string(list_transform(string_split(lower, chr(10)), lambda x: CASE WHEN {is_named} THEN '' ELSE x END), chr(10))"
+    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted([*known_digests(), *FULL_TEXTS.items()]))
     return f"""
-WITH known(digest, license_id) AS (VALUES {values}),
-keyed AS (SELECT doc_id, sha256({out}) AS digest FROM documents)
-SELECT doc_id, digest, license_id, license_id IS NOT NULL AS is_license
-FROM keyed LEFT JOIN (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest) USING (digest)"""
+WITH listed(digest, license_id) AS (VALUES {values}),
+known AS (SELECT digest, min(license_id) AS license_id FROM listed GROUP BY digest),
+lowered AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS lower FROM documents),
+keyed AS (SELECT doc_id, {digest_of('lower')} AS digest, {digest_of(unnamed)} AS named FROM lowered)
+SELECT doc_id, keyed.digest, coalesce(a.license_id, b.license_id) AS license_id, coalesce(a.license_id, b.license_id) IS NOT NULL AS is_license
+FROM keyed LEFT JOIN known a ON keyed.digest = a.digest LEFT JOIN known b ON keyed.named = b.digest"""

@@ -107,6 +107,19 @@ def test_leak_query_matches_a_plain_search(spark, sf):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == leak_model(docs[r.doc_id], items)
 
 
+def test_blocks_save_no_texts(spark, monkeypatch):
+    """What the passes of a benchmark of many blocks write is keys, spans and items of texts with hits; columns whose names clash pass through."""
+    saved = []
+    save = fm_index.Workspace.save
+    monkeypatch.setattr(fm_index.Workspace, "save", lambda self, df, name: saved.append((df.columns, name)) or save(self, df, name))
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % 5 + i}" for i in range(40)), 7, "x") for k in range(50)], "doc_id bigint, text string, spans int, text_key string")
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"w{k + i}" for i in range(15))) for k in range(0, 60, 3)], "item_id string, text string")
+    found = fm_index.find_leaks(docs, items, block_words=15)
+    assert found.columns == ["doc_id", "text", "spans", "text_key", "n_words", "spans_", "items"]
+    assert len(saved) == 20 and all(c == ["text_key_", "text_key_2", "spans", "items"] for c, _ in saved)
+    assert all(r.spans == 7 and r.text_key == "x" and r.n_words == 40 and r["spans_"] for r in found.collect())
+
+
 def test_cut_words():
     assert fm_index.cut_words("One, two three. Four", [(1, 3)]) == "One, . Four"
     assert words(fm_index.cut_words("One, two three. Four é five", [(1, 3), (4, 5)])) == ["one", "four", "five"]
@@ -208,6 +221,28 @@ def test_long_texts_score_like_their_words():
     assert abs(again[0] - s[3]) < 1e-6
 
 
+def license_rows():
+    """Known texts with lines of several forms before them, and full texts where the system has them."""
+    from pathlib import Path
+
+    lines = ["", "Copyright (c) 2020 A. Person", "Copyright The Example Authors", "  # Copyright  Example GmbH & Co", "copyright notice of nobody", "Copyright holders say", "(c) 1999 X\nAll rights reserved.\nCopyright Y Z"]
+    texts = [f"{line}\n\n{t}" for line in lines for t in list(LICENSES.values())[:6]] + [None, "", "Some text.", "copyright\tMe and copyright you\n"]
+    folder = Path("/usr/share/common-licenses")
+    texts += [p.read_text(errors="replace") for p in sorted(folder.iterdir())] if folder.is_dir() else []
+    return list(enumerate(texts))
+
+
+def test_license_sql_knows_what_the_scan_knows(spark, monkeypatch):
+    docs = spark.createDataFrame(license_rows(), "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = sorted(con.sql(license_digest.scan_sql()).fetchall())
+    assert sorted(map(tuple, license_digest.scan_licenses(docs).collect())) == want and sum(r[3] for r in want) > 30
+    monkeypatch.setattr(license_digest, "BROADCAST_ROWS", 3)
+    shuffled = license_digest.scan_licenses(docs)
+    assert sorted(map(tuple, shuffled.collect())) == want
+
+
 def test_blocks():
     page = "<ul><li>a<li>b &amp;lt; c</ul><p>x <b>y</b>\n z<p>q<script>var a='</p>'</script>&nbsp;r<br>s<div hidden>no</div><!-- <p>no</p> --><select><option>no</select><td>t"
     assert [b[0] for b in html_crf.blocks(page)] == ["a", "b &lt; c", "x y z", "q r s", "t"]
