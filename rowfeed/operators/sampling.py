@@ -24,6 +24,12 @@ class NoDataError(RuntimeError):
 
 def shard(df: DataFrame, index: int, count: int, rg: str = RG, groups: int | None = None) -> DataFrame:
     """Row groups whose number is `index` modulo `count`: a filter on a column, without a shuffle."""
+    check_shard(index, count, groups)
+    return df.where(F.pmod(F.col(rg), F.lit(count)) == index)
+
+
+def check_shard(index: int, count: int, groups: int | None = None) -> None:
+    """Whether there is such a shard; of more shards than row groups some would be empty."""
     for v in (index, count):
         if not isinstance(v, int) or isinstance(v, bool):
             raise ValueError("shard index and count must be integers")
@@ -31,7 +37,6 @@ def shard(df: DataFrame, index: int, count: int, rg: str = RG, groups: int | Non
         raise ValueError(f"shard {index} of {count}")
     if groups is not None and count > groups:
         raise NoDataError(f"{count} shards of {groups} row groups")
-    return df.where(F.col(rg) % count == index)
 
 
 def part_of(i: Column, n: Column, parts: int) -> Column:

@@ -6,11 +6,13 @@ import warnings
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowfeed.functions import promote
-from rowfeed.functions.codecs import uniform_length
+from rowfeed.functions.codecs import Tensor, uniform_length
 from rowfeed.functions.hashing import split_bounds
 from rowfeed.functions.predicates import InIntersection, InLambda, InSet, InVector, Negate, Reduce, Split
 from rowfeed.operators import batching, index, sampling
@@ -19,12 +21,13 @@ from rowfeed.operators.joins import band_join, overlap_join
 from rowfeed.operators.ngram import NGram
 from rowfeed.operators.prefix import Running, as_of_join, running
 from rowfeed.operators.transform import Transform
-from rowfeed.schema import Field
+from rowfeed.schema import Field, Schema
 from rowfeed.sinks.converter import convert
-from rowfeed.sinks.writer import copy
+from rowfeed.sinks.writer import attach, copy, load_indexes, store_indexes, stored_schema
 from rowfeed.sources import rowgroups
 from rowfeed.sources.scan import Scan
 from rowfeed.staging import Workspace
+from rowfeed.streaming import stream as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,11 +93,11 @@ def sql_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT count(l_orderkey) AS n FROM parquet.`{sf_dir}/lineitem.parquet`")
 
 
-def _grouped(spark: SparkSession, sf_dir: str, size: int = 1000) -> str:
+def _grouped(spark: SparkSession, sf_dir: str, size: int = 1000, name: str = "rg") -> str:
     """A copy of `events` in one file for each run of ids, in order; its folder."""
     path = f"{Workspace(spark).path}/events"
     rows = rowgroups.logical(table(spark, sf_dir, "events"), "event_id", size)
-    rows.repartitionByRange(16, "rg").sortWithinPartitions("event_id").write.partitionBy("rg").parquet(path)
+    rows.repartitionByRange(16, "rg").sortWithinPartitions("event_id").withColumnRenamed("rg", name).write.partitionBy(name).parquet(path)
     return path
 
 
@@ -583,12 +586,79 @@ def copy_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy(spark, f"{path}/labelled", f"{path}/copied", ["doc_.*", "qual.*"], ["quality"])
 
 
-@query("SELECT value, string_agg(rg::VARCHAR, ',' ORDER BY rg) AS rgs FROM (SELECT DISTINCT event_type AS value, event_id // 1000 AS rg FROM events) GROUP BY value")
+BY_PATH = "(SELECT g, row_number() OVER (ORDER BY 'g=' || g || '/') - 1 AS rg FROM (SELECT DISTINCT event_id // 1000 AS g FROM events))"
+
+
+@query(f"SELECT event_type AS value, string_agg(DISTINCT rg::VARCHAR, ',' ORDER BY rg::VARCHAR) AS rgs FROM events JOIN {BY_PATH} ON event_id // 1000 = g GROUP BY event_type")
 def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index that was stored and read again."""
-    path = f"{Workspace(spark).path}/index"
-    index.compact(index.ValueIndex("by_type", "event_type").entries(events(spark, sf_dir))).write.parquet(path)
-    return spark.read.parquet(path).select("value", F.array_join(F.transform("rgs", lambda x: x.cast("string")), ",").alias("rgs"))
+    """An index over the files' row groups that was stored beside them and read again."""
+    path = _grouped(spark, sf_dir, name="g")
+    store_indexes(spark, path, [index.ValueIndex("by_type", "event_type")])
+    found = load_indexes(spark, path)["by_type"]
+    return found.groupBy("value").agg(F.array_join(F.array_sort(F.collect_set(F.col("rg").cast("string"))), ",").alias("rgs"))
+
+
+@query("SELECT vec_id, label, sum(x)::BIGINT AS total, count(*) AS width FROM (SELECT vec_id, label, floor(unnest(embedding)::DOUBLE * 1024)::BIGINT AS x FROM embeddings) GROUP BY vec_id, label")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stored as encoded tensors with a schema attached to the files, decoded in the tasks that read them."""
+    path, field = f"{Workspace(spark).path}/tensors", Field("embedding", np.float32, (None,), Tensor())
+    kinds = "vec_id bigint, label int, embedding binary"
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(embedding=[bytes(field.encoding.encode(field, np.asarray(v, np.float32))) for v in f["embedding"]])
+
+    table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").mapInPandas(encode, kinds).write.parquet(path)
+    attach(spark, path, Schema("vectors", [Field("vec_id", np.int64), Field("label", np.int32), field]))
+    stored = stored_schema(spark, path).fields["embedding"]
+
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            arrays = [stored.encoding.decode(stored, v).astype(float) for v in f["embedding"]]
+            yield f[["vec_id", "label"]].assign(total=[int(np.floor(a * 1024).sum()) for a in arrays], width=[len(a) for a in arrays])
+
+    return Scan(path).frame(spark).mapInPandas(decode, "vec_id bigint, label int, total bigint, width bigint")
+
+
+# Streams: files that are there are taken in one go, and what waits for the watermark stays out
+
+
+def _streamed(spark: SparkSession, sf_dir: str, query: Callable[[Callable[[], DataFrame]], DataFrame]) -> DataFrame:
+    """What a streaming query over `events` has given when all files are read."""
+    work = Workspace(spark).path
+    events(spark, sf_dir).select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{work}/in")
+    return streaming.run_available(query(lambda: streaming.stream(spark, f"{work}/in")), f"{work}/out", f"{work}/checkpoint")
+
+
+@query("""SELECT day, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) AS day, event_type FROM events)
+WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark has passed, counted by type."""
+    found = _streamed(spark, sf_dir, lambda events: streaming.tumbling(events(), "ts", "1 day", "1 hour", ["event_type"], "value"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("SELECT p.event_id, c.event_id AS click_id FROM events p JOIN events c ON p.user_id = c.user_id AND c.ts >= p.ts - INTERVAL 1 HOUR AND c.ts <= p.ts + INTERVAL 12 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click'")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined by user and time."""
+    def both(events: Callable[[], DataFrame]) -> DataFrame:
+        left, right = (events().where(F.col("event_type") == t) for t in ("purchase", "click"))
+        return streaming.near_in_time(left, right, ["user_id"], "ts", "ts", "1 hour", "12 hours", "1 hour", "1 hour").select("event_id", F.col("event_id_right").alias("click_id"))
+
+    return _streamed(spark, sf_dir, both)
+
+
+@query(f"""SELECT key, first, second, gap_ms FROM (SELECT user_id AS key, event_id AS second, ms, lag(event_id) OVER w AS first, ms - lag(ms) OVER w AS gap_ms, max(ms) OVER () AS latest
+FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)) WHERE gap_ms <= {24 * HOUR // 1000} AND ms < latest - 3600000""")
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in time of each user, put in order by timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streaming.ROCKSDB)
+    try:
+        return _streamed(spark, sf_dir, lambda events: streaming.pairs(events(), "user_id", "ts", "event_id", 24 * HOUR // 1000, "1 hour"))
+    finally:
+        spark.conf.set(name, before)
 
 
 # What Spark offers on the same data

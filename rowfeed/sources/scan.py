@@ -23,7 +23,7 @@ from rowfeed.functions.predicates import Mask, Predicate, dnf, dnf_mask
 from rowfeed.operators.batching import exact_tables
 from rowfeed.operators.index import Selector
 from rowfeed.operators.ngram import NGram
-from rowfeed.operators.sampling import epochs, in_read_order, part_of, shard, with_rows_after
+from rowfeed.operators.sampling import check_shard, epochs, in_read_order, part_of, shard, with_rows_after
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field, Schema, match_names
 from rowfeed.sources.decoding import batches_to_driver, decoded_rows
@@ -151,7 +151,7 @@ class Scan:
         if self.keyed:
             df = spark.read.parquet(*urls)
             df = df.where(dnf(self.filters)) if self.filters else df
-            numbers = self.selector.numbers(self.indexes, MOST_GROUPS) if self.selector is not None else None
+            numbers = self.selector.numbers(self.indexes, MOST_GROUPS) if self.selector is not None else self._shard_numbers(spark) if self.shard_count is not None else None
             if numbers is not None:
                 df = in_groups(df, self.key, self.group_size, numbers)
             else:
@@ -180,6 +180,24 @@ class Scan:
         )
         return (df.where(dnf(self.filters)) if self.filters else df), at, (F.col(at), F.col(size)), left
 
+    def _shard_numbers(self, spark: SparkSession) -> list[int] | None:
+        """The numbers of a key's row groups in the shard, by the footers' bounds of the key; None if there are too many, or footers don't tell."""
+        if not all(reachable(u) for u in checked(self.urls)):
+            return None
+        found = manifest(spark, *checked(self.urls), bounds=[self.key])
+        if "bounds" not in found.columns:
+            return None
+        low, high = F.col(f"bounds.`{self.key}`.low"), F.col(f"bounds.`{self.key}`.high")
+        one = found.agg(F.min(low).alias("low"), F.max(high).alias("high"), F.sum((low.isNull() | high.isNull()).cast("int")).alias("unknown")).first()
+        if one.low is None or one.unknown:
+            return None
+        # `div` cuts towards zero.
+        first, last = (abs(x) // self.group_size * (1 if x >= 0 else -1) for x in (one.low, one.high))
+        check_shard(self.shard_index, self.shard_count)  # of a key's runs some shards may be empty: their number is the caller's choice
+        if (last - first) // self.shard_count > MOST_GROUPS:
+            return None
+        return [n for n in range(first, last + 1) if n % self.shard_count == self.shard_index]
+
     def _groups(self, spark: SparkSession, predicates: list[Predicate]) -> tuple[DataFrame, list[Predicate], T.StructType]:
         """The files' row groups that are to be read, the predicates that rows still have to pass, and the schema."""
         urls = checked(self.urls)

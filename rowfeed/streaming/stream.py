@@ -52,8 +52,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class _Pairs(StatefulProcessor):
     """Of a key: rows the watermark hasn't passed, in no order, and the last row it has passed."""
 
-    def __init__(self, names: tuple[str, str], threshold_ms: int, kind: str) -> None:
-        self.names, self.threshold, self.kind = names, threshold_ms, kind
+    def __init__(self, threshold_ms: int, kind: str) -> None:
+        self.threshold, self.kind = threshold_ms, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -63,8 +63,7 @@ class _Pairs(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         taken = []
         for frame in rows:
-            at = frame[self.names[0]].astype("datetime64[ms]").astype("int64").tolist()
-            taken += list(zip(at, frame[self.names[1]].tolist(), strict=True))
+            taken += list(zip(frame["ms"].tolist(), frame["item"].tolist(), strict=True))
         if taken:
             self.open.appendList(taken)
             self._wake(min(t for t, _ in taken), timerValues.getCurrentWatermarkInMs())
@@ -108,8 +107,9 @@ def pairs(df: DataFrame, key: str, ts: str, item: str, threshold_ms: int, latene
     if df.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         raise RuntimeError(f"timers need spark.sql.streaming.stateStore.providerClass={ROCKSDB}")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.withWatermark(ts, lateness).select(F.col(key).alias("key"), F.col(ts).alias("at"), F.col(item).alias("item"))
-    made = _Pairs(("at", "item"), threshold_ms, kinds[item])
+    # Milliseconds as watermarks count them, whatever the session's time zone.
+    rows = df.withWatermark(ts, lateness).select(F.col(key).alias("key"), F.col(ts).alias("at"), F.unix_millis(ts).alias("ms"), F.col(item).alias("item"))
+    made = _Pairs(threshold_ms, kinds[item])
     return rows.groupBy("key").transformWithStateInPandas(made, f"key {kinds[key]}, first {kinds[item]}, second {kinds[item]}, gap_ms bigint", "Append", "EventTime")
 
 
