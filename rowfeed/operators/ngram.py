@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from rowfeed.operators.prefix import alike, in_blocks
+from rowfeed.operators.prefix import MOST_ROWS, alike, hottest, in_blocks
 from rowfeed.schema import match_names
 from rowfeed.session import share_code
 from rowfeed.sources.rowgroups import RG, unused
@@ -80,14 +80,17 @@ class NGram:
             kept = greedy(kept.where(F.col("start_ts").isNotNull()), by, tie)
         return kept.select(*by, "start_ts", "end_ts", *[s for s in kept.columns if s.startswith("t_")])
 
-    def windows_spread(self, df: DataFrame, by: str | Sequence[str], tie: Sequence[str] = (), size: int | None = None) -> DataFrame:
+    def windows_spread(self, df: DataFrame, by: str | Sequence[str], tie: Sequence[str] = (), size: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
         """`windows` of keys that may hold any share of the rows: overlapping ones, of rows in blocks by (key, time), whoever's they are.
 
-        A block gets copies of the next length - 1 rows, so that windows which begin in it can end.
+        A block gets copies of the next length - 1 rows, so that windows which begin in it can end. Without a block's size, and with no key of more than
+        `most_rows` rows, these are Spark's own windows.
         """
         spec, by = self.resolve(df.columns), [by] if isinstance(by, str) else list(by)
         if not spec.overlap:
             raise NotImplementedError("windows that don't overlap are taken one after the other within a key")
+        if size is None and hottest(df, by) <= most_rows:
+            return self.windows(df, by, tie)
         last, base = spec.length - 1, min(spec.fields)
         b = in_blocks(df, [*by, spec.ts, *tie], after=last, size=size)
         w = Window.partitionBy(b.block).orderBy(b.pos)

@@ -5,6 +5,8 @@ range partitions, and cut into blocks of equally many rows, whoever's they are.
 had at the end of the blocks before is carried on to it: a row a block, at most BLOCKS * shuffle partitions of them, whose running values are
 a small window of the same kind. So a key of half of the rows is half of the blocks.
 
+Where no key has more than MOST_ROWS rows, which a count by key tells, Spark's own window is as good and moves rows once; results are the same.
+
 Nulls are keys like any other, and come first in an order, as in Spark. Rows that agree in keys, order and tie come in any order; a
 run of such rows is one range of the sort, so `tie` should tell rows apart where many have the same order.
 """
@@ -22,6 +24,8 @@ from rowfeed.staging import Workspace
 
 #: Blocks for each shuffle partition, so that hashing blocks to tasks evens out, and the fewest rows of a block.
 BLOCKS, LEAST = 32, 256
+#: Rows of a key that a task of a window may have.
+MOST_ROWS = 1_000_000
 
 
 def named(name: str) -> Column:
@@ -45,6 +49,11 @@ def alike(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return out
 
 
+def hottest(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key that has most."""
+    return (df.groupBy(*[named(k) for k in keys]).count().agg(F.max("count")).first()[0] if keys else df.count()) or 0
+
+
 @dataclass(frozen=True)
 class Blocks:
     """rows: the frame with `pos` (place in the order), `block`, and `own`: false for copies of neighbours that blocks get beside their own rows."""
@@ -97,12 +106,15 @@ JOIN = {
 }
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Running], tie: Sequence[str] = (), size: int | None = None) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Running], tie: Sequence[str] = (), size: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """The frame with a column for each running value.
 
     order: names, with a dash before those that descend; ranks are by it. tie: further names, which only order rows. Rows of a key up to
-    and with a row count, in that order, for all but ranks, which are equal where the order is.
+    and with a row count, in that order, for all but ranks, which are equal where the order is. size: rows of a block; if it is given, there are blocks
+    whatever keys have.
     """
+    if size is None and hottest(df, keys) <= most_rows:
+        return _by_window(df, keys, order, columns, tie)
     ranks = any(r.kind in ("rank", "dense_rank") for r in columns.values())
     b = in_blocks(df, [*keys, *order, *tie], before=int(ranks), size=size)
     rows, pos, block = b.rows, F.col(b.pos), b.block
@@ -142,6 +154,21 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: M
     return joined.select(*[named(c) for c in df.columns], *[c.alias(n) for n, c in out.items()])
 
 
+def _by_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Running], tie: Sequence[str]) -> DataFrame:
+    """The same with a task for a key."""
+    by = Window.partitionBy(*[named(k) for k in keys])
+    peers, rows = by.orderBy(*[sorting(n) for n in order]), by.orderBy(*[sorting(n) for n in (*order, *tie)]).rowsBetween(Window.unboundedPreceding, 0)
+
+    def value(r: Running) -> Column:
+        if r.kind in ("rank", "dense_rank"):
+            return (F.rank() if r.kind == "rank" else F.dense_rank()).over(peers).cast("bigint")
+        if r.kind in ("row_number", "count"):
+            return F.count(F.lit(1) if r.field is None else named(r.field)).over(rows)
+        return JOIN[r.kind][0](named(r.field)).over(rows)
+
+    return df.select(*[named(c) for c in df.columns], *[value(r).alias(n) for n, r in columns.items()])
+
+
 def _carried(done: DataFrame, b: Blocks, keys: Sequence[str], states: Mapping[str, str]) -> DataFrame:
     """For each block's first key, what it had at the end of the blocks before: from the last rows of blocks, by a window over a row or two a block."""
     at = F.col(b.pos) % b.size
@@ -151,7 +178,7 @@ def _carried(done: DataFrame, b: Blocks, keys: Sequence[str], states: Mapping[st
     return heads.unionByName(tails).select(b.block, *[named(k) for k in keys], "_end", *[JOIN[how][0](F.col(c)).over(w).alias(c) for c, how in states.items()]).where("_end = 0")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str, columns: Sequence[str], exact: bool = True, tolerance: Column | None = None, tie: Sequence[str] = (), size: int | None = None) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str, columns: Sequence[str], exact: bool = True, tolerance: Column | None = None, tie: Sequence[str] = (), size: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """Each left row with `columns` of the last right row of its keys that isn't later (exact=False: that is earlier), null if there is none.
 
     Both sides lie in one order, in which right rows are carried on, so there are no pairs to be made and a key may have any share of them. Of right
@@ -166,7 +193,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on:
     a = left.select(F.struct(*[named(c) for c in left.columns]).alias(given), named(left_on).alias(on), F.lit(1 if exact else 0).alias(side), *[named(k).alias(n) for k, n in zip(keys, key, strict=True)])
     b = right.where(named(right_on).isNotNull()).select(kept.alias("_right"), named(right_on).alias(on), F.lit(0 if exact else 1).alias(side), *[named(k).alias(n) for k, n in zip(keys, key, strict=True)], *[named(t).alias(n) for t, n in zip(tie, ties, strict=True)])
     both = a.unionByName(b, allowMissingColumns=True)
-    done = running(both, key, [on], {"_found": Running("last", "_right")}, [side, *ties], size).where(F.col(given).isNotNull())
+    done = running(both, key, [on], {"_found": Running("last", "_right")}, [side, *ties], size, most_rows).where(F.col(given).isNotNull())
     near = F.col(on).isNotNull()
     if tolerance is not None:
         near = near & (F.col(on) - F.col("_found.on") <= tolerance)

@@ -442,6 +442,8 @@ def _lead_sql(by: str, leads: list[int], threshold: int, name: Callable[[int], s
 
 
 HOUR = 3_600_000_000
+#: Rows of a block where a query divides keys whatever they have.
+BLOCK = 2048
 
 
 @query(_lead_sql("user_id", [0, 1, 2], 24 * 3 * HOUR))
@@ -477,7 +479,7 @@ def ngram_sparse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_lead_sql("event_type", [0, 1], HOUR))
 def ngram_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few keys with many rows each: their windows are made in blocks, in more tasks than there are keys."""
-    return _steps(NGram({0: ["event_id", "us"], 1: ["event_id"]}, HOUR, "us").windows_spread(events(spark, sf_dir), "event_type", ["event_id"]), "event_type")
+    return _steps(NGram({0: ["event_id", "us"], 1: ["event_id"]}, HOUR, "us").windows_spread(events(spark, sf_dir), "event_type", ["event_id"], size=BLOCK), "event_type")
 
 
 ORDER_PAIRS = """SELECT o_orderkey // 1000 AS rg, o_orderkey AS start_ts, lead(o_orderkey) OVER w AS end_ts, {0} FROM {1}
@@ -717,14 +719,14 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running values of few keys with many rows each."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.rint(F.col("value") * 100).cast("bigint").alias("cents"))
     run = {"total": Running("sum", "cents"), "n": Running("row_number"), "highest": Running("max", "cents")}
-    return running(rows, ["event_type"], ["ts"], run, ["event_id"]).select("event_id", "total", "n", "highest")
+    return running(rows, ["event_type"], ["ts"], run, ["event_id"], BLOCK).select("event_id", "total", "n", "highest")
 
 
 @query("SELECT event_id, rank() OVER w AS rank, dense_rank() OVER w AS dense FROM events WINDOW w AS (PARTITION BY event_type ORDER BY user_id DESC)")
 def rank_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks with many ties, of few keys with many rows each."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
-    return running(rows, ["event_type"], ["-user_id"], {"rank": Running("rank"), "dense": Running("dense_rank")}, ["event_id"]).select("event_id", "rank", "dense")
+    return running(rows, ["event_type"], ["-user_id"], {"rank": Running("rank"), "dense": Running("dense_rank")}, ["event_id"], BLOCK).select("event_id", "rank", "dense")
 
 
 SPAN = "epoch_us(ts) AS a, epoch_us(ts) + CASE WHEN event_id % 50 = 0 THEN 1728000000000 ELSE event_id % 7 * 600000000 END AS b"

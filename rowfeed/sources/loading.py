@@ -29,9 +29,8 @@ AHEAD_BYTES, THREADS = 256 << 20, 4
 
 
 def reachable(url: str) -> bool:
-    """Whether Arrow has a file system for the URL."""
-    scheme = url.partition(":")[0] if ":" in url else "file"
-    if scheme == "file":
+    """Whether Arrow has a file system for the URL, here; one with a scheme."""
+    if url.startswith("file:"):
         return True
     try:
         pafs.FileSystem.from_uri(url)

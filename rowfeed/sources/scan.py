@@ -30,6 +30,7 @@ from rowfeed.sources.decoding import batches_to_driver, decoded_rows
 from rowfeed.sources.loading import ReadPlan, reachable
 from rowfeed.sources.rowgroups import RG, GroupReader, in_groups, logical, manifest, partition_names, physical, prune, unused
 from rowfeed.sources.urls import checked
+from rowfeed.staging import qualified
 
 #: Selected groups of a key that are read by ranges; more of them are joined.
 MOST_GROUPS = 1000
@@ -182,7 +183,7 @@ class Scan:
 
     def _shard_numbers(self, spark: SparkSession) -> list[int] | None:
         """The numbers of a key's row groups in the shard, by the footers' bounds of the key; None if there are too many, or footers don't tell."""
-        if not all(reachable(u) for u in checked(self.urls)):
+        if not all(reachable(qualified(spark, u)) for u in checked(self.urls)):
             return None
         found = manifest(spark, *checked(self.urls), bounds=[self.key])
         if "bounds" not in found.columns:
@@ -222,7 +223,7 @@ class Scan:
         kinds, predicates = {f.name: f.dataType for f in schema}, self.predicate.conjuncts() if self.predicate is not None else []
         if self.predicate is not None:
             self.predicate.check(schema.names)
-        if not all(reachable(u) for u in checked(self.urls)) or self.filters and dnf_mask(self.filters, kinds) is None:
+        if not all(reachable(qualified(spark, u)) for u in checked(self.urls)) or self.filters and dnf_mask(self.filters, kinds) is None:
             return None
         groups, left, schema = self._groups(spark, predicates)
         masks = [p.mask(kinds) for p in left]

@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def qualified(spark: SparkSession, url: str) -> str:
+    """A path with the scheme of its file system, which may be the cluster's default one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 class Workspace:
     """A folder of its own for a job's tables; the driver deletes it when it ends."""
 
@@ -38,8 +44,7 @@ class Workspace:
 
     def url(self) -> str:
         """The folder with its file system's scheme, for readers and writers besides Spark's."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return qualified(self.spark, self.path)
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""

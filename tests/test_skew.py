@@ -40,9 +40,12 @@ def rows_of(df):
 
 @pytest.mark.parametrize(("keys", "order", "size"), [(["k"], ["t"], None), (["k"], ["-t"], 7), (["k", "t"], ["x"], 1), ([], ["t"], 50), (["k"], ["x", "-t"], 100_000)])
 def test_running_equals_windows(skewed, keys, order, size):
-    got = prefix.running(skewed, keys, order, ALL, ["id"], size)
+    got = prefix.running(skewed, keys, order, ALL, ["id"], size, most_rows=100)
     want = by_window(skewed, keys, order)
     assert got.columns == want.columns and rows_of(got) == rows_of(want)
+    plain = prefix.running(skewed, keys, order, ALL, ["id"])
+    assert plain.dtypes == got.dtypes and rows_of(plain) == rows_of(want)
+    assert prefix.hottest(skewed, keys) > 100 or size is not None
 
 
 def test_running_of_empty_tables(skewed):
@@ -66,7 +69,7 @@ def test_a_hot_key_is_spread(spark):
         df = spark.range(200_000).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000).alias("k"))
         sizes = spread(prefix.in_blocks(df, ["k", "id"], after=2).rows)
         assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4]
-        done = prefix.running(df, ["k"], ["id"], {"n": Running("row_number")})
+        done = prefix.running(df, ["k"], ["id"], {"n": Running("row_number")}, most_rows=50_000)
         assert done.where("k = 0").agg(F.max("n"), F.sum("n")).first()[:] == (100_000, 100_000 * 100_001 // 2)
         sizes = spread(done)
         assert sizes[-1] < 2 * sizes[len(sizes) // 2]
@@ -93,7 +96,8 @@ def test_as_of_join(spark, exact, tolerance, size):
     left = [(i, r.choice([None, 0, 0, 0, 1, 2]), r.choice([None, *range(60)])) for i in range(400)]
     right = [(i, r.choice([None, 0, 0, 0, 1, 3]), r.choice([None, *range(0, 60, 7)]), r.choice([None, "a", "b"])) for i in range(90)]
     a, b = spark.createDataFrame(left, "id bigint, k int, t bigint"), spark.createDataFrame(right, "id bigint, k int, at bigint, note string")
-    got = prefix.as_of_join(a, b, ["k"], "t", "at", ["id", "note"], exact, None if tolerance is None else F.lit(tolerance), ["id"], size)
+    got = prefix.as_of_join(a, b, ["k"], "t", "at", ["id", "note"], exact, None if tolerance is None else F.lit(tolerance), ["id"], size, most_rows=100)
+    assert rows_of(got) == rows_of(prefix.as_of_join(a, b, ["k"], "t", "at", ["id", "note"], exact, None if tolerance is None else F.lit(tolerance), ["id"]))
     assert got.columns == ["id", "k", "t", "id_right", "note"]
     assert sorted(((x.id, x.id_right, x.note) for x in got.collect())) == plain_as_of(left, right, exact, tolerance)
     assert prefix.as_of_join(a, b.limit(0), ["k"], "t", "at", ["note"], size=size).where("note is not null").count() == 0
@@ -102,7 +106,7 @@ def test_as_of_join(spark, exact, tolerance, size):
 @pytest.mark.parametrize("size", [None, 1, 9])
 def test_windows_spread_equal_windows(skewed, size):
     for spec in (NGram({0: ["id", "t"], 1: ["x"]}, 2, "t"), NGram({-1: ["id"], 3: ["id", "x"]}, 5, "t"), NGram({0: ["id"]}, 0, "t")):
-        got, want = spec.windows_spread(skewed, "k", ["id"], size), spec.windows(skewed, "k", ["id"])
+        got, want = spec.windows_spread(skewed, "k", ["id"], size, most_rows=100), spec.windows(skewed, "k", ["id"])
         names = [c for c in want.columns]
         assert got.columns == names and rows_of(got) == rows_of(want)
     with pytest.raises(NotImplementedError):
