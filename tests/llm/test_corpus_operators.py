@@ -287,6 +287,32 @@ def test_matches_leave_out_no_pair_of_texts(copies):
     assert set(zip(later.tolist(), earlier.tolist(), strict=True)) == want and len(later) == len(want)
 
 
+@pytest.mark.parametrize(("few", "most"), [(128, 4096), (2, 4096), (2, 3)])
+def test_close_classes_of_a_crowd(monkeypatch, few, most):
+    """Each occurrence and the first one of every class with at most DIFFER words that differ, but for those that a better one outdoes; the
+    same whichever way classes are compared."""
+    monkeypatch.setattr(chaining, "FEW_CLASSES", few)
+    monkeypatch.setattr(chaining, "ALL_CLASSES", most)
+    r = np.random.default_rng(5)
+    words = r.integers(0, 4, (3, 16))[r.integers(0, 3, 240)]
+    words = np.where(r.random(words.shape) < 0.12, r.integers(0, 4, words.shape), words)
+    near = (words << 2 * np.arange(16)).sum(axis=1).astype(np.uint32)
+    seed, rank = r.integers(0, 2, 240).astype(np.uint64), r.permutation(240) // 2
+    later, earlier = chaining.close_pairs(seed, rank, near)
+    first = {}
+    for i in np.argsort(rank, kind="stable").tolist():
+        first.setdefault((seed[i], near[i]), i)
+    unlike = lambda i, j: frozenset(np.flatnonzero(words[i] != words[j]).tolist())
+    want = set()
+    for i in range(240):
+        near_by = [(rank[j], unlike(i, j)) for (s, _), j in first.items() if s == seed[i] and rank[j] < rank[i] and len(unlike(i, j)) <= chaining.DIFFER]
+        want |= {(i, d) for k, d in near_by if d and not any(e < d and m < k for m, e in near_by)}
+    got = {(i, unlike(i, j)) for i, j in zip(later.tolist(), earlier.tolist(), strict=True)}
+    assert got == want and len(got) > 200
+    least = {x: min(rank[j] for (s, _), j in first.items() if s == seed[x[0]] and rank[j] < rank[x[0]] and unlike(x[0], j) == x[1]) for x in got}
+    assert all(rank[j] == least[i, unlike(i, j)] for i, j in zip(later.tolist(), earlier.tolist(), strict=True))
+
+
 def test_repeated_ids_are_documents_of_their_own(spark):
     r = random.Random(3)
     a, b = prose(r, 120), " ".join(fill(r, 150))
