@@ -75,9 +75,9 @@ BITS, MOST_BITMAPS = 32_768, 64
 
 
 def _in_bitmaps(rg: Column) -> tuple[Column, Column]:
-    """The bitmap that a row group is in, and its place there. The functions count from 1."""
-    number = rg.cast("bigint") + 1
-    return F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number)
+    """The bitmap that a row group is in, and its place there, as Spark's bitmap functions have them, which count from 1; they mirror the places of negative numbers."""
+    number = rg.cast("bigint")
+    return (F.shiftright(number, 15) + 1).alias("bucket"), number.bitwiseAND(BITS - 1)
 
 
 def bitmaps(entries: DataFrame) -> DataFrame:
