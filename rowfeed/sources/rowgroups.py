@@ -28,6 +28,8 @@ from rowfeed.staging import Workspace
 
 RG = "rg"
 MOST_TASKS = 20_000
+#: Ranges of a key in one filter. Spark walks a filter by recursion, and some hundreds of ranges overflow its stack.
+MOST_RANGES = 64
 
 
 def logical(df: DataFrame, key: str, size: int) -> DataFrame:
@@ -36,19 +38,31 @@ def logical(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def in_groups(df: DataFrame, key: str, size: int, numbers: Sequence[int]) -> DataFrame:
-    """`logical`, of the groups with these numbers only: ranges of the key, which the reader of Parquet gets as filters."""
+    """`logical`, of the groups with these numbers only: ranges of the key, which the reader of Parquet gets as filters.
+
+    Beyond MOST_RANGES runs of numbers those with the least between them become one range, and the number then tells which rows stay.
+    """
     runs: list[list[int]] = []
     for n in sorted(set(numbers)):
         if runs and n == runs[-1][1] + 1:
             runs[-1][1] = n
         else:
             runs.append([n, n])
+    wide = joined_runs(runs, MOST_RANGES)
     c, keep = F.col(f"`{key}`"), F.lit(False)
-    for first, last in runs:  # `div` cuts towards zero
+    for first, last in wide:  # `div` cuts towards zero
         low = first * size if first > 0 else (first - 1) * size + 1
         high = (last + 1) * size - 1 if last >= 0 else last * size
         keep = keep | ((c >= low) & (c <= high))
-    return logical(df.where(keep), key, size)
+    rows = logical(df.where(keep), key, size)
+    return rows if len(wide) == len(runs) else rows.where(F.col(RG).isin(*sorted(set(numbers))))
+
+
+def joined_runs(runs: Sequence[Sequence[int]], most: int) -> list[list[int]]:
+    """At most `most` runs, made of sorted ones across the narrowest gaps."""
+    gaps = sorted(range(1, len(runs)), key=lambda i: (runs[i - 1][1] - runs[i][0], i))[: most - 1]  # the widest stay
+    cuts = [0, *sorted(gaps), len(runs)]
+    return [[runs[a][0], runs[b - 1][1]] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
 def by_count(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:

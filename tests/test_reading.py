@@ -99,6 +99,22 @@ def test_selected_groups_of_a_key_are_ranges(spark, tmp_path):
     assert "GreaterThanOrEqual(id,-39)" in df._jdf.queryExecution().toString()
 
 
+def test_many_selected_groups_of_a_key(spark, tmp_path):
+    """Hundreds of ranges in one filter overflowed the stack of the planner."""
+    path = f"file://{tmp_path}/d"
+    spark.range(-9000, 9000).write.parquet(path)
+    found = build_indexes(rowgroups.logical(spark.read.parquet(path), "id", 10), [ValueIndex("id", "id")])
+    scan = Scan(path, key="id", group_size=10)
+    for n in (2, 5):
+        got = [sorted(r.id for r in scan.where(shard_index=k, shard_count=n).frame(spark).collect()) for k in range(n)]
+        assert got == [[i for i in range(-9000, 9000) if int(i / 10) % n == k] for k in range(n)]
+    picked = [-8990, -3000, 5, *range(4000, 9000, 20)]
+    df = scan.where(selector=Single("id", picked), indexes=found).frame(spark)
+    assert sorted(r.id for r in df.collect()) == [i for i in range(-9000, 9000) if int(i / 10) in {int(p / 10) for p in picked}]
+    assert rowgroups.joined_runs([[0, 1], [3, 3], [9, 9], [11, 12]], 2) == [[0, 3], [9, 12]]
+    assert rowgroups.joined_runs([], 2) == []
+
+
 def drop_model(rows, parts, part, length, keep):
     """A part's rows and the next length - 1, then those to keep."""
     n = len(rows)
