@@ -23,7 +23,7 @@ from rowfeed.operators.prefix import Running, as_of_join, running
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field, Schema
 from rowfeed.sinks.converter import convert
-from rowfeed.sinks.writer import attach, copy, load_indexes, store_indexes, stored_schema
+from rowfeed.sinks.writer import attach, copy, load_indexes, store_indexes, stored_schema, write_groups
 from rowfeed.sources import rowgroups
 from rowfeed.sources.scan import Scan
 from rowfeed.staging import Workspace
@@ -309,10 +309,18 @@ def shard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+#: Folders of a partitioned copy, however many groups of ids there are.
+PARTITIONS = 16
+
+
 @query("SELECT event_id, value FROM events WHERE event_id // 250 IN (1, 3, 8)")
 def shard_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A predicate on the partition column with shards: files of other partitions aren't opened."""
-    scan, out = Scan(_grouped(spark, sf_dir, 250), ["event_id", "value"], predicate=InSet([1, 3, 8], "rg"), shard_index=0, shard_count=3), None
+    """A predicate on the partition column with shards: files of other partitions aren't opened, and of theirs only row groups whose bounds may match."""
+    path, wanted = f"{Workspace(spark).path}/parts", [1, 3, 8]
+    rows = table(spark, sf_dir, "events").withColumn("g", F.expr("event_id div 250"))
+    write_groups(rows.withColumns({"rg": F.col("g"), "part": F.pmod("g", F.lit(PARTITIONS))}), path, "rg", ["event_id"], "part")
+    keep = Reduce([InSet(wanted, "g"), InSet([g % PARTITIONS for g in wanted], "part")], all)
+    scan, out = Scan(path, ["event_id", "value"], predicate=keep, shard_index=0, shard_count=3), None
     for i in range(3):
         part = scan.where(shard_index=i).frame(spark)
         out = part if out is None else out.union(part)

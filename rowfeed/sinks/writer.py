@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from typing import Any
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowfeed.functions.predicates import not_null
 from rowfeed.operators.index import IndexSpec, build_indexes, compact, stats
 from rowfeed.schema import Schema, match_names
-from rowfeed.sources.rowgroups import manifest, physical
+from rowfeed.session import share_code
+from rowfeed.sources.rowgroups import created, manifest, moved, physical
+from rowfeed.staging import qualified
 
 #: Names that Spark's readers pass over.
 SIDE, INDEXES = "_rowfeed", "_rowfeed_index"
+#: Row groups of a file: a reader parses a footer of all of them, whichever it reads.
+GROUPS_A_FILE = 256
 
 
 def write(df: DataFrame, path: str, schema: Schema | None = None, row_group_mb: float | None = None, codec: str | None = None, partition_by: Sequence[str] = (), files: int | None = None, mode: str = "error", checked: bool = True) -> DataFrame:
@@ -38,6 +47,77 @@ def write(df: DataFrame, path: str, schema: Schema | None = None, row_group_mb:
     return back
 
 
+def write_groups(df: DataFrame, path: str, by: str, order: Sequence[str] = (), partition_by: str | None = None) -> DataFrame:
+    """Write with a row group of its own for each value of `by`, its rows in `order`, and return the data read back. `by` and `partition_by` aren't in the files.
+
+    Row groups lie in files, and files by name, in the order of `by`; with `partition_by` they do so in each folder. A file has up to GROUPS_A_FILE row groups, so there
+    are as many files as row groups over that number, and one more for each task and folder. A row group is held in a task's memory. A task writes under a name that readers
+    pass over and renames the whole file, so an attempt that is made again replaces its files.
+    """
+    home = qualified(df.sparkSession, path)
+    keys = [*([partition_by] if partition_by is not None else []), by]
+    inside = [c for c in df.columns if c not in keys]
+    laid = df.repartitionByRange(*[F.col(f"`{k}`") for k in keys]).sortWithinPartitions(*[F.col(f"`{k}`") for k in (*keys, *order)])
+    laid = laid.select(*[F.col(f"`{c}`") for c in inside], *[F.col(f"`{k}`").cast("string").alias(f"_key{i}") for i, k in enumerate(keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, files, rows = TaskContext.get().partitionId(), 0, 0
+        for folder, groups in _files(_groups(batches, len(inside))):
+            place = f"{home}/{folder}part-{part:05d}-{files:05d}.parquet"
+            hidden = f"{home}/{folder}_{uuid.uuid4().hex}"
+            with created(hidden) as f:
+                writer = None
+                for table in groups:
+                    writer = writer or pq.ParquetWriter(f, table.schema)
+                    writer.write_table(table, row_group_size=len(table))
+                    rows += len(table)
+                writer.close()
+            moved(hidden, place)
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64()), pa.array([rows], pa.int64())], names=["files", "rows"])
+
+    def _groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[str, pa.Table]]:
+        """(folder, the rows of a value of `by`)"""
+        now, held = None, []
+        for batch in batches:
+            keys_of = list(zip(*(batch.column(i).to_pylist() for i in range(n, batch.num_columns)), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys_of)) if keys_of[k] != keys_of[k - 1]), len(keys_of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and keys_of[a] != now:
+                    yield folder_of(now), pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                now = keys_of[a]
+                held.append(batch.slice(a, b - a).select(range(n)))
+        if held:
+            yield folder_of(now), pa.Table.from_batches(held).combine_chunks()
+
+    def folder_of(key: tuple) -> str:
+        return f"{partition_by}={quote(key[0], safe='') if key[0] is not None else '__HIVE_DEFAULT_PARTITION__'}/" if partition_by is not None else ""
+
+    share_code(df.sparkSession)
+    if not laid.mapInArrow(run, "files bigint, rows bigint").agg(F.sum("rows")).first()[0]:
+        laid.select(*[F.col(f"`{c}`") for c in inside]).write.mode("append").parquet(path)  # a file that has the schema
+    return df.sparkSession.read.parquet(path)
+
+
+def _files(groups: Iterator[tuple[str, pa.Table]]) -> Iterator[tuple[str, Iterator[pa.Table]]]:
+    """(folder, tables of up to GROUPS_A_FILE row groups of it), which have to be taken in turn."""
+    ahead = next(groups, None)
+
+    def of_file(folder: str) -> Iterator[pa.Table]:
+        nonlocal ahead
+        for _ in range(GROUPS_A_FILE):
+            if ahead is None or ahead[0] != folder:
+                return
+            yield ahead[1]
+            ahead = next(groups, None)
+
+    while ahead is not None:
+        yield ahead[0], of_file(ahead[0])
+
+
 def write_rows(spark: SparkSession, path: str, schema: Schema, rows: Iterable[Mapping[str, Any]], **options: Any) -> DataFrame:
     """Validate, encode and write rows from the driver."""
     return write(schema.frame(spark, rows), path, schema, **options)

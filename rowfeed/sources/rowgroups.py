@@ -27,7 +27,8 @@ from rowfeed.session import share_code
 from rowfeed.staging import Workspace
 
 RG = "rg"
-MOST_TASKS = 20_000
+#: Most tasks of a read; bytes (before compression) of row groups that one task reads, if that makes LEAST_TASKS for each core; footers that it keeps.
+MOST_TASKS, TASK_BYTES, LEAST_TASKS, FOOTERS = 20_000, 32 << 20, 4, 16
 #: Ranges of a key in one filter. Spark walks a filter by recursion, and some hundreds of ranges overflow its stack.
 MOST_RANGES = 64
 
@@ -223,6 +224,17 @@ def created(path: str) -> pa.NativeFile:
     return files.open_output_stream(place)
 
 
+def moved(source: str, target: str) -> None:
+    """Rename a file; one of that name goes."""
+    if source.startswith("file:"):
+        os.replace("/" + source[5:].lstrip("/"), "/" + target[5:].lstrip("/"))
+        return
+    files, place = pafs.FileSystem.from_uri(target)
+    if files.get_file_info(place).type != pafs.FileType.NotFound:
+        files.delete_file(place)
+    files.move(pafs.FileSystem.from_uri(source)[1], place)
+
+
 @dataclass(frozen=True)
 class GroupReader:
     """How a row group is read: the columns, those of them that partitions give, and which rows are kept, by which columns."""
@@ -241,10 +253,15 @@ class GroupReader:
         types = to_arrow_schema(T.StructType([T.StructField(n, schema[n].dataType) for n in [*names, *(n for n in first if n not in names)]]))
         return cls(names, parts, types, first, keep, shuffle)
 
-    def read(self, rg: int, path: str, group: int, values: Mapping[str, pa.Array]) -> tuple[pa.Table | None, np.ndarray, int]:
-        """The kept rows (None if no column is wanted), their places in the group, and the group's size. values: the partitions', an array of one each."""
+    def read(self, rg: int, path: str, group: int, values: Mapping[str, pa.Array], footers: dict[str, pq.FileMetaData] | None = None) -> tuple[pa.Table | None, np.ndarray, int]:
+        """The kept rows (None if no column is wanted), their places in the group, and the group's size. values: the partitions', an array of one each. footers: those of
+        the last files, kept from one call to the next."""
         with opened(path) as f:
-            file = pq.ParquetFile(f)
+            file = pq.ParquetFile(f, metadata=footers.get(path) if footers is not None else None)
+            if footers is not None and path not in footers:
+                if len(footers) >= FOOTERS:
+                    del footers[next(iter(footers))]
+                footers[path] = file.metadata
             n, inside = file.metadata.row_group(group).num_rows, set(file.schema_arrow.names)
 
             def columns(which: Sequence[str]) -> dict[str, Any]:
@@ -283,18 +300,20 @@ def physical(spark: SparkSession, *paths: str, columns: Sequence[str] | None = N
     fields = [T.StructField(RG, T.LongType()), *(T.StructField(n, T.LongType()) for n in place or ()), *(schema[n] for n in reader.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        footers: dict[str, pq.FileMetaData] = {}
         for batch in batches:
             values = {n: batch.column(3).field(n) for n in reader.parts}
             for k, (rg, path, group) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-                table, at, n = reader.read(rg, path, group, {c: v.slice(k, 1) for c, v in values.items()})
+                table, at, n = reader.read(rg, path, group, {c: v.slice(k, 1) for c, v in values.items()}, footers)
                 if len(at):
                     lead = [pa.array(np.full(len(at), rg)), *([pa.array(at), pa.array(np.full(len(at), n))] if place else [])]
                     yield from pa.table([*lead, *(table.columns if table is not None else [])], names=[f.name for f in fields]).to_batches(max_chunksize=10_000)
 
-    # A task has one row group, or a few of very many.
-    tasks = max(1, min(chosen.count(), MOST_TASKS))
+    # A task has one row group, or neighbours up to TASK_BYTES, of the same files where they can be.
+    all_of = chosen.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(1, min(all_of.n, MOST_TASKS, max(LEAST_TASKS * spark.sparkContext.defaultParallelism, -(-(all_of.bytes or 0) // TASK_BYTES))))
     given = chosen.select(RG, "path", "group", "parts", *([F.md5(F.concat(F.lit(f"{order}:"), F.col(RG).cast("string")).cast("binary")).alias("_order")] if order is not None else []))
-    laid = given.repartition(tasks) if order is None else given.repartitionByRange(tasks, "_order", RG).sortWithinPartitions("_order", RG).drop("_order")
+    laid = given.repartitionByRange(tasks, RG).sortWithinPartitions(RG) if order is None else given.repartitionByRange(tasks, "_order", RG).sortWithinPartitions("_order", RG).drop("_order")
     return laid.mapInArrow(run, T.StructType(fields))
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from rowfeed import Field, Scan, Schema, read_batches, read_rows
 from rowfeed.functions.codecs import Image, PackedTensor, Tensor, png_array, png_bytes
-from rowfeed.functions.predicates import InLambda, InSet
+from rowfeed.functions.predicates import InLambda, InSet, Reduce
 from rowfeed.operators import batching, sampling
 from rowfeed.operators.index import Single, ValueIndex, build_indexes
 from rowfeed.operators.ngram import NGram
 from rowfeed.operators.transform import Transform
 from rowfeed.schema import DecodeError
 from rowfeed.sinks.converter import Converter
-from rowfeed.sinks.writer import write_rows
+from rowfeed.sinks.writer import write_groups, write_rows
 from rowfeed.sources import rowgroups
 
 
@@ -115,6 +115,32 @@ def test_many_selected_groups_of_a_key(spark, tmp_path):
     assert rowgroups.joined_runs([], 2) == []
 
 
+def test_row_groups_of_values(spark, tmp_path, monkeypatch):
+    """Many row groups lie in few files and are read by few tasks, whatever their number."""
+    rows = spark.range(6000).selectExpr("id", "id div 10 AS g", "id % 3 AS v", "if(id % 20 = 3, null, id) AS x")
+    back = write_groups(rows, f"file://{tmp_path}/a", "g", ["id"])
+    files = sorted(tmp_path.glob("a/*.parquet"))
+    assert back.columns == ["id", "v", "x"] and len(files) <= 3 + 4
+    found = [g for f in files for g in (pq.ParquetFile(f).read_row_group(k)["id"].to_pylist() for k in range(pq.read_metadata(f).num_row_groups))]
+    assert found == [list(range(k, k + 10)) for k in range(0, 6000, 10)]
+    read = rowgroups.physical(spark, f"file://{tmp_path}/a")
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.rg, r.id, r.v, r.x) for r in read.collect()) == [(i // 10, i, i % 3, None if i % 20 == 3 else i) for i in range(6000)]
+    ordered = rowgroups.physical(spark, f"file://{tmp_path}/a", order="1:0")
+    assert sorted(r.id for r in ordered.collect()) == list(range(6000))
+
+    write_groups(rows.withColumns({"p": F.when(F.col("g") % 7 < 6, F.concat(F.lit("a/b "), F.col("g") % 7)), "by": F.col("g")}), f"file://{tmp_path}/b", "by", ["id"], "p")
+    assert len(list(tmp_path.glob("b/*"))) == 7 and len(list(tmp_path.glob("b/*/*.parquet"))) <= 7 + 4
+    scan = Scan(f"file://{tmp_path}/b", ["id"], predicate=Reduce([InSet(["a/b 3"], "p"), InSet([3, 10, 17], "g")], all), shard_index=0, shard_count=1)
+    opened = []
+    real = rowgroups.physical
+    monkeypatch.setattr("rowfeed.sources.scan.physical", lambda *a, **k: opened.append(k["groups"].count()) or real(*a, **k))
+    assert sorted(r.id for r in scan.frame(spark).collect()) == [*range(30, 40), *range(100, 110), *range(170, 180)]
+    assert opened == [3]
+    assert spark.read.parquet(f"file://{tmp_path}/b").where("p IS NULL").count() == sum(1 for g in range(600) if g % 7 == 6) * 10
+    assert write_groups(rows.limit(0), f"file://{tmp_path}/c", "g").count() == 0
+
+
 def drop_model(rows, parts, part, length, keep):
     """A part's rows and the next length - 1, then those to keep."""
     n = len(rows)
