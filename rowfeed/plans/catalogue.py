@@ -93,18 +93,18 @@ def sql_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT count(l_orderkey) AS n FROM parquet.`{sf_dir}/lineitem.parquet`")
 
 
-def _grouped(spark: SparkSession, sf_dir: str, size: int = 1000, name: str = "rg") -> str:
-    """A copy of `events` in one file for each run of ids, in order; its folder."""
+def _grouped(spark: SparkSession, sf_dir: str, size: int = 1000) -> str:
+    """A copy of `events` with a row group for each run of ids, many in a file, in the order that folders of their numbers would have; its folder."""
     path = f"{Workspace(spark).path}/events"
     rows = rowgroups.logical(table(spark, sf_dir, "events"), "event_id", size)
-    rows.repartitionByRange(16, "rg").sortWithinPartitions("event_id").withColumnRenamed("rg", name).write.partitionBy(name).parquet(path)
+    write_groups(rows.withColumn("rg", F.concat(F.lit("rg="), F.col("rg").cast("string"), F.lit("/"))), path, "rg", ["event_id"])
     return path
 
 
 @query(f"SELECT rg, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n_rows FROM {EVENTS} GROUP BY rg")
 def rowgroup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files' row groups by their manifest, put together by the partition they are in."""
-    found = rowgroups.manifest(spark, _grouped(spark, sf_dir)).select(F.regexp_extract("path", "/rg=([0-9]+)/", 1).cast("bigint").alias("rg"), (F.col("high") - F.col("low")).alias("n"))
+    """Files' row groups by their manifest, put together by the bounds that footers have."""
+    found = rowgroups.manifest(spark, _grouped(spark, sf_dir), bounds=["event_id"]).select(F.expr("bounds.event_id.low div 1000").alias("rg"), (F.col("high") - F.col("low")).alias("n"))
     firsts = rowgroups.summary(events(spark, sf_dir), "event_id").select("rg", "first_id", "last_id")
     return found.groupBy("rg").agg(F.sum("n").alias("n_rows")).join(firsts, "rg").select("rg", "first_id", "last_id", "n_rows")
 
@@ -602,7 +602,7 @@ BY_PATH = "(SELECT g, row_number() OVER (ORDER BY 'g=' || g || '/') - 1 AS rg FR
 @query(f"SELECT event_type AS value, string_agg(DISTINCT rg::VARCHAR, ',' ORDER BY rg::VARCHAR) AS rgs FROM events JOIN {BY_PATH} ON event_id // 1000 = g GROUP BY event_type")
 def index_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index over the files' row groups that was stored beside them and read again."""
-    path = _grouped(spark, sf_dir, name="g")
+    path = _grouped(spark, sf_dir)
     store_indexes(spark, path, [index.ValueIndex("by_type", "event_type")])
     found = load_indexes(spark, path)["by_type"]
     return found.groupBy("value").agg(F.array_join(F.array_sort(F.collect_set(F.col("rg").cast("string"))), ",").alias("rgs"))
