@@ -141,6 +141,14 @@ def test_row_groups_of_values(spark, tmp_path, monkeypatch):
     assert write_groups(rows.limit(0), f"file://{tmp_path}/c", "g").count() == 0
 
 
+def test_windows_of_many_row_groups(spark, tmp_path):
+    """Tasks that read many row groups each make windows of each one's rows only."""
+    pq.write_table(pa.table({"id": list(range(5000))}), tmp_path / "a.parquet", row_group_size=10)
+    df = Scan(f"file://{tmp_path}", ngram=NGram({0: ["id"], 2: ["id"]}, 2, "id")).frame(spark)
+    assert df.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.rg, r.t_0.id, r.t_2.id) for r in df.collect()) == [(i // 10, i, i + 2) for i in range(5000) if i % 10 < 8]
+
+
 def drop_model(rows, parts, part, length, keep):
     """A part's rows and the next length - 1, then those to keep."""
     n = len(rows)
