@@ -29,6 +29,8 @@ from rowfeed.staging import Workspace
 RG = "rg"
 #: Most tasks of a read; bytes (before compression) of row groups that one task reads, if that makes LEAST_TASKS for each core; footers that it keeps.
 MOST_TASKS, TASK_BYTES, LEAST_TASKS, FOOTERS = 20_000, 32 << 20, 4, 16
+#: Rows of a partition for windows over row groups of a key.
+GROUP_ROWS = 250_000
 #: Ranges of a key in one filter. Spark walks a filter by recursion, and some hundreds of ranges overflow its stack.
 MOST_RANGES = 64
 
@@ -66,6 +68,15 @@ def joined_runs(runs: Sequence[Sequence[int]], most: int) -> list[list[int]]:
     return [[runs[a][0], runs[b - 1][1]] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
+def together(df: DataFrame, rows: int) -> DataFrame:
+    """The frame with each row group in one partition, of about GROUP_ROWS rows if there are `rows` in all.
+
+    Adaptive plans join partitions by their compressed bytes, of which runs of a key may have less than one a row: a task of windows over them would then
+    get all rows, however many.
+    """
+    return df.repartition(max(1, min(MOST_TASKS, -(-rows // GROUP_ROWS))), RG)
+
+
 def by_count(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """`rg` from the position in an order."""
     return numbered(df, order).withColumn(RG, F.expr(f"_pos div {int(size)}")).drop("_pos")

@@ -28,7 +28,7 @@ from rowfeed.operators.transform import Transform
 from rowfeed.schema import Field, Schema, match_names
 from rowfeed.sources.decoding import batches_to_driver, decoded_rows
 from rowfeed.sources.loading import ReadPlan, reachable
-from rowfeed.sources.rowgroups import RG, GroupReader, in_groups, logical, manifest, partition_names, physical, prune, unused
+from rowfeed.sources.rowgroups import RG, GroupReader, in_groups, logical, manifest, partition_names, physical, prune, together, unused
 from rowfeed.sources.urls import checked
 from rowfeed.staging import qualified
 
@@ -160,6 +160,8 @@ class Scan:
                 df = self.selector.rows(df, self.indexes) if self.selector is not None else df
             if self.shard_count is not None:
                 df = shard(df, self.shard_index, self.shard_count)
+            if self.drop_parts > 1 or self.ngram is not None:  # windows by row group: their columns are cut to what is used before rows move
+                df = together(df.select(*[f"`{c}`" for c in columns if c in {*used, self.key}], *([RG] if RG not in columns else [])), spark.read.parquet(*urls).count())
             if self.drop_parts == 1:
                 return df, self.key, None, left
             at, size = unused(columns, "_at", "_size")

@@ -149,6 +149,19 @@ def test_windows_of_many_row_groups(spark, tmp_path):
     assert sorted((r.rg, r.t_0.id, r.t_2.id) for r in df.collect()) == [(i // 10, i, i + 2) for i in range(5000) if i % 10 < 8]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_windows_of_a_key_are_spread_by_rows(spark, tmp_path, monkeypatch, parts):
+    """Runs of a key pack so well that partitions joined by their bytes would put all rows in one task."""
+    monkeypatch.setattr(rowgroups, "GROUP_ROWS", 5000, raising=False)
+    spark.range(100_000).withColumn("rest", F.lit("x")).write.parquet(f"file://{tmp_path}/d")
+    scan = Scan(f"file://{tmp_path}/d", ["id"], key="id", group_size=100, drop_parts=parts, drop_part=0 if parts > 1 else None, ngram=NGram({0: ["id"], 1: ["id"]}, 1, "id"))
+    df = scan.frame(spark).select("rg", F.col("t_0.id").alias("a"), F.col("t_1.id").alias("b"), F.spark_partition_id().alias("at"))
+    sizes = [r["count"] for r in df.groupBy("at").count().collect()]
+    rows = 34 if parts > 1 else 99
+    assert sum(sizes) == 1000 * rows and max(sizes) < 10_000
+    assert sorted((r.rg, r.a, r.b) for r in df.where("rg < 20").collect()) == [(g, 100 * g + i, 100 * g + i + 1) for g in range(20) for i in range(rows)]
+
+
 def drop_model(rows, parts, part, length, keep):
     """A part's rows and the next length - 1, then those to keep."""
     n = len(rows)
