@@ -67,27 +67,29 @@ class _Pairs(StatefulProcessor):
         if taken:
             self.open.appendList(taken)
             self._wake(min(t for t, _ in taken), timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(columns=["key", "first", "second", "gap_ms"])
+        return iter(())  # a frame for each key, even an empty one, costs more than the rows
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
         rows = sorted(tuple(r) for r in self.open.get())
         done, wait = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
-        last, out = self.last.get() if self.last.exists() else None, []
+        known = self.last.get()
+        last, out = known, []
         for at, item in done:
             if last is not None and at - last[0] <= self.threshold:
                 out.append((key[0], last[1], item, at - last[0]))
             last = (at, item)
-        self.open.clear()
         if wait:
             self.open.put(wait)
             self._wake(wait[0][0], now)
+        else:
+            self.open.clear()
         if last is not None and last[0] + self.threshold >= now:
             self.last.update(tuple(last))
             self._wake(last[0] + self.threshold, now)
-        else:  # no row to come can be near enough
+        elif known is not None:  # no row to come can be near enough
             self.last.clear()
-        yield pd.DataFrame(out, columns=["key", "first", "second", "gap_ms"])
+        return iter([pd.DataFrame(out, columns=["key", "first", "second", "gap_ms"])] if out else [])
 
     def _wake(self, at: int, now: int) -> None:
         """A timer for when the watermark has passed a time."""

@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,40 @@ def test_windows_and_unique(spark, tmp_path):
         got = s.run_available(df, f"file://{tmp_path}/{name}", f"file://{tmp_path}/c{name}")
         assert {r.id: r.n for r in got.collect()} == {1: 2, 2: 1}
     assert s.sliding(s.stream(spark, source), "ts", "2 minutes", "1 minute", "1 minute", ["id"], "v").isStreaming
+
+
+def test_pairs_make_frames_for_pairs_only():
+    """A frame for each key and batch took a fifth of the time where keys have few rows."""
+
+    class State:
+        def __init__(self):
+            self.kept = None
+
+        def get(self):
+            return self.kept
+
+        def exists(self):
+            return self.kept is not None
+
+        def put(self, rows):
+            self.kept = rows
+
+        update = put
+
+        def appendList(self, rows):  # noqa: N802
+            self.kept = [*(self.kept or []), *rows]
+
+        def clear(self):
+            self.kept = None
+
+    made = s._Pairs(10, "bigint")
+    timers = []
+    made.open, made.last, made.handle = State(), State(), SimpleNamespace(registerTimer=timers.append)
+    at = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    assert list(made.handleInputRows((7,), iter([pd.DataFrame({"ms": [30, 5], "item": [3, 1]})]), at(0))) == [] and timers == [6]
+    assert list(made.handleExpiredTimer((7,), at(8), None)) == []
+    assert made.open.get() == [(30, 3)] and made.last.get() == (5, 1) and timers[1:] == [31, 16]
+    assert list(made.handleInputRows((7,), iter([pd.DataFrame({"ms": [12], "item": [2]})]), at(8))) == []
+    [frame] = made.handleExpiredTimer((7,), at(20), None)
+    assert frame.values.tolist() == [[7, 1, 2, 7]] and made.open.get() == [(30, 3)] and made.last.get() == (12, 2)
+    assert list(made.handleExpiredTimer((7,), at(100), None)) == [] and made.open.get() is None and made.last.get() is None
