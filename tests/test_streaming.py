@@ -100,7 +100,7 @@ def test_windows_and_unique(spark, tmp_path):
 
 
 def test_pairs_make_frames_for_pairs_only():
-    """A frame for each key and batch took a fifth of the time where keys have few rows."""
+    """Keys without a pair give no frame, not an empty one."""
 
     class State:
         def __init__(self):
