@@ -287,6 +287,64 @@ def test_matches_leave_out_no_pair_of_texts(copies):
     assert set(zip(later.tolist(), earlier.tolist(), strict=True)) == want and len(later) == len(want)
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_all_of_a_crowd_by_blocks(spark, block):
+    """With exact, crowded seeds are matched like others: every two occurrences of different documents, of equal contexts the first document's."""
+    r = np.random.default_rng(8)
+    rows = [(None, None, k, int(i), 16 * (i % 3) << 16, int(r.integers(0, 12)), i) for k, n in ((5, 3 * chaining.CROWD), (-6, 90), (7, chaining.CROWD)) for i in range(n)]
+    sown = [(100 + d, d, None, None, p, k, c | i << 2 * chaining.HALF) for _, _, k, i, p, c, _ in rows for d in [int(r.integers(0, 40))]]
+    sown += [(1, 1, None, 60, 0, 5, 0), (1, None, 2, 7, 9, 5, 0)]  # a unit's and a match, which only pass by
+    blocks = chaining.crowd_blocks(spark.createDataFrame(sown, chaining.SEED_ROWS), 3, block).repartition(3, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    got = []
+    for m in chaining.map_stream(blocks, chaining._crossed, chaining.MATCH_ROWS).toArrow().to_batches():
+        pos, pos2 = chaining._places(m.column(2))
+        got += zip(m.column(0).to_pylist(), pos.tolist(), m.column(1).to_pylist(), pos2.tolist(), strict=True)
+    seen = [(k, d, p + (c >> 48), c & (1 << 48) - 1) for _, d, row2, size, p, k, c in sown if row2 is None and size is None and k != 7]
+    first = {}
+    for k, d, _, c in seen:
+        first[k, c] = min(d, first.get((k, c), d))
+    want = [(100 + d, p, 100 + d2, p2) for k, d, p, _ in seen for k2, d2, p2, c2 in seen if k == k2 and d2 < d and d2 == first[k, c2]]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+
+
+def test_a_crowd_loses_no_link_if_exact(spark):
+    """Passages changed at random, too far from what other documents of the crowd have for a match that stands for another: what a join of all pairs finds is found."""
+    r = random.Random(12)
+    shared = [prose(r, 72).split() for _ in range(3)]
+    rows = []
+    for k in range(3 * 80):
+        text = [w if r.random() > 0.1 else fill(r, 1)[0] for w in shared[k % 3]]
+        rows.append((k, " ".join(fill(r, 20) + text + fill(r, 20))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found, known = covered(chaining.repeated_passages(docs, exact=True)), covered(chaining.repeated_passages(docs))
+    hashes, plain = [chaining.word_hashes(t) for _, t in rows], {}
+    (seed, doc, pos, _), _ = chaining.seeds(hashes)
+    pairs = {}
+    for s in np.unique(seed):
+        at = np.flatnonzero(seed == s)
+        for i in at:
+            for j in at[doc[at] < doc[i]]:
+                pairs.setdefault((int(doc[i]), int(doc[j])), []).append((int(pos[i]), int(pos[j])))
+    for (b, a), anchors in pairs.items():
+        x, y = (np.array(v) for v in zip(*anchors, strict=True))
+        for c in chaining.chains(np.zeros(len(x), int), x, y):
+            plain.setdefault(b, []).extend(chaining.align(hashes[b], hashes[a], x[c], y[c]))
+    want = {}
+    for b, parts in plain.items():
+        now = None
+        for s, e in [*sorted(parts), (1 << 30, 1 << 30)]:
+            if now and s <= now[1]:
+                now[1] = max(e, now[1])
+                continue
+            if now and now[1] - now[0] >= chaining.MIN_WORDS:
+                want.setdefault(b, set()).update(range(*now))
+            now = [s, e]
+    size = lambda x: sum(map(len, x.values()))
+    lost = sum(len(w - found.get(k, set())) for k, w in want.items())
+    print("words", size(want), "lost if exact", lost, "lost", sum(len(w - known.get(k, set())) for k, w in want.items()))
+    assert not lost and size(want) > 2000
+
+
 @pytest.mark.parametrize(("few", "most"), [(128, 4096), (2, 4096), (2, 3)])
 def test_close_classes_of_a_crowd(monkeypatch, few, most):
     """Each occurrence and the first one of every class with at most DIFFER words that differ, but for those that a better one outdoes; the
