@@ -124,6 +124,27 @@ def test_chains_are_best(anchors):
         assert score(found[0].tolist()) == pytest.approx(max(best.values()))
 
 
+def test_repeated_units_found_by_samples():
+    """As by comparing every word with the p-th after it."""
+    r, found = np.random.default_rng(4), 0
+    for _ in range(150):
+        parts = [np.resize(r.integers(1, 30, int(r.integers(1, 27))), int(r.integers(20, 300))) if r.random() < 0.6 else r.integers(0, 9, int(r.integers(1, 60))) for _ in range(int(r.integers(1, 6)))]
+        words, want, reach = np.concatenate([np.zeros(1, int), *parts]).astype(np.uint16), [], {}
+        for p in range(1, min(chaining.PERIOD, len(words) - 1) + 1):
+            equal = [*((words[:-p] == words[p:]) & (words[:-p] > 0)).tolist(), False]
+            low = 0
+            for i, e in enumerate(equal):
+                if not e:
+                    if i + p - low >= chaining.MIN_WORDS and reach.get(low, 0) < i + p:
+                        want.append((low, i + p))
+                        reach |= dict.fromkeys(range(low, i + p), i + p)
+                    low = i + 1
+        got = chaining.periodic(words)
+        assert [g[:2] for g in got] == sorted(want)
+        found += len(got)
+    assert found > 100
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12))
 def test_alignment_has_least_edit_distance(x, y):
