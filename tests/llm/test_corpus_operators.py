@@ -1,5 +1,6 @@
 """Packing, substring dedup, id files, near-duplicates, and the pipeline, against plain versions."""
 
+import cProfile
 import random
 import zlib
 
@@ -162,6 +163,122 @@ def _row(d, i, a, y):
     return out
 
 
+def plain_edits(x, y):
+    """Which words of x an alignment of least edit distance matches: what both begin and end with, and the last such alignment between."""
+    size = min(len(x), len(y))
+    head = next((i for i in range(size) if x[i] != y[i]), size)
+    tail = next((i for i in range(size - head) if x[-1 - i] != y[-1 - i]), size - head)
+    i, j = len(x) - head - tail, len(y) - head - tail
+    matched, x, y = [*range(head), *range(len(x) - tail, len(x))], x[head : head + i], y[head : head + j]
+    costs = [list(range(j + 1))]
+    for n, w in enumerate(x):
+        costs.append(_row(costs[-1], n, w, y))
+    while i or j:
+        if i and j and costs[i][j] == costs[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+            i, j = i - 1, j - 1
+            matched += [head + i] if x[i] == y[j] else []
+        elif j and costs[i][j] == costs[i][j - 1] + 1:
+            j -= 1
+        else:
+            i -= 1
+    return matched
+
+
+def plain_extend(x, y):
+    """Scores of x from its first word on: along y, over a difference if more than 0.6 of the words after it match."""
+    score, i, j, error = [-4.0] * len(x), 0, 0, 0.0
+    extra = [0] * (len(x) + 1)
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            score[i], i, j = 1.0, i + 1, j + 1
+            continue
+        best, step = 0.6, None
+        for p, q in chaining.STEPS:
+            k = min(chaining.LOOK, len(x) - i - p, len(y) - j - q)
+            share = sum(x[i + p + n] == y[j + q + n] for n in range(k)) / k if k > 0 else 0.0
+            if share > best:
+                best, step = share, (p, q)
+                if share > 0.8:
+                    break
+        if not step:
+            break
+        i, j = i + step[0], j + step[1]
+        extra[i] += max(0, step[1] - step[0])
+    return [s - 4 * e for s, e in zip(score, extra, strict=False)]
+
+
+def plain_align(x, y, b, a):
+    """Chain by chain and word by word."""
+    score, end = [-4.0] * len(x), chaining.KMER
+    for n, (i, j) in enumerate(zip(b, a, strict=True)):
+        if n and j - i == a[n - 1] - b[n - 1]:
+            span = range(b[n - 1], i + end)
+        else:
+            span = range(i, i + end)
+            if n and max(i - b[n - 1], j - a[n - 1]) - end <= chaining.MAX_GAP and min(i - b[n - 1], j - a[n - 1]) > end:
+                for k in plain_edits(x[b[n - 1] + end : i], y[a[n - 1] + end : j]):
+                    score[b[n - 1] + end + k] = 1.0
+        for k in span:
+            if k + j - i < len(y):
+                score[k] = 1.0 if x[k] == y[k + j - i] else -4.0
+    low, high, margin = max(0, b[0] - chaining.MARGIN), min(len(x), b[-1] + end + chaining.MARGIN), chaining.MARGIN
+    score[b[-1] + end : high] = plain_extend(x[b[-1] + end : high], y[a[-1] + end : a[-1] + high - b[-1] + margin])
+    score[low : b[0]] = plain_extend(x[low : b[0]][::-1], y[max(0, a[0] - b[0] + low - margin) : a[0]][::-1])[::-1]
+    out, i = [], low
+    while i < high:
+        total, best, last = 0, 0, i
+        for k in range(i, high if score[i] > 0 else i):
+            total += score[k]
+            if total > best:
+                best, last = total, k + 1
+            elif total <= 0 or total < best - 4 * chaining.MAX_GAP:
+                break
+        if last - i >= chaining.MIN_PART:
+            out.append((i, last))
+        i = max(last, i + 1)
+    return out if sum(s > 0 for s in score[low:high]) >= chaining.MIN_PART * chaining.SIMILARITY else []
+
+
+def changed_copies(r, n):
+    """Texts with changed copies of them, and chains of the seeds that they share: (x, y, places in x, in y)."""
+    out = []
+    while len(out) < n:
+        words = int(r.choice([3, 60, 5000]))
+        x = r.integers(1, words + 1, int(r.integers(8, 300))).tolist()
+        rate, y = r.choice([0.0, 0.03, 0.12]), r.integers(1, words + 1, int(r.integers(0, 90))).tolist()
+        for w in x[int(r.integers(0, 40)) :]:
+            u = r.random()
+            y += r.integers(1, words + 1, 1).tolist() if u < rate else [] if u < 1.3 * rate else [w, *r.integers(1, words + 1, int(r.integers(1, 6))).tolist()] if u < 1.6 * rate else [w]
+        y = y[: int(r.integers(len(y) // 2, len(y) + 1))]
+        seeds = {}
+        for j in range(len(y) - chaining.KMER + 1):
+            seeds.setdefault(tuple(y[j : j + chaining.KMER]), []).append(j)
+        anchors = [(i, j) for i in range(len(x) - chaining.KMER + 1) if r.random() < 0.4 for j in seeds.get(tuple(x[i : i + chaining.KMER]), [])[:2]]
+        if len(anchors) >= chaining.MIN_ANCHORS:
+            b, a = np.array(anchors).T
+            out += [(np.array(x, np.uint16), np.array(y, np.uint16), b[c], a[c]) for c in chaining.chains(np.zeros(len(b), int), b, a)]
+    return out
+
+
+def test_chains_are_aligned_together():
+    """The parts of a plain alignment, chain by chain, with few calls for each chain (chain by chain it took over 100)."""
+    found = changed_copies(np.random.default_rng(3), 500)
+    want = [(k, -1 - k, 3 + s, 3 + e, k) for k, (x, y, b, a) in enumerate(found) for s, e in plain_align(x.tolist(), y.tolist(), b.tolist(), a.tolist())]
+    assert len({k for k, *_ in want}) > 100
+    rows = []
+    for k, (x, y, b, a) in enumerate(found):
+        rows += [(k, 0, k, chaining._packers()[0].compress(y.tobytes()), None, None, None), (k, 1, -1 - k, x.tobytes(), k, 3, chaining.packed_places(b + 3, a))]
+    rows.append((len(found), 1, 0, b"", 0, 0, b""))  # a chain without its document's words
+    rows.insert(2, (0, 1, None, b"", 7, 9, chaining.packed_places(np.array([9]), np.array([60]))))  # a stretch that repeats a unit
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "kind", "doc", "words", "row", "start", "places"])
+    calls = cProfile.Profile()
+    parts = calls.runcall(lambda: list(chaining._aligned(iter([batch.slice(0, 3), batch.slice(3)]))))
+    got = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert sorted(got, key=str) == sorted([(7, None, 9, 69, 0), *want], key=str)
+    assert sum(c.callcount for c in calls.getstats()) < 40 * len(found)
+
+
 def test_every_window_has_a_seed():
     r = np.random.default_rng(0)
     texts = [r.integers(1, 2**16, n).astype(np.uint16) for n in (0, 3, 5, 11, 12, 1000, 1969)]
